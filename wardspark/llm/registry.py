@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("q02_chat", "q04_quality")
+MODULES = ("q01_decontam", "q02_chat", "q04_quality")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
