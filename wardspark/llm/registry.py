@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("q01_decontam", "q02_chat", "q04_quality", "q09_simhash")
+MODULES = ("q01_decontam", "q02_chat", "q03_substring", "q04_quality", "q09_simhash")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
