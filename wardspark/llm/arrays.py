@@ -13,6 +13,11 @@ SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 #: Odd multipliers of the polynomial hashes: of bytes in a word, and of words in a window, two of each.
 _BYTE = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _WORD = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
+#: What stands between lower-cased words of letters, digits and bytes beyond ASCII.
+PLAIN_GAP = np.ones(256, bool)
+PLAIN_GAP[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[0x41:0x5B] += 0x20
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -49,15 +54,16 @@ class Words:
     """The words of a stretch of texts: data holds all bytes, word i is data[start[i]:end[i]], and text k has the words
     bounds[k] to bounds[k + 1]."""
 
-    def __init__(self, texts: pa.Array):
+    def __init__(self, texts: pa.Array, gap: np.ndarray = SPACE, lower: bool = False):
         texts = texts.cast(pa.large_binary()).fill_null(b"")
         n = len(texts)
         offsets = np.frombuffer(texts.buffers()[1], np.int64, n + 1, texts.offset * 8)
         body = texts.buffers()[2]
         whole = np.frombuffer(body, np.uint8) if body is not None and body.size else np.zeros(0, np.uint8)
-        self.data = data = whole[offsets[0] : offsets[-1]]
+        data = whole[offsets[0] : offsets[-1]]
+        self.data = data = LOWER[data] if lower else data
         self.offsets = offsets = offsets - offsets[0]
-        full = ~SPACE[data]
+        full = ~gap[data]
         first, last = full.copy(), full.copy()
         first[1:] &= ~full[:-1]
         last[:-1] &= ~full[1:]
@@ -79,6 +85,9 @@ class Words:
         """How many words of its text there are from each word on, itself included."""
         return np.repeat(self.bounds[1:], np.diff(self.bounds)) - np.arange(len(self.start))
 
+    def word(self, i: int) -> bytes:
+        return self.data[self.start[i] : self.end[i]].tobytes()
+
     def owner(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.bounds) - 1), np.diff(self.bounds))
 
@@ -103,6 +112,34 @@ def planes(x: np.ndarray) -> bytes:
     return np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes() if len(x) else b""
 
 
+class Recent:
+    """A map that keeps what was asked for lately: beyond ``most`` entries the older half goes, but for what is asked
+    for again."""
+
+    def __init__(self, most: int):
+        self.half, self.young, self.old = most // 2, {}, {}
+
+    def missing(self, keys: list) -> list:
+        """Those not there; the others move to the young ones."""
+        if len(self.young) > self.half:
+            self.old, self.young = self.young, {}
+        young, old, out = self.young, self.old, []
+        for k in keys:
+            if k not in young:
+                v = old.get(k)
+                if v is None:
+                    out.append(k)
+                else:
+                    young[k] = v
+        return out
+
+
 def unplanes(raw: bytes, dtype) -> np.ndarray:
     size = np.dtype(dtype).itemsize
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(dtype).ravel() if raw else np.zeros(0, dtype)
+
+
+def hash_of(words: list[bytes], k: int = 0) -> np.ndarray:
+    """The hashes that ``Words`` has for these words."""
+    w = Words(pa.array(words, pa.binary()), np.zeros(256, bool))
+    return w.hashes(k)

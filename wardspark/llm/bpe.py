@@ -43,17 +43,17 @@ class Bpe:
                 raw = "".join(letters[c] for c in raw)
                 (self.end if ends else self.mid)[raw] = i
                 self.length[i] = len(raw)
-        if not self.suffix:
-            self.end = self.mid
-        self.longest = max(self.length.values())
         self.rank: dict[tuple[int, int], int] = {}
         self.parts: dict[int, tuple[int, int, int]] = {}  # left, right, rank of the merge that makes it
         for r, (a, b) in enumerate(model["merges"]):
             pair = model["vocab"][a], model["vocab"][b]
             self.rank.setdefault(pair, r)
             self.parts.setdefault(model["vocab"][a + b], (*pair, r))
-        self._fit: dict[tuple[int, int], bool] = {}
+        self._fit: dict[int, bool] = {}
         self._own: dict[int, bool] = {}
+        self.mid = {t: i for t, i in self.mid.items() if self.whole(i)}
+        self.end = {t: i for t, i in self.end.items() if self.whole(i)} if self.suffix else self.mid
+        self.mid_reach, self.end_reach = self._reach(self.mid), self._reach(self.end)
 
     def _apart(self, a: int, b: int, until: int) -> bool:
         """No merge joins a piece at the end of a with one at the start of b before ``until``, nor before these pieces
@@ -74,11 +74,9 @@ class Bpe:
 
     def fits(self, a: int, b: int) -> bool:
         """Whether b may follow a."""
-        found = self._fit.get((a, b))
-        if found is None:
-            if len(self._fit) > 1_000_000:
-                self._fit.clear()
-            found = self._fit[a, b] = self._apart(a, b, _NEVER)
+        if len(self._fit) > 1_000_000:
+            self._fit.clear()
+        found = self._fit[a << 20 | b] = self._apart(a, b, _NEVER)
         return found
 
     def whole(self, t: int) -> bool:
@@ -89,35 +87,50 @@ class Bpe:
             found = self._own[t] = p is None or (self.whole(p[0]) and self.whole(p[1]) and self._apart(p[0], p[1], p[2]))
         return found
 
-    def _last(self, word: str, n: int, vocab: dict[str, int], last: list[int]) -> int:
+    def _reach(self, vocab: dict[str, int]) -> dict[str, int]:
+        """Length of the longest token by its last three bytes."""
+        found: dict[str, int] = {}
+        for t in vocab:
+            if len(t) >= 3 and len(t) > found.get(t[-3:], 0):
+                found[t[-3:]] = len(t)
+        return found
+
+    def _last(self, word: str, n: int, vocab: dict[str, int], reach: dict[str, int], last: list[int]) -> int:
         """Last token of word[:n]; last: those of the shorter prefixes, by length."""
-        get, fits = vocab.get, self.fits
-        for k in range(max(0, n - self.longest), n):
+        get, known = vocab.get, self._fit.get
+        low = n - reach.get(word[n - 3 : n], 2) if n >= 3 else 0
+        for k in range(low if low > 0 else 0, n):
             t = get(word[k:n])
-            if t is not None and (fits(last[k], t) if k else True) and self.whole(t):
-                return t
+            if t is not None:
+                if not k:
+                    return t
+                before = last[k]
+                fit = known(before << 20 | t)
+                if fit or (fit is None and self.fits(before, t)):
+                    return t
         raise ValueError(f"no token ends {word[:n]!r}")
 
     def _visit(self, words: list[str]):
-        """For each of the sorted words itself, its last token and the last tokens of its shorter prefixes by length."""
+        """For each of the sorted words itself, its last token, the last tokens of its shorter prefixes by length, and
+        how long a prefix it has in common with the word before."""
         before, last = "", [-1]
+        find, mid, mid_reach, end, end_reach = self._last, self.mid, self.mid_reach, self.end, self.end_reach
         for w in words:
             n = len(w)
+            most = min(n, len(before))
             shared = 0
-            for x, y in zip(before, w, strict=False):
-                if x != y:
-                    break
+            while shared < most and w[shared] == before[shared]:
                 shared += 1
             del last[shared + 1 :]
-            while len(last) < n:
-                last.append(self._last(w, len(last), self.mid, last))
-            yield w, self._last(w, n, self.end, last), last
+            for m in range(len(last), n):
+                last.append(find(w, m, mid, mid_reach, last))
+            yield w, find(w, n, end, end_reach, last), last, shared
             before = w
 
     def encode_words(self, words: list[str]) -> dict[str, list[int]]:
         """Ids of distinct words; a word is its bytes as characters of the same number."""
         out: dict[str, list[int]] = {}
-        for w, t, last in self._visit(sorted(words)):
+        for w, t, last, _ in self._visit(sorted(words)):
             ids, n = [t], len(w) - self.length[t]
             while n:
                 ids.append(last[n])
@@ -142,14 +155,8 @@ class Bpe:
         encoding of the prefix grows (or shrinks, where a merge joins what was apart), and the same for a last byte."""
         table: dict[tuple[int, str], tuple[int, int]] = {}
         finals: dict[tuple[int, str], int] = {}
-        states, counts, before = [0], [0], ""
-        made = 0
-        for w, t, last in self._visit(sorted(words)):
-            shared = 0
-            for x, y in zip(before, w, strict=False):
-                if x != y:
-                    break
-                shared += 1
+        states, counts, made = [0], [0], 0
+        for w, t, last, shared in self._visit(sorted(words)):
             del states[shared + 1 :], counts[shared + 1 :]
             for n in range(len(states), len(w)):
                 counts.append(counts[n - self.length[last[n]]] + 1)
@@ -158,7 +165,6 @@ class Bpe:
                 table[states[n - 1], w[n - 1]] = made, counts[n] - counts[n - 1]
             n = len(w)
             finals[states[n - 1], w[-1]] = counts[n - self.length[t]] + 1 - counts[n - 1]
-            before = w
         return table, finals
 
 

@@ -23,10 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardspark.llm import bpe, pretoken
-from wardspark.llm.arrays import stretches
+from wardspark.llm.arrays import Recent, stretches
 from wardspark.llm.tokencount import library
 
-#: Encodings of so many words are kept by a worker; then it starts anew.
+#: Encodings of so many words are kept by a worker.
 KEPT = 200_000
 _WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
@@ -39,10 +39,9 @@ def lower(text: str) -> str:
 class Encoder:
     def __init__(self, path: str):
         self.path, self.bpe = path, bpe.loaded(path)
-        self.kept: dict[str, tuple[bytes, str]] = {}
+        self.kept = Recent(KEPT)
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(self.bpe.special, key=len, reverse=True))) + ")")
-        for t, i in self.bpe.special.items():
-            self.kept["\0" + t] = bpe.packed([i]), t
+        self.marks = {"\0" + t: (bpe.packed([i]), t) for t, i in self.bpe.special.items()}
 
     def words(self, text: str) -> list[str] | None:
         """Words and special tokens, the latter with a mark before them; null if the library should take the text."""
@@ -60,14 +59,13 @@ class Encoder:
     def texts(self, texts: list[str]) -> tuple[list[bytes], list[str]]:
         """Ids (little-endian, 32 bits each) and decoded texts."""
         cut = [self.words(t) for t in texts]
-        new = {w for c in cut if c for w in c} - self.kept.keys()
-        if len(self.kept) + len(new) > KEPT + len(self.bpe.special):
-            self.kept = {w: v for w, v in self.kept.items() if w[0] == "\0" and w[1:] in self.bpe.special}
-            new = {w for c in cut if c for w in c} - self.kept.keys()
+        new = self.kept.missing(list({w for c in cut if c for w in c} - self.marks.keys()))
+        kept = self.kept.young
+        kept.update(self.marks)
         raw = {w.encode().decode("latin-1"): w for w in new}
         shown = self.bpe.shown
         for r, ids in self.bpe.encode_words(list(raw)).items():
-            self.kept[raw[r]] = bpe.packed(ids), " ".join([shown[i] for i in ids])
+            kept[raw[r]] = bpe.packed(ids), " ".join([shown[i] for i in ids])
         out, back = [], []
         for t, c in zip(texts, cut, strict=True):
             if c is None:
@@ -75,7 +73,7 @@ class Encoder:
                 out.append(bpe.packed(ids))
                 back.append(" ".join([shown[i] for i in ids]))
             else:
-                found = [self.kept[w] for w in c]
+                found = [kept[w] for w in c]
                 out.append(b"".join([x[0] for x in found]))
                 back.append(" ".join([x[1] for x in found]))
         return out, back

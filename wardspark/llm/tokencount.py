@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from wardspark.llm import bpe, pretoken
-from wardspark.llm.arrays import _ranged, stretches
+from wardspark.llm.arrays import Recent, _ranged, stretches
 
-#: Counts of so many pre-tokens are kept by a worker; then it starts anew.
+#: Counts of so many pre-tokens are kept by a worker.
 KEPT = 400_000
 _BASES = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 
@@ -51,17 +51,14 @@ def distinct(joined: str, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarra
 
 class Counter:
     def __init__(self, path: str):
-        self.path, self.bpe, self.kept = path, bpe.loaded(path), {}
+        self.path, self.bpe, self.kept = path, bpe.loaded(path), Recent(KEPT)
         self.special = re.compile("|".join(map(re.escape, sorted(self.bpe.special, key=len, reverse=True)))) if self.bpe.special else None
 
     def words(self, words: list[str]) -> np.ndarray:
         """Tokens of each of these pre-tokens."""
-        kept = self.kept
-        new = [w for w in words if w not in kept]
+        new = self.kept.missing(words)
+        kept = self.kept.young
         if new:
-            if len(kept) + len(new) > KEPT:
-                kept.clear()
-                new = words
             raw = [w.encode().decode("latin-1") for w in new]
             counts = self.bpe.counts(raw)
             kept.update((w, counts[r]) for w, r in zip(new, raw, strict=True))
