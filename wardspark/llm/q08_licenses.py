@@ -20,8 +20,8 @@ def _literal(text: str) -> str:
 _TEMPLATES = ", ".join(f"({k}, '{t[0]}', {_literal(t[1])})" for k, t in enumerate(licenses.TEMPLATES))
 SQL = f"""
 WITH dw AS (SELECT doc_id, {words_sql("text")} AS words FROM documents),
-at AS (SELECT doc_id, i, words[i] AS a, words[i + 1] AS b, words[i + 2] AS c FROM (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS i FROM dw)),
-base AS (SELECT doc_id, i - 1 AS p, CASE WHEN a = 'mit' THEN 'mit' WHEN a = 'apache' THEN 'apache' ELSE 'gpl' END AS label FROM at
+pl AS (SELECT doc_id, i, words[i] AS a, words[i + 1] AS b, words[i + 2] AS c FROM (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS i FROM dw)),
+base AS (SELECT doc_id, i - 1 AS p, CASE WHEN a = 'mit' THEN 'mit' WHEN a = 'apache' THEN 'apache' ELSE 'gpl' END AS label FROM pl
     WHERE (a IN ('mit', 'apache') AND b = 'license') OR (a = 'general' AND b = 'public' AND c = 'license')),
 t AS (SELECT k, label, list_distinct({words_sql("text")}) AS words FROM (VALUES {_TEMPLATES}) AS v(k, label, text)),
 tw AS (SELECT k, label, len(words) AS n, unnest(words) AS word FROM t),
