@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("q01_decontam", "q02_chat", "q03_substring", "q04_quality", "q07_tokencount", "q08_licenses", "q09_simhash", "q10_encode")
+MODULES = ("q01_decontam", "q02_chat", "q03_substring", "q04_quality", "q05_sharding", "q07_tokencount", "q08_licenses", "q09_simhash", "q10_encode")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
