@@ -27,17 +27,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardspark.llm.arrays import Words, planes, stretches, unplanes, windows
+from wardspark.llm.arrays import Words, mixed, planes, stretches, unplanes, windows
 from wardspark.llm.stage import staged
 
 WINDOW, PERIOD, COVER = 13, 7, (0, 1, 3)
 ANCHOR = WINDOW - PERIOD + 1
 #: Entries that a task gathers before it sends them.
-FLUSH = 1 << 20
+FLUSH = 1 << 19
 #: Up to so many document ids are broadcast to tell which documents take part; beyond, they are joined by a shuffle.
 MAX_BROADCAST_IDS = 1_000_000
 _SENT = "bucket long, h binary, h2 binary, doc binary, pos binary, known boolean"
-_FOUND = "doc_id long, pos array<int>"
+_FOUND = "bucket long, doc binary, pos binary"
 
 
 def _groups(h: np.ndarray, h2: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
@@ -108,17 +108,45 @@ def _send(parts: list, buckets: int, any_shared: bool, turn: int) -> Iterator[pa
     yield pa.RecordBatch.from_arrays([pa.array(v, kinds.get(k, pa.binary())) for k, v in rows.items()], list(rows))
 
 
-def _per_document(doc: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
-    order = np.lexsort((pos, doc))
-    doc, pos = doc[order], pos[order]
-    first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, np.int64)
-    lists = pa.ListArray.from_arrays(pa.array(np.r_[first, len(doc)].astype(np.int32)), pa.array(pos.astype(np.int32)))
-    return pa.RecordBatch.from_arrays([pa.array(doc[first], pa.int64()), lists], ["doc_id", "pos"])
-
-
-def _meet(any_shared: bool):
+def _dealt(doc: np.ndarray, pos: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Places packed for the bucket of their document, a row for each bucket that gets any."""
+    bucket = ((mixed(doc.view(np.uint64)) >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    order = np.lexsort((doc, bucket))
+    doc, pos, bucket = doc[order], pos[order], bucket[order]
+    first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+    edges = list(zip(first.tolist(), [*first[1:].tolist(), len(doc)], strict=True))
+    columns = [pa.array(bucket[first].astype(np.int64)), pa.array([planes(doc[x:y]) for x, y in edges], pa.binary()), pa.array([planes(pos[x:y]) for x, y in edges], pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, ["bucket", "doc", "pos"])
+
+
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by bucket to doc_id and its places, sorted, once each."""
+    now, rows = None, []
+
+    def done() -> Iterator[pa.RecordBatch]:
+        if not rows:
+            return
+        doc, pos = np.concatenate([unplanes(r[0], np.int64) for r in rows]), np.concatenate([unplanes(r[1], np.int32) for r in rows])
+        order = np.lexsort((pos, doc))
+        doc, pos = doc[order], pos[order]
+        new = np.r_[True, (doc[1:] != doc[:-1]) | (pos[1:] != pos[:-1])]
+        doc, pos = doc[new], pos[new]
+        first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[first, len(doc)].astype(np.int32)), pa.array(pos))
+        yield pa.RecordBatch.from_arrays([pa.array(doc[first]), lists], ["doc_id", "pos"])
+
+    for b in batches:
+        for r in zip(*[c.to_pylist() for c in b.columns], strict=True):
+            if r[0] != now:
+                yield from done()
+                now, rows = r[0], []
+            rows.append(r[1:])
+    yield from done()
+
+
+def _meet(any_shared: bool, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows sorted by bucket; the found places of each document that has any."""
+        """Rows sorted by bucket; the places that are found, packed for the buckets of their documents."""
         now, rows = None, []
 
         def done() -> Iterator[pa.RecordBatch]:
@@ -140,7 +168,7 @@ def _meet(any_shared: bool):
                 pos.append(p[order][found])
             doc, pos = np.concatenate(doc), np.concatenate(pos)
             if len(doc):
-                yield _per_document(doc, pos)
+                yield _dealt(doc, pos, buckets)
 
         for b in batches:
             for r in zip(*[c.to_pylist() for c in b.columns], strict=True):
@@ -156,8 +184,8 @@ def _meet(any_shared: bool):
 def _exchange(sent: DataFrame, any_shared: bool) -> DataFrame:
     """doc_id and its found places, sorted, once each."""
     n = int(sent.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = sent.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet(any_shared), _FOUND)
-    return found.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("pos")))).alias("pos"))
+    met = sent.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet(any_shared, n), _FOUND)
+    return met.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_gather, "doc_id long, pos array<int>")
 
 
 def _send_anchors(buckets: int):
