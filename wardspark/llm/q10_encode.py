@@ -12,8 +12,8 @@ from wardspark.llm.stage import table
 VOCABULARY = "word_bpe_49k.json"
 
 
-def digests(encoded: DataFrame) -> DataFrame:
-    return encoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+def digests(encoded: DataFrame, *more: str) -> DataFrame:
+    return encoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), *more)
 
 
 def op10_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,6 +26,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wardspark.llm.arrays import Words, mixed, planes, stretches, unplanes, windows
 from wardspark.llm.stage import staged
@@ -237,7 +238,7 @@ def _send_windows(buckets: int):
 
 def _cut(joined: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """doc_id, text, pos (null: nothing goes) to doc_id, n_words, n_removed, text."""
+        """doc_id, text, pos (null: nothing goes), rest to doc_id, n_words, n_removed, text, rest."""
         for batch in batches:
             for b in stretches(batch, 1):
                 ids, n, gone, texts = b.column(0), [], [], []
@@ -262,16 +263,18 @@ def _cut(joined: bool):
                         edges = np.r_[w.start, len(text)]
                         keep = np.flatnonzero(~out)
                         texts.append(text[: w.start[0]] + b"".join([text[edges[i] : edges[i + 1]] for i in keep.tolist()]))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "text"])
+                yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string()), b.column(3)], ["doc_id", "n_words", "n_removed", "text", "rest"])
 
     return run
 
 
-def substring_dedup(docs: DataFrame, joined: bool = True) -> DataFrame:
-    """doc_id, n_words, n_removed, text: the kept words with one space between them (joined) or their own white space."""
+def substring_dedup(docs: DataFrame, joined: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_words, n_removed, text: the kept words with one space between them (joined) or their own white space;
+    and rest, a struct of the columns in keep (true if there are none)."""
     spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    d = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), F.col("text"))
+    rest = F.struct(*[F.col(f"`{c}`") for c in keep]) if keep else F.lit(True)
+    d = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), F.col("text"), rest.alias("rest"))
 
     def among(marks: DataFrame) -> tuple[DataFrame, DataFrame | None]:
         """The documents with their marks, and the others where these can be told apart without a shuffle."""
@@ -280,13 +283,13 @@ def substring_dedup(docs: DataFrame, joined: bool = True) -> DataFrame:
             return d.join(ids, "doc_id", "left_semi").join(marks, "doc_id"), d.join(ids, "doc_id", "left_anti")
         return d.join(marks, "doc_id", "left"), None
 
-    marked = staged(_exchange(d.mapInArrow(_send_anchors(buckets), _SENT), True), "anchors")
+    marked = staged(_exchange(d.select("doc_id", "text").mapInArrow(_send_anchors(buckets), _SENT), True), "anchors")
     near, _ = among(marked)
     near = near.where("pos IS NOT NULL").select("doc_id", "text", "pos")
     starts = staged(_exchange(near.mapInArrow(_send_windows(buckets), _SENT), False), "windows")
-    schema = "doc_id long, n_words long, n_removed long, text string"
-    cut, rest = among(starts)
-    done = cut.select("doc_id", "text", "pos").mapInArrow(_cut(joined), schema)
-    if rest is not None:
-        done = done.unionByName(rest.select("doc_id", "text", F.lit(None).cast("array<int>").alias("pos")).mapInArrow(_cut(joined), schema))
+    schema = T.StructType.fromDDL("doc_id long, n_words long, n_removed long, text string").add("rest", d.schema["rest"].dataType)
+    cut, others = among(starts)
+    done = cut.select("doc_id", "text", "pos", "rest").mapInArrow(_cut(joined), schema)
+    if others is not None:
+        done = done.unionByName(others.select("doc_id", "text", F.lit(None).cast("array<int>").alias("pos"), "rest").mapInArrow(_cut(joined), schema))
     return done
