@@ -150,7 +150,7 @@ def select_round_robin(items: DataFrame, target: int, cap: int, hard_share: floa
                             n += 1
                             break
 
-        is_hard = rows.chosen_hard.fillna(False).astype(bool)
+        is_hard = rows.chosen_hard.eq(True)
         robin(rows[is_hard], quota, "hard")
         robin(rows[~is_hard], target - len(taken), "easy")
         robin(rows[~rows.item_id.isin(seen)], target - len(taken), "fallback")
