@@ -26,7 +26,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """u, v (integers) to node, component: the smallest node that it reaches. Nodes without edges are left out; loops
     and repeated edges change nothing."""
-    e = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    # staged, as a round uses its edges several times and the links may be costly to find
+    e = staged(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     seen = None
     while True:
         e = staged(_star(_star(e, True), False), "stars")
