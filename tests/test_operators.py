@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wardspark.functions import severity, text, vector
-from wardspark.operators import code, datasets, findings, gateway, metrics, patches, retrieval, spans, store
+from wardspark.operators import code, datasets, findings, fixes, gateway, graphs, labelling, metrics, patches, retrieval, spans, store
 from wardspark.sources import readers, writers
 
 
@@ -224,3 +224,30 @@ def test_nearest_vectors_against_brute_force(spark):
 
     want = {(q, i) for q, a in v[:3] for i, _ in sorted(v, key=lambda x: (-cos(a, x[1]), x[0]))[:4]}
     assert {(r.query_id, r.item_id) for r in got.collect()} == want
+
+
+def test_fixes_go_from_the_end_and_once_a_line(spark):
+    f = spark.createDataFrame([("a.ts", "el.innerHTML = x\nok\nb.innerHTML = y")], "filepath string, text string")
+    g = spark.createDataFrame([("1", "a.ts", 1, "untrusted_to_innerhtml"), ("2", "a.ts", 3, "untrusted_to_innerhtml"), ("3", "a.ts", 3, "untrusted_to_innerhtml"), ("4", "a.ts", 2, "json_eval"), ("5", "a.ts", 9, "json_eval"), ("6", "a.ts", 1, "?")], "finding_id string, filepath string, line int, fix string")
+    got = {r.finding_id: r for r in fixes.apply_fixes(f, g).collect()}
+    assert {k: r.reason for k, r in got.items()} == {"1": None, "2": None, "3": "overlap", "4": "pattern not found", "5": "out of bounds", "6": "no fix"}
+    assert "+el.textContent = x" in got["1"].diff and "+b.textContent = y" in got["1"].diff and got["2"].diff is None
+
+
+def test_label_items_and_resolution(spark):
+    s = spark.createDataFrame([("s", "python", "a.py", [("bandit", "B1", None, None, "m", 0), ("bandit", "B1", None, None, "m", 3)]), ("t", "python", "b.py", [])], "sample_id string, language string, filepath string, weak_labels array<struct<source:string,rule_id:string,severity:string,confidence:string,message:string,line:int>>")
+    assert labelling.label_items(s).select("item_id").distinct().count() == 2
+    d = spark.createDataFrame([(1, None, "FP"), (None, True, "FP"), (None, None, "tp"), (None, None, "UNCERTAIN")], "y int, v boolean, w string")
+    assert [r[0] for r in d.select(labelling.risk_label(F.col("y"), F.col("v"), F.col("w"))).collect()] == [1, 1, 1, None]
+
+
+def test_rule_queries(spark):
+    d = spark.createDataFrame([("b602",), ("B999",), ("cwe-1",), ("odd",)], "r string")
+    assert [r[0] for r in d.select(labelling.rule_query(F.col("r"))).collect()] == ["subprocess shell=True command injection Python", "Bandit B999 Python security vulnerability fix", "cwe-1 vulnerability security fix pattern", "odd security vulnerability fix"]
+
+
+def test_graph_bounds(spark):
+    n = spark.range(30).select(F.lit(1).alias("graph_id"), F.col("id").alias("node_id"))
+    e = n.select("graph_id", F.col("node_id").alias("src"), ((F.col("node_id") + 1) % 30).alias("dst"), F.lit(0).alias("type"))
+    a, b = graphs.bounded(n, e, 10, 5)
+    assert a.count() == 10 and rows(b.select("src")) == [(0,), (1,), (2,), (3,), (4,)]
