@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wardspark.functions import severity, text, vector
-from wardspark.operators import code, datasets, findings, fixes, gateway, graphs, labelling, metrics, patches, retrieval, spans, store
+from wardspark.operators import augment, code, datasets, findings, fixes, gateway, graphs, labelling, metrics, patches, retrieval, spans, store
 from wardspark.sources import readers, writers
 
 
@@ -251,3 +251,29 @@ def test_graph_bounds(spark):
     e = n.select("graph_id", F.col("node_id").alias("src"), ((F.col("node_id") + 1) % 30).alias("dst"), F.lit(0).alias("type"))
     a, b = graphs.bounded(n, e, 10, 5)
     assert a.count() == 10 and rows(b.select("src")) == [(0,), (1,), (2,), (3,), (4,)]
+
+
+def test_sql_functions(spark):
+    from wardspark.functions import sql
+
+    sql.register(spark)
+    r = spark.sql("SELECT severity_rank('HIGH') a, mask_value('123456789') b, redact_secrets(repeat('x', 40)) c, code_tokens('a+1') d, cosine_sim(array(1D, 0D), array(1D, 1D)) e, diff_added('+++ x\n+a\n+b') f, hash_bucket('tok', 256) g").first()
+    assert (r.a, r.b, r.c, r.d, round(r.e, 6), r.f) == (3, "1234***6789", "[REDACTED]", ["a", "+", "1"], 0.707107, 2)
+    d = spark.createDataFrame([("tok",)], "t string")
+    assert d.select(vector.hash_bucket(F.col("t"), 256)).first()[0] == r.g
+
+
+def test_augment_is_the_same_each_time(spark):
+    d = spark.createDataFrame([("s", "total = 1  # n\nprint(total)\n\n\n\nx = total"), ("t", "y")], "sample_id string, code string")
+    got = rows(augment.augment(d, 4))
+    assert got == rows(augment.augment(d.repartition(3), 4))
+    assert {(s, v) for s, v, _ in got} == {("s", 0), ("s", 1), ("s", 2), ("s", 3)} and "#" not in got[0][2]
+
+
+def test_labels_of_all_shapes(spark, tmp_path):
+    one = {"rule_id": "R", "filepath": "./a.py", "line": 3, "severity": "HIGH"}
+    (tmp_path / "a.jsonl").write_text(json.dumps(one) + "\n" + json.dumps(one) + "\n")
+    (tmp_path / "b.json").write_text(json.dumps({"results": [{"test_id": "R", "filename": "a.py", "line_number": 3, "issue_text": "t"}]}, indent=1))
+    assert readers.labels(spark, str(tmp_path / "a.jsonl")).count() == 2
+    r = readers.labels(spark, str(tmp_path / "b.json")).first()
+    assert (r.rule_id, r.filepath, r.line, r.message, r.severity) == ("R", "a.py", 3, "t", "UNKNOWN")

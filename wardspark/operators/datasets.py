@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wardspark.functions.size import small
 from wardspark.functions.vector import split_of
 
 # fixed values: regexes that make a finding likely true, and likely false
@@ -60,7 +61,7 @@ def balance_oversample(df: DataFrame, key: str, label: str, seed: str = "42") ->
     counts = df.groupBy(label).agg(F.count("*").alias("_n"))
     top = counts.agg(F.max("_n").alias("_top"))
     k = Window.partitionBy(label).orderBy(draw(seed, F.col(key)), key)
-    d = df.withColumn("_k", F.row_number().over(k)).join(F.broadcast(counts.join(F.broadcast(top))), label)
+    d = df.withColumn("_k", F.row_number().over(k)).join(small(counts.join(F.broadcast(top))), label)
     times = (F.floor(F.col("_top") / F.col("_n")) + F.when(F.col("_k") <= F.col("_top") % F.col("_n"), 1).otherwise(0)).cast("int")
     return d.withColumn("copy", F.explode(F.sequence(F.lit(1), times))).drop("_k", "_n", "_top")
 

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from wardspark.functions.size import small
 from wardspark.functions.text import SECRET_KEY, SECRET_VALUES, blocked_output, mask_value
 
 # fixed values: the tools' policies: name, scopes, approval, properties, required ones, others allowed, mode of redaction,
@@ -37,7 +38,7 @@ def decide(requests: DataFrame, policy: DataFrame) -> DataFrame:
     speaks: known tool, scope, arguments, secrets where they are denied, approval; else mask or allow."""
     raw = F.from_json("args", "map<string,variant>")
     p = policy.withColumn("known", F.lit(True))
-    d = requests.join(F.broadcast(p), "tool", "left").withColumn("given", F.coalesce(F.transform_values(raw, lambda k, v: F.to_json(v)), F.create_map().cast("map<string,string>")))
+    d = requests.join(small(p), "tool", "left").withColumn("given", F.coalesce(F.transform_values(raw, lambda k, v: F.to_json(v)), F.create_map().cast("map<string,string>")))
     names = F.map_keys("given")
     missing = F.array_except("required", names)
     extra = F.array_except(names, F.map_keys("properties"))

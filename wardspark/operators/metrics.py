@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Scores are ranked in so many stretches of their range.
+STRETCHES = 1000
+
 
 def confusion(df: DataFrame, label: Column, predicted: Column) -> DataFrame:
     """One row; labels other than 0 and 1 don't count."""
@@ -21,8 +24,13 @@ def auroc(df: DataFrame, label: Column, score: Column) -> DataFrame:
     count goes over distinct values, in stretches, so no task sorts all rows."""
     d = df.select(label.alias("y"), score.alias("s")).where("y IN (0, 1) AND s IS NOT NULL")
     values = d.groupBy("s").agg(F.count("*").alias("n"), F.count_if(F.col("y") == 1).alias("n1"))
-    before = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = values.select("n", "n1", (F.coalesce(F.sum("n").over(before), F.lit(0)) + (F.col("n") + 1) / 2).alias("rank"))
+    ends = values.agg(F.min("s").cast("double").alias("lo"), F.max("s").cast("double").alias("hi"))
+    stretch = F.when(F.col("hi") > F.col("lo"), F.floor((F.col("s") - F.col("lo")) / (F.col("hi") - F.col("lo")) * STRETCHES)).otherwise(0)
+    values = values.join(F.broadcast(ends)).withColumn("stretch", stretch).drop("lo", "hi")
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ahead = values.groupBy("stretch").agg(F.sum("n").alias("n")).select("stretch", before(Window.orderBy("stretch")).alias("ahead"))
+    within = before(Window.partitionBy("stretch").orderBy("s"))
+    ranked = values.withColumn("within", within).join(F.broadcast(ahead), "stretch").select("n", "n1", (F.col("ahead") + F.col("within") + (F.col("n") + 1) / 2).alias("rank"))
     t = ranked.agg(F.sum(F.col("n1") * F.col("rank")).alias("r"), F.sum("n1").cast("double").alias("a"), F.sum(F.col("n") - F.col("n1")).cast("double").alias("b"))
     return t.select(F.try_divide(F.col("r") - F.col("a") * (F.col("a") + 1) / 2, F.col("a") * F.col("b")).alias("auroc"))
 

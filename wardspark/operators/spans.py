@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wardspark.functions.size import small
 from wardspark.functions.text import version_key
 
 # fixed values: packages with known faults: ecosystem, package, below this version, severity, identifier
@@ -84,7 +85,7 @@ def vulnerable(packages: DataFrame, advisories: DataFrame) -> DataFrame:
     """packages: ecosystem, package, version. Each advisory that holds for a package: same name, version below."""
     p = packages.withColumn("name", F.lower("package")).withColumn("v", version_key(F.col("version")))
     a = advisories.select("ecosystem", F.col("package").alias("name"), version_key(F.col("below")).alias("below_v"), "below", "severity", "advisory")
-    return p.join(F.broadcast(a), ["ecosystem", "name"]).where("v < below_v").drop("v", "below_v")
+    return p.join(small(a), ["ecosystem", "name"]).where("v < below_v").drop("v", "below_v")
 
 
 def advisories(spark) -> DataFrame:

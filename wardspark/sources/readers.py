@@ -53,6 +53,22 @@ def samples(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SAMPLE + ", _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").json(path)
 
 
+_LABEL = "source:string,rule_id:string,test_id:string,check_id:string,severity:string,confidence:string,message:string,issue_text:string,filepath:string,filename:string,path:string,line:int,line_number:int"
+
+
+def labels(spark: SparkSession, path: str) -> DataFrame:
+    """Labels of a file in any of its shapes: lines of labels, or a document with findings, results or items. One schema
+    holds all shapes, so the shape need not be known beforehand."""
+    one = f"struct<{_LABEL}>"
+    schema = f"{_LABEL.replace(':', ' ').replace(',', ', ')}, findings array<{one}>, results array<{one}>, items array<{one}>"
+    d = spark.read.schema(schema).option("multiLine", not path.endswith(".jsonl")).json(path)
+    own = F.struct(*[F.col(c.split(":")[0]) for c in _LABEL.split(",")])
+    many = F.coalesce("findings", "results", "items", F.array(own))
+    l = d.select(F.explode(many).alias("l")).select("l.*")  # noqa: E741
+    place = F.ltrim(F.coalesce("filepath", "filename", "path"), F.lit("./"))
+    return l.select(F.coalesce("rule_id", "test_id", "check_id").alias("rule_id"), F.coalesce("source", F.lit("unknown")).alias("source"), F.coalesce("severity", F.lit("UNKNOWN")).alias("severity"), "confidence", F.coalesce("message", "issue_text").alias("message"), place.alias("filepath"), F.coalesce("line", "line_number").alias("line"))
+
+
 def validated(samples: DataFrame, required: tuple[str, ...] = ("sample_id", "language", "filepath", "code_snippet")) -> DataFrame:
     """One row: how many rows there are and how many are no samples."""
     bad = F.col("_corrupt").isNotNull()
