@@ -47,8 +47,27 @@ class TextEncoder:
     def __init__(self, path: str):
         self.library, self.kept = library(path), Recent(KEPT)
         self.special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
+        self.feed = self.library.encode("\n", add_special_tokens=False).ids[0]
+        self._white = re.compile(r"\s|[\x1c-\x1f\x85]")
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
+    def _encode(self, words: list[str]) -> None:
+        """Keep the ids of these pre-tokens. They go to the library as one text with a line feed after each, which ends a
+        pre-token and is one itself; those with other white space than a blank before them go alone."""
+        odd = [bool(self._white.search(w, 1)) or (w[0] != " " and bool(self._white.match(w))) or w == " " for w in words]
+        alone, many = [w for w, o in zip(words, odd, strict=True) if o], [w for w, o in zip(words, odd, strict=True) if not o]
+        for k in range(0, len(many), 4096):
+            part = many[k : k + 4096]
+            ids = np.array(self.library.encode_batch_fast(["\n".join(part) + "\n"], add_special_tokens=False)[0].ids, np.int32)
+            ends = np.flatnonzero(ids == self.feed)
+            if len(ends) == len(part):
+                for w, a, b in zip(part, np.r_[0, ends[:-1] + 1].tolist(), ends.tolist(), strict=True):
+                    self.kept.young[w] = ids[a:b]
+            else:
+                alone += part
+        for w, e in zip(alone, self.library.encode_batch_fast(alone, add_special_tokens=False), strict=True):
+            self.kept.young[w] = np.array(e.ids, np.int32)
+
     def texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, one text after the other, and where each text begins (and the last ends)."""
         whole = [k for k, t in enumerate(texts) if self.cut and self.cut.search(t)]
@@ -60,8 +79,7 @@ class TextEncoder:
             codes, found = distinct(joined, start, end)
             new = self.kept.missing(found)
             if new:
-                for w, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                    self.kept.young[w] = np.array(e.ids, np.int32)
+                self._encode(new)
             ids = [self.kept.young[w] for w in found]
             size = np.array([len(x) for x in ids])
             flat, first = np.concatenate(ids), np.r_[0, np.cumsum(size)[:-1]]
@@ -85,39 +103,46 @@ def text_encoder(path: str) -> TextEncoder:
     return TextEncoder(path)
 
 
-def frequent_pairs(seq: np.ndarray, inner: np.ndarray, most: int, least: int) -> np.ndarray:
-    """The most frequent neighbouring pairs (left << 32 | right), at places where inner is set, those that stand
-    ``least`` times at least. A table of hashed counts tells which pairs may be among them; these are counted exactly."""
-    pair = (seq[:-1].astype(np.int64) << 32 | seq[1:])[inner]
+def frequent_pairs(pair: np.ndarray, cut: np.ndarray, most: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The most frequent of these pairs, sorted, those that stand ``least`` times at least, without the places in cut;
+    then the places where pairs stand that may be among them, and these pairs. A table of hashed counts tells which may
+    be; where only one pair falls into a place of the table, as its last one shows, its count is exact, and the pairs of
+    the other places are counted apart."""
     slot = ((pair.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.intp)
-    counts = np.bincount(slot, minlength=_TABLE)
+    slot[cut] = _TABLE
+    counts = np.bincount(slot, minlength=_TABLE + 1)[:_TABLE]
     bar = max(least, int(np.partition(counts, -most)[-most]))
-    keys, n = np.unique(pair[counts[slot] >= bar], return_counts=True)
-    top = np.lexsort((keys, -n))[:most]
-    return keys[top[n[top] >= bar]]
+    top = np.flatnonzero(counts >= bar)
+    code = np.full(_TABLE + 1, -1, np.int32)
+    code[top] = np.arange(len(top))
+    c = code[slot]
+    at = np.flatnonzero(c >= 0)
+    c, p = c[at], pair[at]
+    last = np.zeros(len(top), np.int64)
+    last[c] = p
+    own = np.bincount(c[last[c] == p], minlength=len(top))
+    mixed = own != counts[top]
+    keys, n = np.unique(p[mixed[c]], return_counts=True)
+    keys, n = np.r_[last[~mixed], keys], np.r_[own[~mixed], n]
+    best = np.lexsort((keys, -n))[:most]
+    return np.sort(keys[best[n[best] >= least]]), at, p
 
 
 def compress(ids: np.ndarray, edges: np.ndarray, terminals: int, rounds: int = ROUNDS, pairs: int = PAIRS, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rules (left, right) and the replaced sequence with its edges."""
-    seq, rules, made = ids.astype(np.int32), [], terminals
+    seq, rules, made = ids.astype(np.int64), [], terminals
     for _ in range(rounds):
         if len(seq) < 2:
             break
-        inner = np.ones(len(seq) - 1, bool)
         cut = edges[1:-1]
-        inner[cut[(cut > 0) & (cut < len(seq))] - 1] = False
-        chosen = frequent_pairs(seq, inner, pairs, least)
-        if not len(chosen):
+        cut = cut[(cut > 0) & (cut < len(seq))] - 1
+        keys, at, pair = frequent_pairs(seq[:-1] << 32 | seq[1:], cut, pairs, least)
+        if not len(keys):
             break
-        keys = np.sort(chosen)
-        pair = seq[:-1].astype(np.int64) << 32 | seq[1:]
-        left = np.zeros(made + 1, bool)
-        left[keys >> 32] = True
-        maybe = np.flatnonzero(left[seq[:-1]] & inner)
-        k = np.searchsorted(keys, pair[maybe])
+        k = np.searchsorted(keys, pair)
         k[k == len(keys)] = 0
-        same = keys[k] == pair[maybe]
-        at, rule = maybe[same], k[same]
+        same = keys[k] == pair
+        at, rule = at[same], k[same]
         # of places that follow one another every second one, from the left
         run = np.r_[True, np.diff(at) != 1]
         first = np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))
@@ -127,8 +152,7 @@ def compress(ids: np.ndarray, edges: np.ndarray, terminals: int, rounds: int = R
         seq[at] = made + rule
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
-        before = np.r_[0, np.cumsum(keep)]
-        edges = before[edges]
+        edges = edges - np.searchsorted(at + 1, edges)
         seq = seq[keep]
         made += len(keys)
     return (np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)).astype(np.uint32), seq.astype(np.uint32), edges
