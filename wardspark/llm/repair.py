@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from wardspark.llm import pretoken
 from wardspark.llm.arrays import Recent, planes, unplanes
-from wardspark.llm.stage import new_path
+from wardspark.llm.stage import new_path, texts
 from wardspark.llm.tokencount import distinct, library
 
 MAGIC = b"RP01"
@@ -37,7 +37,7 @@ MAGIC = b"RP01"
 BLOCK, ROUNDS, PAIRS, LEAST = 1 << 20, 8, 256, 32
 #: Up to so many blocks their offsets are broadcast.
 MAX_BROADCAST_BLOCKS = 500_000
-KEPT = 300_000
+KEPT = 600_000
 _TABLE = 1 << 20
 
 
@@ -48,25 +48,23 @@ class TextEncoder:
         self.library, self.kept = library(path), Recent(KEPT)
         self.special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
         self.feed = self.library.encode("\n", add_special_tokens=False).ids[0]
-        self._white = re.compile(r"\s|[\x1c-\x1f\x85]")
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
     def _encode(self, words: list[str]) -> None:
         """Keep the ids of these pre-tokens. They go to the library as one text with a line feed after each, which ends a
-        pre-token and is one itself; those with other white space than a blank before them go alone."""
-        odd = [bool(self._white.search(w, 1)) or (w[0] != " " and bool(self._white.match(w))) or w == " " for w in words]
-        alone, many = [w for w, o in zip(words, odd, strict=True) if o], [w for w, o in zip(words, odd, strict=True) if not o]
+        pre-token and is one itself; those that are white space go alone."""
+        alone, many = [w for w in words if w.isspace()], [w for w in words if not w.isspace()]
         for k in range(0, len(many), 4096):
             part = many[k : k + 4096]
             ids = np.array(self.library.encode_batch_fast(["\n".join(part) + "\n"], add_special_tokens=False)[0].ids, np.int32)
             ends = np.flatnonzero(ids == self.feed)
             if len(ends) == len(part):
-                for w, a, b in zip(part, np.r_[0, ends[:-1] + 1].tolist(), ends.tolist(), strict=True):
-                    self.kept.young[w] = ids[a:b]
+                raw, begin = ids.tobytes(), [0, *(4 * ends[:-1] + 4).tolist()]
+                self.kept.young.update((w, raw[a:b]) for w, a, b in zip(part, begin, (4 * ends).tolist(), strict=True))
             else:
                 alone += part
         for w, e in zip(alone, self.library.encode_batch_fast(alone, add_special_tokens=False), strict=True):
-            self.kept.young[w] = np.array(e.ids, np.int32)
+            self.kept.young[w] = np.array(e.ids, np.int32).tobytes()
 
     def texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, one text after the other, and where each text begins (and the last ends)."""
@@ -80,9 +78,10 @@ class TextEncoder:
             new = self.kept.missing(found)
             if new:
                 self._encode(new)
-            ids = [self.kept.young[w] for w in found]
-            size = np.array([len(x) for x in ids])
-            flat, first = np.concatenate(ids), np.r_[0, np.cumsum(size)[:-1]]
+            young = self.kept.young
+            ids = [young[w] for w in found]
+            size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+            flat, first = np.frombuffer(b"".join(ids), np.int32), np.r_[0, np.cumsum(size)[:-1]]
             each = size[codes]
             begin = np.r_[0, np.cumsum(each)]
             out = flat[np.repeat(first[codes] - begin[:-1], each) + np.arange(begin[-1])]
@@ -111,7 +110,8 @@ def frequent_pairs(pair: np.ndarray, cut: np.ndarray, most: int, least: int) ->
     slot = ((pair.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.intp)
     slot[cut] = _TABLE
     counts = np.bincount(slot, minlength=_TABLE + 1)[:_TABLE]
-    bar = max(least, int(np.partition(counts, -most)[-most]))
+    often = counts[counts >= least]
+    bar = least if len(often) <= most else int(np.partition(often, -most)[-most])
     top = np.flatnonzero(counts >= bar)
     code = np.full(_TABLE + 1, -1, np.int32)
     code[top] = np.arange(len(top))
@@ -234,13 +234,13 @@ def write(docs: DataFrame, path: str, end_id: int = 0, out: str | None = None) -
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], ["block", "first_doc", "doc_ids", "n_ids", "body"])
 
         for batch in batches:
-            names, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
+            names, whole = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
             k = 0
-            while k < len(texts):
+            while k < len(whole):
                 size, z = 0, k
-                while z < len(texts) and size < 1 << 20:
-                    size, z = size + len(texts[z]), z + 1
-                ids, edges = e.texts(texts[k:z])
+                while z < len(whole) and size < 1 << 20:
+                    size, z = size + len(whole[z]), z + 1
+                ids, edges = e.texts(whole[k:z])
                 for j in range(z - k):
                     own = np.r_[ids[edges[j] : edges[j + 1]], end_id].astype(np.int32)
                     if held and count + len(own) > BLOCK:
@@ -256,7 +256,7 @@ def write(docs: DataFrame, path: str, end_id: int = 0, out: str | None = None) -
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     d = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text")
     d = d.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    d.mapInArrow(run, schema).withColumn("shard", F.spark_partition_id()).write.option("compression", "zstd").parquet(out)
+    texts(d).mapInArrow(run, schema).withColumn("shard", F.spark_partition_id()).write.option("compression", "zstd").parquet(out)
     return out
 
 

@@ -50,22 +50,22 @@ def nodes(docs: DataFrame, shards: int) -> DataFrame:
 
 def propagate(d: DataFrame, shards: int, rounds: int) -> DataFrame:
     """nodes with shard. Balanced up to the draws."""
-    d = staged(d.withColumn("shard", F.pmod(_hash("doc_id", "n", seed=3), F.lit(shards)).cast("int")), "shard-0")
-    total = d.count()
-    capacity = -(-total // shards)
+    all_ = staged(d.withColumn("shard", F.pmod(_hash("doc_id", "n", seed=3), F.lit(shards)).cast("int")), "shard-0")
+    capacity = -(-all_.count() // shards)
+    # documents without links stay where they are: they would meet in one task of a join by group
+    d, rest = all_.where("grp IS NOT NULL"), all_.where("grp IS NULL")
     for r in range(1, rounds + 1):
-        votes = d.where("grp IS NOT NULL").groupBy("grp", "shard").count()
+        votes = d.groupBy("grp", "shard").count()
         best = votes.groupBy("grp").agg(F.max_by("shard", F.struct("count", _hash("grp", "shard", seed=r))).alias("best"))
-        wish = staged(d.join(best, "grp", "left"), f"shard-wish-{r}")
-        flow = wish.where("grp IS NOT NULL").groupBy("shard", F.coalesce("best", "shard").alias("best")).count().collect()
-        load, out, into = [0] * shards, [0] * shards, [0] * shards
+        wish = staged(d.join(best, "grp"), f"shard-wish-{r}")
+        flow = wish.groupBy("shard", "best").count().collect()
+        load, into = [0] * shards, [0] * shards
         for f in flow:
             load[f.shard] += f["count"]
             if f.best != f.shard:
-                out[f.shard] += f["count"]
                 into[f.best] += f["count"]
         if not sum(into):
-            return d
+            break
         # what leaves makes room; a shard that does not let all in keeps the others where they are
         share = [1.0] * shards
         for _ in range(20):
@@ -75,9 +75,9 @@ def propagate(d: DataFrame, shards: int, rounds: int) -> DataFrame:
                     leaves[f.shard] += f["count"] * share[f.best]
             share = [min(1.0, max(0.0, capacity - load[s] + leaves[s]) / into[s]) if into[s] else 1.0 for s in range(shards)]
         let = F.element_at(F.array(*[F.lit(int(x * _DRAW)) for x in share]), F.col("best") + 1)
-        move = F.col("best").isNotNull() & (F.pmod(_hash("doc_id", "n", seed=100 + r), F.lit(_DRAW)) < let)
+        move = F.pmod(_hash("doc_id", "n", seed=100 + r), F.lit(_DRAW)) < let
         d = staged(wish.select("doc_id", "n", "size", "text_crc32", "grp", F.when(move, F.col("best")).otherwise(F.col("shard")).alias("shard")), f"shard-{r}")
-    return d
+    return d.unionByName(rest)
 
 
 def numbered(d: DataFrame, *order: Column) -> DataFrame:
