@@ -123,14 +123,12 @@ class Recent:
         """Those not there; the others move to the young ones."""
         if len(self.young) > self.half:
             self.old, self.young = self.young, {}
-        young, old, out = self.young, self.old, []
-        for k in keys:
-            if k not in young:
-                v = old.get(k)
-                if v is None:
-                    out.append(k)
-                else:
-                    young[k] = v
+        young, old = self.young, self.old
+        out = [k for k in keys if k not in young]
+        again = [k for k in out if k in old] if old else []
+        if again:
+            young.update((k, old[k]) for k in again)
+            out = [k for k in out if k not in old]
         return out
 
 
