@@ -13,6 +13,8 @@ from functools import lru_cache
 import numpy as np
 
 _NEVER = 1 << 60
+#: So many answers about pairs of tokens are kept.
+FITS = 250_000
 
 
 def byte_letters() -> dict[str, str]:
@@ -74,7 +76,7 @@ class Bpe:
 
     def fits(self, a: int, b: int) -> bool:
         """Whether b may follow a."""
-        if len(self._fit) > 1_000_000:
+        if len(self._fit) > FITS:
             self._fit.clear()
         found = self._fit[a << 20 | b] = self._apart(a, b, _NEVER)
         return found

@@ -24,10 +24,11 @@ from pyspark.sql import functions as F
 
 from wardspark.llm import bpe, pretoken
 from wardspark.llm.arrays import Recent, stretches
+from wardspark.llm.stage import texts
 from wardspark.llm.tokencount import library
 
 #: Encodings of so many words are kept by a worker.
-KEPT = 200_000
+KEPT = 100_000
 _WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
 
@@ -95,4 +96,4 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
                 n = pa.array([len(i) // 4 for i in ids], pa.int64())
                 yield pa.RecordBatch.from_arrays([b.column(0), n, pa.array(ids, pa.binary()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids", "decoded"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded string")
+    return texts(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded string")

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardspark.llm.arrays import PLAIN_GAP, Words, hash_of, stretches
+from wardspark.llm.stage import texts as texts_of
 
 PHRASES = {b"mit license": "mit", b"apache license": "apache", b"general public license": "gpl"}
 #: Label and words of well-known licence notices.
@@ -68,7 +69,7 @@ def frequencies(docs: DataFrame, words: list[bytes]) -> dict[bytes, int]:
                 total += np.bincount(at[known[at] == h], minlength=len(known))
         yield pa.RecordBatch.from_arrays([pa.array(known.view(np.int64)), pa.array(total)], ["h", "n"])
 
-    got = docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).collect()
+    got = texts_of(docs.select("text")).mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).collect()
     counts = {name[r.h & (1 << 64) - 1]: r.n for r in got}
     return {w: counts.get(w, 0) for w in sorted_words}
 
@@ -160,4 +161,4 @@ def license_scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
                 )
 
     schema = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    return texts_of(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(run, schema)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardspark.llm.components import components
-from wardspark.llm.stage import staged
+from wardspark.llm.stage import staged, texts
 
 BITS = 64
 BLOCK = 2048
@@ -55,7 +55,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42) -> DataFrame
             fp = np.frombuffer(b"".join([fingerprint(x.as_py(), shingle, seed) for x in b.column(1)]), ">i8")
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.astype(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    return texts(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(run, "doc_id long, fp long")
 
 
 def planes_of(fp: np.ndarray) -> np.ndarray:

@@ -53,5 +53,17 @@ def _clean() -> None:
             return
 
 
+#: Rows of a batch that goes to Python: whole texts, some of them long, and a few batches are in memory at a time.
+BATCH_ROWS = 1000
+
+
+def texts(docs: DataFrame) -> DataFrame:
+    """docs, to be handed to Python in small batches (a setting of the session, lowered where it is larger)."""
+    conf = docs.sparkSession.conf
+    if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return docs
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

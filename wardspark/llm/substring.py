@@ -29,12 +29,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wardspark.llm.arrays import Words, mixed, planes, stretches, unplanes, windows
-from wardspark.llm.stage import staged
+from wardspark.llm.stage import staged, texts
 
 WINDOW, PERIOD, COVER = 13, 7, (0, 1, 3)
 ANCHOR = WINDOW - PERIOD + 1
 #: Entries that a task gathers before it sends them.
-FLUSH = 1 << 19
+FLUSH = 1 << 18
+#: Bytes of text that are hashed at once.
+STRETCH = 1 << 18
+#: Buckets for each shuffle partition: a task holds one bucket at a time.
+BUCKETS = 4
 #: Up to so many document ids are broadcast to tell which documents take part; beyond, they are joined by a shuffle.
 MAX_BROADCAST_IDS = 1_000_000
 _SENT = "bucket long, h binary, h2 binary, doc binary, pos binary, known boolean"
@@ -120,6 +124,12 @@ def _dealt(doc: np.ndarray, pos: np.ndarray, buckets: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, ["bucket", "doc", "pos"])
 
 
+def _rows(batch: pa.RecordBatch) -> Iterator[list]:
+    """One row after the other, so that a batch of large rows is not copied as a whole."""
+    for k in range(batch.num_rows):
+        yield [c[k].as_py() for c in batch.columns]
+
+
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by bucket to doc_id and its places, sorted, once each."""
     now, rows = None, []
@@ -137,11 +147,11 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(doc[first]), lists], ["doc_id", "pos"])
 
     for b in batches:
-        for r in zip(*[c.to_pylist() for c in b.columns], strict=True):
-            if r[0] != now:
+        for bucket, *r in _rows(b):
+            if bucket != now:
                 yield from done()
-                now, rows = r[0], []
-            rows.append(r[1:])
+                now, rows = bucket, []
+            rows.append(r)
     yield from done()
 
 
@@ -172,19 +182,23 @@ def _meet(any_shared: bool, buckets: int):
                 yield _dealt(doc, pos, buckets)
 
         for b in batches:
-            for r in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                if r[0] != now:
+            for bucket, *r in _rows(b):
+                if bucket != now:
                     yield from done()
-                    now, rows = r[0], []
-                rows.append(r[1:])
+                    now, rows = bucket, []
+                rows.append(r)
         yield from done()
 
     return run
 
 
+def _partitions(d: DataFrame) -> int:
+    return BUCKETS * int(d.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _exchange(sent: DataFrame, any_shared: bool) -> DataFrame:
     """doc_id and its found places, sorted, once each."""
-    n = int(sent.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = _partitions(sent)
     met = sent.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet(any_shared, n), _FOUND)
     return met.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_gather, "doc_id long, pos array<int>")
 
@@ -193,7 +207,7 @@ def _send_anchors(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held, turn = [], 0, 0
         for batch in batches:
-            for b in stretches(batch, 1):
+            for b in stretches(batch, 1, STRETCH):
                 w = Words(b.column(1))
                 place = w.places()
                 at = np.flatnonzero((w.left() >= ANCHOR) & np.isin(place % PERIOD, COVER))
@@ -213,7 +227,7 @@ def _send_windows(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held, turn = [], 0, 0
         for batch in batches:
-            for b in stretches(batch, 1):
+            for b in stretches(batch, 1, STRETCH):
                 w, marked = Words(b.column(1)), b.column(2)
                 sizes = pc.list_value_length(marked).to_numpy()
                 at = np.repeat(w.bounds[:-1], sizes) + marked.flatten().to_numpy()
@@ -240,8 +254,8 @@ def _cut(joined: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """doc_id, text, pos (null: nothing goes), rest to doc_id, n_words, n_removed, text, rest."""
         for batch in batches:
-            for b in stretches(batch, 1):
-                ids, n, gone, texts = b.column(0), [], [], []
+            for b in stretches(batch, 1, STRETCH):
+                ids, n, gone, cut = b.column(0), [], [], []
                 for text, pos in zip(b.column(1).cast(pa.binary()).to_pylist(), b.column(2), strict=True):
                     words = (text or b"").split()
                     n.append(len(words))
@@ -249,7 +263,7 @@ def _cut(joined: bool):
                     starts = starts[starts + WINDOW <= len(words)]
                     if not len(starts):
                         gone.append(0)
-                        texts.append(b" ".join(words) if joined else text)
+                        cut.append(b" ".join(words) if joined else text)
                         continue
                     step = np.zeros(len(words) + 1, np.int64)
                     np.add.at(step, starts, 1)
@@ -257,13 +271,13 @@ def _cut(joined: bool):
                     out = np.cumsum(step[:-1]) > 0
                     gone.append(int(out.sum()))
                     if joined:
-                        texts.append(b" ".join([x for x, o in zip(words, out.tolist(), strict=True) if not o]))
+                        cut.append(b" ".join([x for x, o in zip(words, out.tolist(), strict=True) if not o]))
                     else:  # each kept word with the white space after it, and what stands before the first word
                         w = Words(pa.array([text], pa.binary()))
                         edges = np.r_[w.start, len(text)]
                         keep = np.flatnonzero(~out)
-                        texts.append(text[: w.start[0]] + b"".join([text[edges[i] : edges[i + 1]] for i in keep.tolist()]))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string()), b.column(3)], ["doc_id", "n_words", "n_removed", "text", "rest"])
+                        cut.append(text[: w.start[0]] + b"".join([text[edges[i] : edges[i + 1]] for i in keep.tolist()]))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(cut, pa.binary()).cast(pa.string()), b.column(3)], ["doc_id", "n_words", "n_removed", "text", "rest"])
 
     return run
 
@@ -271,8 +285,7 @@ def _cut(joined: bool):
 def substring_dedup(docs: DataFrame, joined: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_words, n_removed, text: the kept words with one space between them (joined) or their own white space;
     and rest, a struct of the columns in keep (true if there are none)."""
-    spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = _partitions(texts(docs))
     rest = F.struct(*[F.col(f"`{c}`") for c in keep]) if keep else F.lit(True)
     d = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), F.col("text"), rest.alias("rest"))
 

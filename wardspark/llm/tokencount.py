@@ -24,6 +24,7 @@ from tokenizers import Tokenizer
 
 from wardspark.llm import bpe, pretoken
 from wardspark.llm.arrays import Recent, _ranged, stretches
+from wardspark.llm.stage import texts
 
 #: Counts of so many pre-tokens are kept by a worker.
 KEPT = 400_000
@@ -99,4 +100,4 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(c.texts(texts))], ["doc_id", "n_bytes", "n_tokens"])
 
     d = docs.select(F.col("doc_id").cast("long"), "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
-    return d.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long").select("*", (F.col("n_tokens") > limit).alias("over_limit"))
+    return texts(d).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long").select("*", (F.col("n_tokens") > limit).alias("over_limit"))
