@@ -199,8 +199,8 @@ def _partitions(d: DataFrame) -> int:
 def _exchange(sent: DataFrame, any_shared: bool) -> DataFrame:
     """doc_id and its found places, sorted, once each."""
     n = _partitions(sent)
-    met = sent.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet(any_shared, n), _FOUND)
-    return met.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_gather, "doc_id long, pos array<int>")
+    met = sent.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet(any_shared, n // BUCKETS), _FOUND)
+    return met.repartition(n // BUCKETS, "bucket").sortWithinPartitions("bucket").mapInArrow(_gather, "doc_id long, pos array<int>")
 
 
 def _send_anchors(buckets: int):
