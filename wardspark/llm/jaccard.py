@@ -1,0 +1,179 @@
+"""Near-duplicates by exact Jaccard similarity of word shingles: all pairs of 4/5 or more, joined to components.
+
+Equal sets form a class. Of a set of n shingles, in an order that all sets share, one of the first n - ceil(4n/5) + 1
+is also among the first ones of every set that is similar enough (prefix filter), so classes meet in one bucket for each
+shingle of their prefixes. The order puts shingles first that few documents have; how well they are counted changes the
+work, never the result. Lengths and places are compared (length and positional filters), then the sets themselves.
+
+A bucket's members are first compared with its ``LEADERS`` smallest classes, so that a large group of near copies
+takes as many pairs as it has members. Leaders leave; buckets whose members are joined already go; where the pairs that
+are left are at most ``PAIRS`` for each row, they are all compared, else the next leaders are taken.
+
+Defined cases: null and empty texts are equal; a text of fewer words than a shingle is one shingle; texts are taken
+whole; rows with a null id take no part; rows that share an id are judged each; shingles are compared by 64-bit hashes.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import functions as F
+
+from wardspark.llm.components import components
+from wardspark.llm.decontam import small
+from wardspark.llm.stage import staged, texts
+
+SHINGLE = 5
+LEADERS = 1
+#: So many pairs for each row of a prefix are compared at once.
+PAIRS = 4
+#: So many of the most common shingles are put last in the order; of those that stand in LOCAL documents of a batch.
+COMMON, LOCAL = 100_000, 4
+
+
+def shingles(text: str | None) -> np.ndarray:
+    """Sorted hashes of the distinct shingles."""
+    words = (text or "").encode().lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    all_of = map(b" ".join, zip(*[words[k:] for k in range(SHINGLE)], strict=False)) if len(words) >= SHINGLE else [b" ".join(words)]
+    return np.unique(np.frombuffer(b"".join(map(xxhash.xxh64_digest, all_of)), ">u8").astype(np.uint64))
+
+
+def _class(s: np.ndarray) -> int:
+    return int(np.array(xxhash.xxh64_intdigest(s.tobytes()), np.uint64).astype(np.int64))
+
+
+def _sets(batch: pa.RecordBatch) -> tuple[list[np.ndarray], pa.Array]:
+    sets = [shingles(x.as_py()) for x in batch.column(1)]
+    return sets, pa.array([_class(s) for s in sets], pa.int64())
+
+
+def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The class of each document (n is null) and how often the common shingles of a batch stand in it."""
+    names = ["doc_id", "cls", "n"]
+    for b in batches:
+        if not b.num_rows:
+            continue
+        sets, cls = _sets(b)
+        yield pa.RecordBatch.from_arrays([b.column(0), cls, pa.nulls(b.num_rows, pa.int64())], names)
+        h, n = np.unique(np.concatenate(sets), return_counts=True)
+        h, n = h[n >= LOCAL], n[n >= LOCAL]
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(h), pa.int64()), pa.array(h.view(np.int64)), pa.array(n, pa.int64())], names)
+
+
+def _prefixes(common: np.ndarray, count: np.ndarray):
+    """common: sorted hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets, cls = _sets(b)
+            size = np.array([len(s) for s in sets], np.int64)
+            take = np.where(size > 0, size - -(-4 * size // 5) + 1, 0)
+            first = []
+            for s, p in zip(sets, take.tolist(), strict=True):
+                if len(common) and len(s):
+                    at = np.minimum(np.searchsorted(common, s), len(common) - 1)
+                    s = s[np.argsort(np.where(common[at] == s, count[at], 0), kind="stable")]
+                first.append(s[:p])
+            bucket = np.concatenate(first) if first else np.zeros(0, np.uint64)
+            pos = np.arange(len(bucket)) - np.repeat(np.cumsum(take) - take, take)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(bucket.view(np.int64)), pa.array(np.repeat(cls.to_numpy(), take)), pa.array(np.repeat(size, take)), pa.array(pos)], ["bucket", "cls", "n", "pos"]
+            )
+
+    return run
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        sets, cls = _sets(b)
+        yield pa.RecordBatch.from_arrays([cls, pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["cls", "items"])
+
+
+def _possible(a: str, b: str) -> Column:
+    """If the place where two sets meet is the first that they share, they may have 4/5 of their union in common."""
+    rest = F.least(F.col(f"{a}.n") - F.col(f"{a}.pos"), F.col(f"{b}.n") - F.col(f"{b}.pos"))
+    return 9 * rest >= 4 * (F.col(f"{a}.n") + F.col(f"{b}.n"))
+
+
+def _full() -> WindowSpec:
+    return Window.partitionBy("bucket")
+
+
+def _order() -> WindowSpec:
+    return _full().orderBy("cls")
+
+
+def _led(rows: DataFrame) -> DataFrame:
+    me = F.struct("cls", "n", "pos")
+    so_far = _order().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    d = rows.select(me.alias("x"), F.array(*[F.nth_value(me, k + 1).over(so_far) for k in range(LEADERS)]).alias("leaders"))
+    d = d.select("x", F.explode("leaders").alias("y")).where("y.cls < x.cls").where(_possible("x", "y"))
+    return d.select(F.col("y.cls").alias("a"), F.col("x.cls").alias("b")).distinct()
+
+
+def _all(rows: DataFrame) -> DataFrame:
+    d = rows.select("bucket", F.struct("cls", "n", "pos", "component").alias("x"))
+    d = d.join(d.withColumnRenamed("x", "y"), "bucket").where("y.cls < x.cls AND y.component <> x.component").where(_possible("x", "y"))
+    return d.select(F.col("y.cls").alias("a"), F.col("x.cls").alias("b")).distinct()
+
+
+def _left(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows behind the leaders, of buckets that have more than one component."""
+    d = rows.select("bucket", "cls", "n", "pos", F.row_number().over(_order()).alias("k")).where(F.col("k") > LEADERS).drop("k")
+    d = d.join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    d = d.select("*", F.min("component").over(_full()).alias("lo"), F.max("component").over(_full()).alias("hi"))
+    return d.where("lo < hi").drop("lo", "hi")
+
+
+def _verified(docs: DataFrame, named: DataFrame, prefixes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """u, v: the pairs whose sets have 4/5 of their union in common. What two prefixes share and all that may follow
+    the one that ends first is compared before whole sets are."""
+    side = lambda d, c: d.select(F.col("cls").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in d.columns if x != "cls"])
+    d = pairs.join(side(prefixes, "a"), "a").join(side(prefixes, "b"), "b")
+    most = F.size(F.array_intersect("items_a", "items_b")) + F.greatest("behind_a", "behind_b")
+    pairs = staged(d.where(9 * most >= 4 * (F.col("n_a") + F.col("n_b"))).select("a", "b"), "likely")
+    cls = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    ids = small(named.join(cls, "cls").select("doc_id").distinct())
+    sets = staged(docs.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_whole, "cls long, items array<long>"), "sets")
+    d = pairs.join(side(sets, "a"), "a").join(side(sets, "b"), "b")
+    same = F.size(F.array_intersect("items_a", "items_b"))
+    return d.where(9 * same >= 4 * (F.size("items_a") + F.size("items_b"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, component_id: the smallest doc_id that is reached over links, the own one included."""
+    docs = texts(docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text"))
+    marks = staged(docs.mapInArrow(_marks, "doc_id long, cls long, n long"), "classes")
+    named = marks.where("n IS NULL").select("doc_id", "cls")
+    first = staged(named.groupBy("cls").agg(F.min("doc_id").alias("doc_id")), "first")
+    top = marks.where("n IS NOT NULL").groupBy("cls").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "cls").limit(COMMON).collect()
+    common, count = np.array([r.cls for r in top], np.int64).view(np.uint64), np.array([r.n for r in top], np.int64)
+    order = np.argsort(common)
+    copies = small(named.select("doc_id").join(first.select("doc_id"), "doc_id", "left_anti").distinct())
+    rows = docs.join(copies, "doc_id", "left_anti").select("doc_id", "text").mapInArrow(_prefixes(common[order], count[order]), "bucket long, cls long, n long, pos long")
+    rows = staged(rows.select("*", F.count("*").over(_full()).alias("members")).where("members > 1").drop("members"), "prefixes")
+    budget = PAIRS * rows.count()
+    prefixes = rows.groupBy("cls").agg(F.first("n").alias("n"), F.collect_list("bucket").alias("items"))
+    prefixes = staged(prefixes.select("cls", "n", "items", F.expr("(4 * n + 4) div 5 - 1").alias("behind")), "shared")
+    links = staged(_verified(docs, first, prefixes, staged(_led(rows), "pairs")), "links")
+    while True:
+        found = staged(components(links), "found")
+        rows = staged(_left(rows, found), "left")
+        pairs = rows.groupBy("bucket").count().agg(F.coalesce(F.sum(F.col("count") * (F.col("count") - 1) / 2), F.lit(0.0))).first()[0]
+        if not pairs:
+            break
+        last = pairs <= budget
+        more = _verified(docs, first, prefixes, staged(_all(rows) if last else _led(rows), "pairs"))
+        links = staged(links.unionByName(more), "links")
+        if last:
+            found = staged(components(links), "found")
+            break
+    d = named.join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    d = staged(d.select("doc_id", "component"), "members")
+    return d.join(d.groupBy("component").agg(F.min("doc_id").alias("component_id")), "component").select("doc_id", "component_id")
