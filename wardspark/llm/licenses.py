@@ -6,6 +6,9 @@ words, of which m are needed, one of the first n - m + 1 must be in the block (p
 words (length filter); and what is still to come behind the first shared word, on either side, must suffice (positional
 filter). What is left is compared word by word, so every block that meets the threshold is found.
 
+A notice that is wrapped over lines is found by windows of words that cross line breaks, of a quarter more words than the
+template has, so that words of a comment's margin may stand between; they are judged by the same threshold.
+
 Besides, places of fixed phrases are counted. Words are lower-cased (A-Z) runs of letters, digits and bytes beyond ASCII.
 
 Defined cases: a null or empty text has no words, no label and score 0; a long line is one block; texts are taken whole;
@@ -82,12 +85,31 @@ class Join:
         self.rank = {w: k for k, w in enumerate(order)}
         self.labels = [t[0] for t in templates]
         self.sets = [sorted({self.rank[w] for w in words_of(t[1])}) for t in templates]
+        self.words = [{w for w in words_of(t[1])} for t in templates]
+        self.reach = [math.ceil(1.25 * len(words_of(t[1]))) for t in templates]
         self.need = [max(1, math.ceil(threshold * len(s) - 1e-9)) for s in self.sets]
         self.by_prefix: dict[int, list[int]] = {}
         for k, (s, m) in enumerate(zip(self.sets, self.need, strict=True)):
             for r in s[: len(s) - m + 1]:
                 self.by_prefix.setdefault(r, []).append(k)
 
+    def wrapped(self, w: Words, h: np.ndarray, owner: np.ndarray, lines: np.ndarray, hit: np.ndarray) -> Iterator[tuple[int, int, float]]:
+        """Text, template and share of windows that cross lines; hit: places of prefix words, one of which such a window has."""
+        for k, (words, m, reach) in enumerate(zip(self.words, self.need, self.reach, strict=True)):
+            known = np.sort(hash_of(sorted(words)))
+            at = np.searchsorted(known, h)
+            at[at == len(known)] = 0
+            member = known[at] == h
+            total = np.r_[0, np.cumsum(member)]
+            first = np.flatnonzero(member)
+            end = np.minimum(first + reach, w.bounds[owner[first] + 1])
+            near = np.searchsorted(hit, end) > np.searchsorted(hit, first)
+            ok = near & (total[end] - total[first] >= m) & (lines[end - 1] != lines[first])
+            for a, z in zip(first[ok].tolist(), end[ok].tolist(), strict=True):
+                both = len(words.intersection(w.word(i) for i in range(a, z)))
+                if both >= m:
+                    yield int(owner[a]), k, both / len(words)
+
     def prefix_words(self) -> list[bytes]:
         return [w for w, r in self.rank.items() if r in self.by_prefix]
 
@@ -146,6 +168,9 @@ def license_scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
                         for t, share in join.matches(block).items():
                             labels[owner[a]].add(join.labels[t])
                             score[owner[a]] = max(score[owner[a]], share)
+                    for o, t, share in join.wrapped(w, h, owner, lines, hit):
+                        labels[o].add(join.labels[t])
+                        score[o] = max(score[o], share)
                 yield pa.RecordBatch.from_arrays(
                     [
                         b.column(0),
