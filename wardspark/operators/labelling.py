@@ -76,6 +76,17 @@ TRUE_CODE = [
     r"cursor\.execute\s*\(\s*f['\"]|cursor\.execute\s*\([^,]+\+",
     r"innerHTML\s*=.*req|innerHTML\s*=.*user|innerHTML\s*=.*param",
 ]
+# fixed values: rules whose findings are false alarms where path or code says so
+FALSE_RULES = [
+    ("B101", r"test|spec|pytest|unittest"),
+    ("B110", r"optional|fallback|ignore|skip"),
+    ("B311", r"shuffle|sample|choice|display|ui|color|game|demo"),
+    ("innerhtml", r"ckeditor|tinymce|jquery|vendor|static/.*\.js"),
+    ("B404", r".*"),
+    ("B105|B106|B107", r"test|example|placeholder|dummy|sample|config"),
+]
+# fixed values: messages that leave a verdict open
+UNCERTAIN_WORDS = [r"generic|informational|info[-_]?only", r"potential|possible|may[-_]?be"]
 # fixed values: weights of a staged verdict
 SEVERITY_WEIGHT = {"CRITICAL": 1.0, "HIGH": 0.9, "MEDIUM": 0.7, "LOW": 0.4, "WARNING": 0.6, "INFO": 0.2, "INFORMATION": 0.2}
 CONFIDENCE_WEIGHT = {"HIGH": 1.0, "MEDIUM": 0.7, "LOW": 0.4}
@@ -141,6 +152,47 @@ def staged_verdict(path: Column, code: Column, severity: Column, confidence: Col
     return first_of([(any_of(path, FALSE_PATHS, True) | any_of(code, FALSE_CODE, True), "FP"), (any_of(code, TRUE_CODE, True), "TP"), (score >= 0.6, "TP"), (score < 0.3, "FP")], F.lit("UNCERTAIN"))
 
 
+def inferred_verdict(rule: Column, message: Column, path: Column, code: Column, severity: Column, confidence: Column) -> Column:
+    """All phases: false alarms by path, by rule in its context and by code; true ones by code; analysis by rule; the
+    product of the weights (from 0.7 on true, up to 0.3 uncertain); words of the message; else true. Null values are
+    empty; a confidence that is empty is medium."""
+    from wardspark.functions.severity import lookup
+    from wardspark.operators.datasets import any_of
+
+    rule, message, path, code, severity, confidence = [F.coalesce(c, F.lit("")) for c in (rule, message, path, code, severity, confidence)]
+    low_path, low_code, low_rule = F.lower(path), F.lower(code), F.lower(rule)
+    has = lambda c, *words: any_of(c, [w.replace(".", r"\.") for w in words])
+    context = F.concat(low_path, F.lit(" "), low_code)
+    weight = lookup(SEVERITY_WEIGHT, F.upper(severity), 0.5) * lookup(CONFIDENCE_WEIGHT, F.upper(F.when(confidence == "", "MEDIUM").otherwise(confidence)), 0.7)
+    asserts, random = rule.contains("B101") | low_rule.contains("assert"), rule.contains("B311") | low_rule.contains("random")
+    secret, markup = rule.rlike("B10[567]"), low_rule.contains("innerhtml") | F.lower(message).contains("xss")
+    return first_of(
+        [
+            (any_of(low_path, FALSE_PATHS, True), "FP"),
+            *[(any_of(rule, [r], True) & any_of(context, [p], True), "FP") for r, p in FALSE_RULES],
+            (any_of(low_code, FALSE_CODE, True), "FP"),
+            (any_of(low_code, TRUE_CODE, True), "TP"),
+            (asserts & has(low_path, "auth", "security", "permission", "access"), "UNCERTAIN"),
+            (asserts, "FP"),
+            (rule.contains("B110") & has(low_code, "security", "auth", "password", "token", "secret"), "TP"),
+            (rule.contains("B110") | rule.contains("B404"), "FP"),
+            (random & has(low_code, "secret", "token", "password", "key", "salt", "nonce", "iv"), "TP"),
+            (random & has(low_code, "shuffle", "sample", "choice", "color", "display", "game"), "FP"),
+            (random, "UNCERTAIN"),
+            (secret & has(low_code, "xxx", "placeholder", "changeme", "example", "your_"), "FP"),
+            (secret & has(low_path, "test", "example", "sample", "config"), "FP"),
+            (secret, "TP"),
+            (markup & has(low_path, "ckeditor", "tinymce", "vendor", "node_modules", ".min.js"), "FP"),
+            (markup & has(low_code, "request", "user", "param", "input"), "TP"),
+            (markup, "UNCERTAIN"),
+            (weight >= 0.7, "TP"),
+            (weight <= 0.3, "UNCERTAIN"),
+            (any_of(F.lower(F.concat(rule, F.lit(" "), message)), UNCERTAIN_WORDS, True), "UNCERTAIN"),
+        ],
+        F.lit("TP"),
+    )
+
+
 def risk_label(label: Column, is_vulnerable: Column, verdict: Column) -> Column:
     """0 or 1 by the first that is given; uncertain verdicts are null."""
     said = F.when(F.upper(verdict) == "TP", 1).when(F.upper(verdict) == "FP", 0)

@@ -22,6 +22,18 @@ def staged_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select("ordinal", labelling.staged_verdict(path, snippet, F.col("severity"), F.col("confidence_word")).alias("verdict")).groupBy("verdict").agg(F.count("*").alias("n"))
 
 
+def inferred_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All phases; staged_verdicts has the short form that its SQL states."""
+    f = findings(spark, sf_dir)
+    one = lambda k, *values: F.element_at(F.array(*map(F.lit, values)), (k + 1).cast("int"))
+    path = F.when(F.col("ordinal") % 11 == 0, F.concat(F.lit("tests/"), F.col("filepath"))).when(F.col("ordinal") % 5 == 0, F.concat(F.lit("auth/"), F.col("filepath"))).otherwise(F.col("filepath"))
+    snippet = one(F.col("ordinal") % 7, "x = request.args", "y() # nosec", "z = 1", "token = random()", "shuffle(x)", "changeme", "user")
+    rule = one(F.col("ordinal") % 9, "B101", "B110", "B404", "B311", "B105", "innerHTML", "B608", "R1", "R2")
+    message = F.concat("message", one(F.col("ordinal") % 3, "", " possible", " xss"))
+    v = labelling.inferred_verdict(rule, message, path, snippet, F.col("severity"), F.col("confidence_word"))
+    return f.select("ordinal", v.alias("verdict")).groupBy("verdict").agg(F.count("*").alias("n"))
+
+
 def vulnerability_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("k", "row"))
     return d.select("doc_id", "k", labelling.vulnerability(F.col("row")).alias("kind")).where("kind IS NOT NULL")
@@ -123,7 +135,7 @@ def answer_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (category_map, staged_verdicts, vulnerability_windows, risk_labels, closed_vocabulary, query_expansion, safe_documents, report_list, patch_summary, risk_summary, mapping_rates_by_file, token_lengths, citation_tiers, graph_collate, graph_neighbour_means, graph_mean_pool, graph_use_edges, graph_sibling_edges, answer_checks)
+    for f in (category_map, staged_verdicts, inferred_verdicts, vulnerability_windows, risk_labels, closed_vocabulary, query_expansion, safe_documents, report_list, patch_summary, risk_summary, mapping_rates_by_file, token_lengths, citation_tiers, graph_collate, graph_neighbour_means, graph_mean_pool, graph_use_edges, graph_sibling_edges, answer_checks)
 }
 
 
