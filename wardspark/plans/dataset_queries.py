@@ -134,6 +134,21 @@ def ood_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("vec_id", h.alias("entropy"), retrieval.out_of_distribution(h, F.round(d, 6), 1.7, 0.45).alias("reason"))
 
 
+def mean_cov_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All dimensions; mean_cov has the first 4, as its SQL has."""
+    return retrieval.mean_and_covariance(table(spark, sf_dir, "embeddings"), "embedding")[1].withColumn("cov", F.round("cov", 5))
+
+
+def ood_reasons_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All dimensions; ood_reasons has the first 8, as its SQL has. The limits are those of 8, by ln(n) and sqrt(n)."""
+    e = table(spark, sf_dir, "embeddings")
+    v = F.transform("embedding", lambda x: F.abs(x.cast("double")))
+    total = F.aggregate(v, F.lit(0.0), lambda s, x: s + x)
+    h = F.round(vector.entropy(F.transform(v, lambda x: x / total)), 6)
+    grown = F.size("embedding") / 8.0
+    return e.select("vec_id", h.alias("entropy"), retrieval.out_of_distribution(h, F.round(vector.norm(F.col("embedding")), 6), 1.7 + F.log(grown), 0.45 * F.sqrt(grown)).alias("reason"))
+
+
 def auroc_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.auroc(_labelled(spark, sf_dir), F.col("quality"), F.col("n_chars")).select(F.round("auroc", 6).alias("auroc"))
 
@@ -205,7 +220,7 @@ def patch_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (hash_split, split_class_counts, stratified_split, ood_split, balance_ratio, balance_oversample, capped_per_source, class_weights, agreement_rate, token_vocab_top, code_features, line_rule_hits, redact_long_tokens, redact_counts, mask_values, excerpt_context, chunk_800_100, line_windows, hash_embedding, cosine_topk, lexical_topk, rerank_boost, mean_cov, ood_reasons, auroc_rank, confusion_counts, per_class_prf, anti_resume, upsert_first_wins, replace_by_key, overlay_config, select_round_robin, diff_line_numbers, diff_policy, rank_candidates, patch_rates)
+    for f in (hash_split, split_class_counts, stratified_split, ood_split, balance_ratio, balance_oversample, capped_per_source, class_weights, agreement_rate, token_vocab_top, code_features, line_rule_hits, redact_long_tokens, redact_counts, mask_values, excerpt_context, chunk_800_100, line_windows, hash_embedding, cosine_topk, lexical_topk, rerank_boost, mean_cov, ood_reasons, mean_cov_whole, ood_reasons_whole, auroc_rank, confusion_counts, per_class_prf, anti_resume, upsert_first_wins, replace_by_key, overlay_config, select_round_robin, diff_line_numbers, diff_policy, rank_candidates, patch_rates)
 }
 _BUCKET = "CAST(concat('0x', left(sha256(concat('42:', doc_id)), 16)) AS UBIGINT)::DOUBLE / 18446744073709551616"
 _SPLIT = f"CASE WHEN {_BUCKET} < 0.8 THEN 'train' WHEN {_BUCKET} < 0.8 + 0.1 THEN 'val' ELSE 'test' END"

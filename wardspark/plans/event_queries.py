@@ -57,6 +57,12 @@ def job_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.fold_jobs(c)
 
 
+def job_fold_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole lines; job_fold has their first 40 characters, as its SQL has."""
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("job_id"), F.col("turn").alias("seq"), F.when(F.col("role") != "user", F.col("role")).alias("status"), F.when(F.col("role") == "user", F.col("text")).alias("line"))
+    return store.fold_jobs(c)
+
+
 def masked_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = events(spark, sf_dir)
     args = F.to_json(F.struct(F.concat(F.lit("key-"), F.col("event_id").cast("string")).alias("api_token"), F.col("tool").alias("tool")))
@@ -73,7 +79,7 @@ def gateway_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gateway.decide(r, gateway.policies(spark))
 
 
-QUERIES = {f.__name__: f for f in (events_recent_filtered, events_limit_then_filter, gateway_summary_totals, gateway_top_tools, sliding_log_counts, rate_limit_accept, tumbling_windows, sliding_windows, session_windows, job_fold, masked_props, gateway_decisions)}
+QUERIES = {f.__name__: f for f in (events_recent_filtered, events_limit_then_filter, gateway_summary_totals, gateway_top_tools, sliding_log_counts, rate_limit_accept, tumbling_windows, sliding_windows, session_windows, job_fold, job_fold_whole, masked_props, gateway_decisions)}
 ORACLE = {
     "events_recent_filtered": f"WITH {EVENTS} SELECT event_id, ts, tool, decision FROM ev WHERE decision = 'deny' AND ts BETWEEN TIMESTAMP '2024-01-10' AND TIMESTAMP '2024-01-20' ORDER BY ts DESC, event_id LIMIT 100",
     "events_limit_then_filter": f"WITH {EVENTS} SELECT event_id, ts, decision FROM (SELECT * FROM ev ORDER BY ts DESC, event_id LIMIT 100) WHERE decision = 'deny' ORDER BY ts DESC, event_id LIMIT 50",
