@@ -98,12 +98,21 @@ def test_substring_dedup(which, request, rows):
 
 
 def test_substring_dedup_with_shuffled_joins(docs, rows, monkeypatch):
-    monkeypatch.setattr(substring, "MAX_BROADCAST_IDS", 0)
+    monkeypatch.setattr(substring, "BROADCAST_BYTES", 0)
     monkeypatch.setattr(substring, "FLUSH", 500)
+    monkeypatch.setattr(substring, "PLACES", 300)
     got = {i: (r.n_words, r.n_removed, r.text) for i, r in by_id(substring.substring_dedup(docs)).items()}
     assert got == deduped(rows)
 
 
+def test_substring_dedup_of_repeated_ids(spark):
+    """Rows of one id: each loses what a smaller id has, at its own places; what they share with each other stays."""
+    a, b = (" ".join(f"{x}{k}" for k in range(20)) for x in "ab")
+    d = spark.createDataFrame([(1, a), (2, "x y " + a), (2, b + " " + a), (2, b), (2, None), (3, b + " z"), (3, b + " z")], "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_words, r.n_removed, r.text) for r in substring.substring_dedup(d).collect())
+    assert got == sorted([(1, 20, 0, a), (2, 22, 20, "x y"), (2, 40, 20, b), (2, 20, 0, b), (2, 0, 0, ""), (3, 21, 20, "z"), (3, 21, 20, "z")])
+
+
 def test_substring_dedup_keeps_white_space(spark, empty):
     shared = " ".join(f"w{k}" for k in range(13))
     d = spark.createDataFrame([(1, shared), (2, f"\n a\tb\n{shared} c\n")], "doc_id long, text string")

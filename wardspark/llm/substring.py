@@ -5,16 +5,20 @@ A word goes if a window of ``WINDOW`` words covers it whose words also start in
 place at the same offset of at most 6; the ``WINDOW`` - 6 words from there are their anchor. So
 
 1. anchors are hashed at cover places only (3 of 7) and those that stand in two documents are marked,
-2. marked anchors are extended: the windows around them are hashed as a whole, in 96 bits, and meet again by hash, where
+2. marked anchors are extended: the windows around them are hashed as a whole, in 128 bits, and meet again by hash, where
    those of all but the smallest document are to go,
 3. documents that lose words are cut.
 
-Hashes travel packed: a task deals its sorted hashes to buckets and sends each bucket one row of byte planes. What a
-task knows to be shared already is not sent for comparison: of each hash only the smallest document goes on, so a hash
-that fills a third of all rows takes one entry per task.
+Windows are the same if two independent 64-bit hashes of their words are; words themselves are not shipped.
 
-Defined cases: a null text has no words; texts are taken whole; rows without an id are left out; a repeated id is cut at
-the places found for any of its rows; an empty table gives no rows; other columns are ignored.
+Hashes travel packed: a task sorts them and deals them to buckets, a row of byte planes for each. There are as many
+buckets as the bytes of text ask for (``BUCKET_BYTES``), and a task gathers entries in proportion to the buckets before
+it sends. What a task knows to be shared already is not sent for comparison: of each hash only the smallest document goes
+on, so a hash that fills a third of all rows takes one entry per task. Found places go on as a row for each document.
+
+Defined cases: a null text has no words; texts are taken whole; rows without an id are left out; rows of one id and
+different texts are cut each at its own places (told apart by 31 bits of a hash of the text) and never against each
+other, equal ones alike; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,21 +32,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wardspark.llm.arrays import Words, mixed, planes, stretches, unplanes, windows
-from wardspark.llm.stage import staged, texts
+from wardspark.llm.arrays import Words, planes, stretches, unplanes, windows
+from wardspark.llm.stage import done, staged, texts
 
 WINDOW, PERIOD, COVER = 13, 7, (0, 1, 3)
 ANCHOR = WINDOW - PERIOD + 1
-#: Entries that a task gathers before it sends them.
-FLUSH = 1 << 18
+#: Entries that a task gathers before it sends them: so many for each bucket, within these bounds.
+PER_BUCKET, FLUSH, MOST = 1 << 10, 1 << 18, 1 << 21
 #: Bytes of text that are hashed at once.
 STRETCH = 1 << 18
-#: Buckets for each shuffle partition: a task holds one bucket at a time.
-BUCKETS = 4
-#: Up to so many document ids are broadcast to tell which documents take part; beyond, they are joined by a shuffle.
-MAX_BROADCAST_IDS = 1_000_000
-_SENT = "bucket long, h binary, h2 binary, doc binary, pos binary, known boolean"
-_FOUND = "bucket long, doc binary, pos binary"
+#: A bucket for so many bytes of text, and one for each shuffle partition at least; a task holds one at a time.
+BUCKET_BYTES = 16 << 20
+#: Found places that a task gathers before it sends them to their documents.
+PLACES = 1 << 20
+#: Document ids are broadcast to tell which documents take part if they take at most so many bytes, at so many an id;
+#: beyond, they are joined by a shuffle.
+BROADCAST_BYTES, ID_BYTES = 32 << 20, 48
+_SENT = "bucket long, h binary, h2 binary, doc binary, pos binary"
+_FOUND = "doc_id long, tag int, pos array<int>"
+#: Mark of an entry whose hash its task knows to be shared; places lie below, the tag of the text above bit 32.
+_KNOWN = np.int64(-1 << 63)
 
 
 def _groups(h: np.ndarray, h2: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
@@ -66,7 +75,12 @@ def _told(doc: np.ndarray, first: np.ndarray, n: int, any_shared: bool, multi: n
     return (shared if any_shared else doc != least), doc == least, shared
 
 
-def _send(parts: list, buckets: int, any_shared: bool, turn: int) -> Iterator[pa.RecordBatch]:
+def _packs(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64(), *[pa.binary()] * 4]
+    return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["bucket", "h", "h2", "doc", "pos"])
+
+
+def _send(parts: list, buckets: int, any_shared: bool) -> Iterator[pa.RecordBatch]:
     h, h2, doc, pos = (None if x[0] is None else np.concatenate(x) for x in zip(*parts, strict=True))
     if not len(h):
         return
@@ -80,48 +94,31 @@ def _send(parts: list, buckets: int, any_shared: bool, turn: int) -> Iterator[pa
         head = np.flatnonzero(shared & least)
         go = least & ~shared
         go[head[np.r_[True, group[head][1:] != group[head][:-1]]] if len(head) else head] = True
-    rows = {k: [] for k in ("bucket", "h", "h2", "doc", "pos", "known")}
-
-    def row(bucket, at, known):
-        x = h[at]
-        rows["bucket"].append(bucket)
-        rows["h"].append(planes(np.diff(x, prepend=np.uint64(0))))
-        rows["h2"].append(b"" if h2 is None else planes(h2[at]))
-        rows["doc"].append(planes(doc[at]))
-        rows["pos"].append(planes(pos[at].astype(np.int32)))
-        rows["known"].append(known)
-
     at = np.flatnonzero(go)
-    # shared ones come apart from the others, for their mark
-    for known in (False, True):
-        mine = at[shared[at] == known] if any_shared else (at if not known else at[:0])
-        bucket = ((h[mine] >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-        edges = np.r_[0, np.flatnonzero(np.diff(bucket)) + 1, len(mine)] if len(mine) else [0]
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            row(int(bucket[a]), mine[a:b], known)
+    if len(at):
+        mark = np.where(shared[at], _KNOWN, np.int64(0)) if any_shared else np.int64(0)
+        x, bucket = h[at], ((h[at] >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+        edges = np.r_[0, np.flatnonzero(np.diff(bucket)) + 1, len(at)].tolist()
+        y, d, p = None if h2 is None else h2[at], doc[at], pos[at] | mark
+        pack = lambda a, b: (int(bucket[a]), planes(np.diff(x[a:b], prepend=np.uint64(0))), None if y is None else planes(y[a:b]), planes(d[a:b]), planes(p[a:b]))
+        yield _packs([pack(a, b) for a, b in zip(edges[:-1], edges[1:], strict=True)])
     here = np.flatnonzero(found)
+    here = here[np.argsort(doc[here], kind="stable")]
     for k in range(0, len(here), FLUSH // 8):  # found already: on their way to the documents, through any bucket
         part = here[k : k + FLUSH // 8]
-        rows["bucket"].append(turn % buckets)
-        turn += 1
-        rows["h"].append(None)
-        rows["h2"].append(None)
-        rows["doc"].append(planes(doc[part]))
-        rows["pos"].append(planes(pos[part].astype(np.int32)))
-        rows["known"].append(True)
-    kinds = {"bucket": pa.int64(), "known": pa.bool_()}
-    yield pa.RecordBatch.from_arrays([pa.array(v, kinds.get(k, pa.binary())) for k, v in rows.items()], list(rows))
-
-
-def _dealt(doc: np.ndarray, pos: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """Places packed for the bucket of their document, a row for each bucket that gets any."""
-    bucket = ((mixed(doc.view(np.uint64)) >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-    order = np.lexsort((doc, bucket))
-    doc, pos, bucket = doc[order], pos[order], bucket[order]
-    first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-    edges = list(zip(first.tolist(), [*first[1:].tolist(), len(doc)], strict=True))
-    columns = [pa.array(bucket[first].astype(np.int64)), pa.array([planes(doc[x:y]) for x, y in edges], pa.binary()), pa.array([planes(pos[x:y]) for x, y in edges], pa.binary())]
-    return pa.RecordBatch.from_arrays(columns, ["bucket", "doc", "pos"])
+        yield _packs([(int(h[part[0]] % np.uint64(buckets)), None, None, planes(doc[part]), planes(pos[part]))])
+
+
+def _by_document(doc: np.ndarray, pos: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Places, a row for each document and tag."""
+    order = np.lexsort((pos, doc))
+    doc, pos = doc[order], pos[order]
+    tag, pos = (pos >> 32).astype(np.int32), (pos & 0xFFFFFFFF).astype(np.int32)
+    first = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])])
+    edges = np.r_[first, len(doc)].astype(np.int32)
+    whole = pa.RecordBatch.from_arrays([pa.array(doc[first]), pa.array(tag[first]), pa.ListArray.from_arrays(pa.array(edges), pa.array(pos))], ["doc_id", "tag", "pos"])
+    for k in range(0, whole.num_rows, 1 << 14):
+        yield whole.slice(k, 1 << 14)
 
 
 def _rows(batch: pa.RecordBatch) -> Iterator[list]:
@@ -130,124 +127,102 @@ def _rows(batch: pa.RecordBatch) -> Iterator[list]:
         yield [c[k].as_py() for c in batch.columns]
 
 
-def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by bucket to doc_id and its places, sorted, once each."""
-    now, rows = None, []
-
-    def done() -> Iterator[pa.RecordBatch]:
-        if not rows:
-            return
-        doc, pos = np.concatenate([unplanes(r[0], np.int64) for r in rows]), np.concatenate([unplanes(r[1], np.int32) for r in rows])
-        order = np.lexsort((pos, doc))
-        doc, pos = doc[order], pos[order]
-        new = np.r_[True, (doc[1:] != doc[:-1]) | (pos[1:] != pos[:-1])]
-        doc, pos = doc[new], pos[new]
-        first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
-        lists = pa.ListArray.from_arrays(pa.array(np.r_[first, len(doc)].astype(np.int32)), pa.array(pos))
-        yield pa.RecordBatch.from_arrays([pa.array(doc[first]), lists], ["doc_id", "pos"])
-
-    for b in batches:
-        for bucket, *r in _rows(b):
-            if bucket != now:
-                yield from done()
-                now, rows = bucket, []
-            rows.append(r)
-    yield from done()
-
-
-def _meet(any_shared: bool, buckets: int):
+def _meet(any_shared: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows sorted by bucket; the places that are found, packed for the buckets of their documents."""
-        now, rows = None, []
-
-        def done() -> Iterator[pa.RecordBatch]:
-            doc, pos = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
-            sent = [r for r in rows if r[0] is not None]
-            for r in rows:
-                if r[0] is None:
-                    doc.append(unplanes(r[2], np.int64))
-                    pos.append(unplanes(r[3], np.int32))
-            if sent:
-                h = np.concatenate([np.cumsum(unplanes(r[0], np.uint64), dtype=np.uint64) for r in sent])
-                h2 = np.concatenate([unplanes(r[1], np.uint32) for r in sent]) if sent[0][1] else None
-                d = np.concatenate([unplanes(r[2], np.int64) for r in sent])
-                p = np.concatenate([unplanes(r[3], np.int32) for r in sent])
-                multi = np.concatenate([np.full(len(r[3]) // 4, r[4]) for r in sent])
-                order, first = _groups(h, h2)
-                found, _, _ = _told(d[order], first, len(h), any_shared, multi[order])
-                doc.append(d[order][found])
-                pos.append(p[order][found])
-            doc, pos = np.concatenate(doc), np.concatenate(pos)
-            if len(doc):
-                yield _dealt(doc, pos, buckets)
+        """Packs sorted by bucket; the places that are found, by document."""
+        now, packs, docs, places, held = None, [], [], [], 0
+
+        def judged() -> None:
+            nonlocal held
+            if not packs:
+                return
+            h = np.concatenate([np.cumsum(unplanes(r[0], np.uint64), dtype=np.uint64) for r in packs])
+            h2 = np.concatenate([unplanes(r[1], np.uint64) for r in packs]) if packs[0][1] else None
+            doc = np.concatenate([unplanes(r[2], np.int64) for r in packs])
+            pos = np.concatenate([unplanes(r[3], np.int64) for r in packs])
+            packs.clear()
+            order, first = _groups(h, h2)
+            found, _, _ = _told(doc[order], first, len(h), any_shared, (pos < 0)[order])
+            at = order[found]
+            docs.append(doc[at])
+            places.append(pos[at] & ~_KNOWN)
+            held += len(at)
+
+        def flushed() -> Iterator[pa.RecordBatch]:
+            nonlocal held
+            if held:
+                yield from _by_document(np.concatenate(docs), np.concatenate(places))
+            docs.clear()
+            places.clear()
+            held = 0
 
         for b in batches:
-            for bucket, *r in _rows(b):
+            for bucket, h, *r in _rows(b):
                 if bucket != now:
-                    yield from done()
-                    now, rows = bucket, []
-                rows.append(r)
-        yield from done()
+                    judged()
+                    now = bucket
+                if h is None:
+                    docs.append(unplanes(r[1], np.int64))
+                    places.append(unplanes(r[2], np.int64))
+                    held += len(docs[-1])
+                else:
+                    packs.append((h, *r))
+                if held >= PLACES:
+                    yield from flushed()
+        judged()
+        yield from flushed()
 
     return run
 
 
-def _partitions(d: DataFrame) -> int:
-    return BUCKETS * int(d.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
+def _exchange(sent: DataFrame, any_shared: bool, buckets: int) -> DataFrame:
+    """doc_id, tag and the found places of each; a place may be there twice."""
+    met = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet(any_shared), _FOUND)
+    return met.groupBy("doc_id", "tag").agg(F.flatten(F.collect_list("pos")).alias("pos"))
 
-def _exchange(sent: DataFrame, any_shared: bool) -> DataFrame:
-    """doc_id and its found places, sorted, once each."""
-    n = _partitions(sent)
-    met = sent.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet(any_shared, n // BUCKETS), _FOUND)
-    return met.repartition(n // BUCKETS, "bucket").sortWithinPartitions("bucket").mapInArrow(_gather, "doc_id long, pos array<int>")
 
+def _sending(entries, buckets: int, any_shared: bool):
+    """entries: a batch to hashes, second hashes, documents and places."""
+    flush = min(max(FLUSH, PER_BUCKET * buckets), MOST) if FLUSH >= 1 << 16 else FLUSH
 
-def _send_anchors(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, held, turn = [], 0, 0
+        parts, held = [], 0
         for batch in batches:
             for b in stretches(batch, 1, STRETCH):
-                w = Words(b.column(1))
-                place = w.places()
-                at = np.flatnonzero((w.left() >= ANCHOR) & np.isin(place % PERIOD, COVER))
-                h = windows(w.hashes(), at, ANCHOR) >> np.uint64(16) << np.uint64(16)
-                parts.append((h, None, b.column(0).to_numpy()[w.owner()[at]], place[at].astype(np.int32)))
-                held += len(at)
-                if held >= FLUSH:
-                    yield from _send(parts, buckets, True, turn)
-                    parts, held, turn = [], 0, turn + 7919
+                parts.append(entries(b))
+                held += len(parts[-1][0])
+                if held >= flush:
+                    yield from _send(parts, buckets, any_shared)
+                    parts, held = [], 0
         if parts:
-            yield from _send(parts, buckets, True, turn)
+            yield from _send(parts, buckets, any_shared)
 
     return run
 
 
-def _send_windows(buckets: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, held, turn = [], 0, 0
-        for batch in batches:
-            for b in stretches(batch, 1, STRETCH):
-                w, marked = Words(b.column(1)), b.column(2)
-                sizes = pc.list_value_length(marked).to_numpy()
-                at = np.repeat(w.bounds[:-1], sizes) + marked.flatten().to_numpy()
-                around = np.zeros(len(w.start) + 1, bool)
-                place, left = w.places(), w.left()
-                at = at[at < len(w.start)]
-                for k in range(PERIOD):  # windows that start up to PERIOD - 1 words before the anchor
-                    mine = at[place[at] >= k] - k
-                    around[mine] = True
-                at = np.flatnonzero(around[:-1] & (left >= WINDOW))
-                h, h2 = windows(w.hashes(0), at, WINDOW, 0), (windows(w.hashes(1), at, WINDOW, 1) >> np.uint64(32)).astype(np.uint32)
-                parts.append((h, h2, b.column(0).to_numpy()[w.owner()[at]], place[at].astype(np.int32)))
-                held += len(at)
-                if held >= FLUSH:
-                    yield from _send(parts, buckets, False, turn)
-                    parts, held, turn = [], 0, turn + 7919
-        if parts:
-            yield from _send(parts, buckets, False, turn)
+def _located(b: pa.RecordBatch, w: Words, at: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    owner = w.owner()[at]
+    return b.column(0).to_numpy()[owner], b.column(2).to_numpy()[owner].astype(np.int64) << 32 | place[at]
+
+
+def _anchors(b: pa.RecordBatch) -> tuple:
+    w = Words(b.column(1))
+    place = w.places()
+    at = np.flatnonzero((w.left() >= ANCHOR) & np.isin(place % PERIOD, COVER))
+    return windows(w.hashes(), at, ANCHOR) >> np.uint64(16) << np.uint64(16), None, *_located(b, w, at, place)
 
-    return run
+
+def _windows(b: pa.RecordBatch) -> tuple:
+    """Of the windows around marked anchors."""
+    w, marked = Words(b.column(1)), b.column(3)
+    at = np.repeat(w.bounds[:-1], pc.list_value_length(marked).to_numpy()) + marked.flatten().to_numpy()
+    around = np.zeros(len(w.start) + 1, bool)
+    place, left = w.places(), w.left()
+    at = at[at < len(w.start)]
+    for k in range(PERIOD):  # windows that start up to PERIOD - 1 words before the anchor
+        around[at[place[at] >= k] - k] = True
+    at = np.flatnonzero(around[:-1] & (left >= WINDOW))
+    return windows(w.hashes(0), at, WINDOW, 0), windows(w.hashes(1), at, WINDOW, 1), *_located(b, w, at, place)
 
 
 def _cut(joined: bool):
@@ -260,7 +235,6 @@ def _cut(joined: bool):
                     words = (text or b"").split()
                     n.append(len(words))
                     starts = np.asarray(pos.values, np.int64) if pos.is_valid else np.zeros(0, np.int64)
-                    starts = starts[starts + WINDOW <= len(words)]
                     if not len(starts):
                         gone.append(0)
                         cut.append(b" ".join(words) if joined else text)
@@ -282,27 +256,46 @@ def _cut(joined: bool):
     return run
 
 
+def _few(ids: DataFrame) -> bool:
+    most = BROADCAST_BYTES // ID_BYTES
+    return ids.limit(most + 1).count() <= most
+
+
+def _tagged(d: DataFrame) -> DataFrame:
+    """Adds tag: 0, or for an id that is given more than once a positive hash of the row's text."""
+    repeated = staged(d.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated-ids")
+    if repeated.isEmpty():
+        return d.withColumn("tag", F.lit(0))
+    own = F.coalesce(F.xxhash64("text"), F.lit(0)).bitwiseAND(F.lit((1 << 31) - 1)).cast("int")
+    ids = repeated.withColumn("again", F.lit(True))
+    return d.join(F.broadcast(ids) if _few(ids) else ids, "doc_id", "left").withColumn("tag", F.when(F.col("again"), own).otherwise(0)).drop("again")
+
+
 def substring_dedup(docs: DataFrame, joined: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_words, n_removed, text: the kept words with one space between them (joined) or their own white space;
     and rest, a struct of the columns in keep (true if there are none)."""
-    buckets = _partitions(texts(docs))
     rest = F.struct(*[F.col(f"`{c}`") for c in keep]) if keep else F.lit(True)
-    d = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), F.col("text"), rest.alias("rest"))
+    d = texts(docs).where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), F.col("text"), rest.alias("rest"))
+    bytes_ = d.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    buckets = max(int(d.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-bytes_ // BUCKET_BYTES))
+    d = _tagged(d)
 
     def among(marks: DataFrame) -> tuple[DataFrame, DataFrame | None]:
         """The documents with their marks, and the others where these can be told apart without a shuffle."""
-        if marks.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS:
-            ids = F.broadcast(marks.select("doc_id"))
-            return d.join(ids, "doc_id", "left_semi").join(marks, "doc_id"), d.join(ids, "doc_id", "left_anti")
-        return d.join(marks, "doc_id", "left"), None
-
-    marked = staged(_exchange(d.select("doc_id", "text").mapInArrow(_send_anchors(buckets), _SENT), True), "anchors")
-    near, _ = among(marked)
-    near = near.where("pos IS NOT NULL").select("doc_id", "text", "pos")
-    starts = staged(_exchange(near.mapInArrow(_send_windows(buckets), _SENT), False), "windows")
+        if _few(marks):
+            ids = F.broadcast(marks.select("doc_id").distinct())
+            mine = d.join(ids, "doc_id", "left_semi").join(marks, ["doc_id", "tag"], "left")
+            return mine, d.join(ids, "doc_id", "left_anti")
+        return d.join(marks, ["doc_id", "tag"], "left"), None
+
+    anchors = d.select("doc_id", "text", "tag").mapInArrow(_sending(_anchors, buckets, True), _SENT)
+    marked = staged(_exchange(anchors, True, buckets), "anchors")
+    near = among(marked)[0].where("pos IS NOT NULL").select("doc_id", "text", "tag", "pos")
+    starts = staged(_exchange(near.mapInArrow(_sending(_windows, buckets, False), _SENT), False, buckets), "windows")
+    done(marked)
     schema = T.StructType.fromDDL("doc_id long, n_words long, n_removed long, text string").add("rest", d.schema["rest"].dataType)
     cut, others = among(starts)
-    done = cut.select("doc_id", "text", "pos", "rest").mapInArrow(_cut(joined), schema)
+    out = cut.select("doc_id", "text", "pos", "rest").mapInArrow(_cut(joined), schema)
     if others is not None:
-        done = done.unionByName(others.select("doc_id", "text", F.lit(None).cast("array<int>").alias("pos"), "rest").mapInArrow(_cut(joined), schema))
-    return done
+        out = out.unionByName(others.select("doc_id", "text", F.lit(None).cast("array<int>").alias("pos"), "rest").mapInArrow(_cut(joined), schema))
+    return out
