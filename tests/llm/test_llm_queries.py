@@ -22,4 +22,4 @@ def test_query(spark, duck, name):
     if name in ORACLE:
         same(got, duck.sql(ORACLE[name]).df())
     else:
-        assert len(got) == duck.sql("SELECT count(*) FROM documents").fetchone()[0]
+        assert len(got) == duck.sql("SELECT count(*) FROM documents").fetchall()[0][0]
