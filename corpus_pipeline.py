@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wardspark.llm import decontam, encode, jaccard, quality, substring
+from wardspark.llm import decontam, encode, quality, similar, substring
 from wardspark.llm.q10_encode import VOCABULARY, digests
 from wardspark.llm.stage import staged, table
 
@@ -34,7 +34,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates (5-word shingles, Jaccard 0.8 or more) the document with the smallest id stays."""
-    near = staged(jaccard.near_duplicates(docs), "near")
+    near = staged(similar.near_duplicates(docs), "near")
     kept = without(docs, near.where("doc_id <> component_id"))
     repeated = staged(near.groupBy("doc_id").count().where("count > 1"), "repeated")
     if repeated.isEmpty():
