@@ -14,7 +14,8 @@ Windows are the same if two independent 64-bit hashes of their words are; words
 Hashes travel packed: a task sorts them and deals them to buckets, a row of byte planes for each. There are as many
 buckets as the bytes of text ask for (``BUCKET_BYTES``), and a task gathers entries in proportion to the buckets before
 it sends. What a task knows to be shared already is not sent for comparison: of each hash only the smallest document goes
-on, so a hash that fills a third of all rows takes one entry per task. Found places go on as a row for each document.
+on, so a hash that fills a third of all rows takes one entry per task. Found places go on packed for shelves of documents.
+So a pack holds what a task has for one place, as a shuffle block does; with more text, larger buckets keep packs large.
 
 Defined cases: a null text has no words; texts are taken whole; rows without an id are left out; rows of one id and
 different texts are cut each at its own places (told apart by 31 bits of a hash of the text) and never against each
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wardspark.llm.arrays import Words, planes, stretches, unplanes, windows
+from wardspark.llm.arrays import Words, mixed, planes, stretches, unplanes, windows
 from wardspark.llm.stage import done, staged, texts
 
 WINDOW, PERIOD, COVER = 13, 7, (0, 1, 3)
@@ -41,15 +42,16 @@ ANCHOR = WINDOW - PERIOD + 1
 PER_BUCKET, FLUSH, MOST = 1 << 10, 1 << 18, 1 << 21
 #: Bytes of text that are hashed at once.
 STRETCH = 1 << 18
-#: A bucket for so many bytes of text, and one for each shuffle partition at least; a task holds one at a time.
-BUCKET_BYTES = 16 << 20
+#: A bucket of hashes, and a shelf of documents, for so many bytes of text; a task holds one of them at a time. There is
+#: one for each shuffle partition too, down to ``LEAST_BYTES``.
+BUCKET_BYTES, SHELF_BYTES, LEAST_BYTES = 16 << 20, 64 << 20, 1 << 20
 #: Found places that a task gathers before it sends them to their documents.
 PLACES = 1 << 20
 #: Document ids are broadcast to tell which documents take part if they take at most so many bytes, at so many an id;
 #: beyond, they are joined by a shuffle.
 BROADCAST_BYTES, ID_BYTES = 32 << 20, 48
 _SENT = "bucket long, h binary, h2 binary, doc binary, pos binary"
-_FOUND = "doc_id long, tag int, pos array<int>"
+_FOUND = "shelf long, doc binary, pos binary"
 #: Mark of an entry whose hash its task knows to be shared; places lie below, the tag of the text above bit 32.
 _KNOWN = np.int64(-1 << 63)
 
@@ -109,16 +111,44 @@ def _send(parts: list, buckets: int, any_shared: bool) -> Iterator[pa.RecordBatc
         yield _packs([(int(h[part[0]] % np.uint64(buckets)), None, None, planes(doc[part]), planes(pos[part]))])
 
 
-def _by_document(doc: np.ndarray, pos: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Places, a row for each document and tag."""
-    order = np.lexsort((pos, doc))
-    doc, pos = doc[order], pos[order]
-    tag, pos = (pos >> 32).astype(np.int32), (pos & 0xFFFFFFFF).astype(np.int32)
-    first = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])])
-    edges = np.r_[first, len(doc)].astype(np.int32)
-    whole = pa.RecordBatch.from_arrays([pa.array(doc[first]), pa.array(tag[first]), pa.ListArray.from_arrays(pa.array(edges), pa.array(pos))], ["doc_id", "tag", "pos"])
-    for k in range(0, whole.num_rows, 1 << 14):
-        yield whole.slice(k, 1 << 14)
+def _dealt(doc: np.ndarray, pos: np.ndarray, shelves: int) -> pa.RecordBatch:
+    """Places packed for the shelves of their documents, a row for each shelf that gets any."""
+    shelf = ((mixed(doc.view(np.uint64)) >> np.uint64(32)) * np.uint64(shelves)) >> np.uint64(32)
+    order = np.lexsort((doc, shelf))
+    doc, pos, shelf = doc[order], pos[order], shelf[order]
+    first = np.flatnonzero(np.r_[True, shelf[1:] != shelf[:-1]])
+    edges = list(zip(first.tolist(), [*first[1:].tolist(), len(doc)], strict=True))
+    columns = [pa.array(shelf[first].astype(np.int64)), pa.array([planes(doc[x:y]) for x, y in edges], pa.binary()), pa.array([planes(pos[x:y]) for x, y in edges], pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, ["shelf", "doc", "pos"])
+
+
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packs sorted by shelf; doc_id, tag and the places of each, sorted, once each."""
+    now, packs = None, []
+
+    def listed() -> Iterator[pa.RecordBatch]:
+        if not packs:
+            return
+        doc, pos = np.concatenate([unplanes(r[0], np.int64) for r in packs]), np.concatenate([unplanes(r[1], np.int64) for r in packs])
+        packs.clear()
+        order = np.lexsort((pos, doc))
+        doc, pos = doc[order], pos[order]
+        new = np.r_[True, (doc[1:] != doc[:-1]) | (pos[1:] != pos[:-1])]
+        doc, pos = doc[new], pos[new]
+        tag, pos = (pos >> 32).astype(np.int32), (pos & 0xFFFFFFFF).astype(np.int32)
+        first = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])])
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[first, len(doc)].astype(np.int32)), pa.array(pos))
+        whole = pa.RecordBatch.from_arrays([pa.array(doc[first]), pa.array(tag[first]), lists], ["doc_id", "tag", "pos"])
+        for k in range(0, whole.num_rows, 1 << 12):
+            yield whole.slice(k, 1 << 12)
+
+    for b in batches:
+        for shelf, *r in _rows(b):
+            if shelf != now:
+                yield from listed()
+                now = shelf
+            packs.append(r)
+    yield from listed()
 
 
 def _rows(batch: pa.RecordBatch) -> Iterator[list]:
@@ -127,9 +157,9 @@ def _rows(batch: pa.RecordBatch) -> Iterator[list]:
         yield [c[k].as_py() for c in batch.columns]
 
 
-def _meet(any_shared: bool):
+def _meet(any_shared: bool, shelves: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Packs sorted by bucket; the places that are found, by document."""
+        """Packs sorted by bucket; the places that are found, packed for the shelves of their documents."""
         now, packs, docs, places, held = None, [], [], [], 0
 
         def judged() -> None:
@@ -151,7 +181,7 @@ def _meet(any_shared: bool):
         def flushed() -> Iterator[pa.RecordBatch]:
             nonlocal held
             if held:
-                yield from _by_document(np.concatenate(docs), np.concatenate(places))
+                yield _dealt(np.concatenate(docs), np.concatenate(places), shelves)
             docs.clear()
             places.clear()
             held = 0
@@ -175,10 +205,10 @@ def _meet(any_shared: bool):
     return run
 
 
-def _exchange(sent: DataFrame, any_shared: bool, buckets: int) -> DataFrame:
-    """doc_id, tag and the found places of each; a place may be there twice."""
-    met = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet(any_shared), _FOUND)
-    return met.groupBy("doc_id", "tag").agg(F.flatten(F.collect_list("pos")).alias("pos"))
+def _exchange(sent: DataFrame, any_shared: bool, buckets: int, shelves: int) -> DataFrame:
+    """doc_id, tag and the found places of each."""
+    met = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet(any_shared, shelves), _FOUND)
+    return met.repartition(shelves, "shelf").sortWithinPartitions("shelf").mapInArrow(_gather, "doc_id long, tag int, pos array<int>")
 
 
 def _sending(entries, buckets: int, any_shared: bool):
@@ -276,8 +306,9 @@ def substring_dedup(docs: DataFrame, joined: bool = True, keep: tuple[str, ...]
     and rest, a struct of the columns in keep (true if there are none)."""
     rest = F.struct(*[F.col(f"`{c}`") for c in keep]) if keep else F.lit(True)
     d = texts(docs).where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), F.col("text"), rest.alias("rest"))
-    bytes_ = d.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    buckets = max(int(d.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-bytes_ // BUCKET_BYTES))
+    size = d.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    spread = min(int(d.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // LEAST_BYTES + 1)
+    buckets, shelves = max(spread, -(-size // BUCKET_BYTES)), max(spread, -(-size // SHELF_BYTES))
     d = _tagged(d)
 
     def among(marks: DataFrame) -> tuple[DataFrame, DataFrame | None]:
@@ -289,9 +320,9 @@ def substring_dedup(docs: DataFrame, joined: bool = True, keep: tuple[str, ...]
         return d.join(marks, ["doc_id", "tag"], "left"), None
 
     anchors = d.select("doc_id", "text", "tag").mapInArrow(_sending(_anchors, buckets, True), _SENT)
-    marked = staged(_exchange(anchors, True, buckets), "anchors")
+    marked = staged(_exchange(anchors, True, buckets, shelves), "anchors")
     near = among(marked)[0].where("pos IS NOT NULL").select("doc_id", "text", "tag", "pos")
-    starts = staged(_exchange(near.mapInArrow(_sending(_windows, buckets, False), _SENT), False, buckets), "windows")
+    starts = staged(_exchange(near.mapInArrow(_sending(_windows, buckets, False), _SENT), False, buckets, shelves), "windows")
     done(marked)
     schema = T.StructType.fromDDL("doc_id long, n_words long, n_removed long, text string").add("rest", d.schema["rest"].dataType)
     cut, others = among(starts)
