@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tests.llm.conftest import SCHEMA
-from wardspark.llm import bpe, decontam, encode, licenses, pretoken, quality, repair, sharding, simhash, substring, tokencount
+from wardspark.llm import bpe, decontam, encode, licenses, pretoken, quality, repair, sharding, simhash, substring, tokencount, transducer
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -259,7 +259,7 @@ def test_encoding_against_the_library(docs, rows, clashing, empty):
 def test_small_caches_change_nothing(rows, monkeypatch):
     texts = [r[1] or "" for r in rows]
     want = [len(e.ids) for e in Tokenizer.from_file(BYTE).encode_batch(texts, add_special_tokens=False)]
-    monkeypatch.setattr(tokencount, "KEPT", 10)
+    monkeypatch.setattr(transducer, "STATES", 2000)
     c = tokencount.Counter(BYTE)
     assert [int(c.texts([t])[0]) for t in texts] == want
     monkeypatch.setattr(encode, "KEPT", 10)
@@ -268,16 +268,29 @@ def test_small_caches_change_nothing(rows, monkeypatch):
     assert [e.texts([t])[0][0] for t in texts] == [bpe.packed(lib.encode(t, add_special_tokens=False).ids) for t in texts]
 
 
-def test_transducer_emits_what_the_encoding_has():
-    b = bpe.loaded(BYTE)
-    words = ["the", "then", "thens", " there", "a", "ab", "abc" * 9]
-    table, finals = b.transducer(words)
-    for w in words:
-        state = total = 0
-        for c in w[:-1]:
-            state, n = table[state, c]
-            total += n
-        assert total + finals[state, w[-1]] == len(b.encode_words([w])[w])
+def test_transducer_emits_what_the_encoding_has(monkeypatch):
+    """Transitions along a word, whatever chunks it lies in and however often the table starts anew."""
+    b = bpe.loaded(BYTE, "byte")
+    words = ["the", "then", "thens", " there", "a", "ab", "abc" * 90, " " * 700, "\n\n", "é字" * 40, "x"] * 3
+    raw = "".join(w.encode().decode("latin-1") for w in words).encode("latin-1")
+    begins = np.cumsum([0, *(len(w.encode()) for w in words)])[:-1]
+    encoded = b.encode_words(list({w.encode().decode("latin-1") for w in words}))
+    want = np.cumsum([0, *(len(encoded[w.encode().decode("latin-1")]) for w in words)])
+    for states, chunk in ((1 << 18, 256), (1 << 18, 7), (1 << 18, 1), (300, 256), (90, 64)):
+        monkeypatch.setattr(transducer, "STATES", states)
+        t = transducer.Transducer(b)
+        assert (t.counts(np.frombuffer(raw, np.uint8), begins, chunk) == want).all(), (states, chunk)
+    monkeypatch.setattr(transducer, "STATES", 1 << 18)
+    t = transducer.Transducer(b)
+    t.counts(np.frombuffer(raw, np.uint8), begins)
+    made = t.made
+    assert (t.counts(np.frombuffer(raw, np.uint8), begins) == want).all() and t.made == made  # compiled once
+
+
+def test_other_kinds_of_tokenizer_files_are_refused():
+    for path, kind in ((BYTE, "word"), (WORD, "byte")):
+        with pytest.raises(ValueError, match="otherwise"):
+            bpe.loaded(path, kind)
 
 
 def test_pretokens_by_stretches():

@@ -24,11 +24,33 @@ def byte_letters() -> dict[str, str]:
     return {chr(b): chr(b) for b in plain} | {chr(256 + k): chr(b) for k, b in enumerate(other)}
 
 
+#: The kinds of tokenizer files that are known: how texts are normalised, cut and put together again.
+BYTE_LEVEL = {
+    "normalizer": None,
+    "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True},
+    "decoder": {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True},
+}
+WORD_LEVEL = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "decoder": None,
+}
+
+
 class Bpe:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
+        odd = {k: v for k, v in {**model, "vocab": None, "merges": None, "end_of_word_suffix": None}.items() if v not in (None, False, "BPE")}
+        if odd or any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in spec["added_tokens"]):
+            raise ValueError(f"not a plain byte-pair model: {odd or 'added tokens with rules'}")
         self.suffix = model.get("end_of_word_suffix") or ""
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         letters = byte_letters()
@@ -113,8 +135,7 @@ class Bpe:
         raise ValueError(f"no token ends {word[:n]!r}")
 
     def _visit(self, words: list[str]):
-        """For each of the sorted words itself, its last token, the last tokens of its shorter prefixes by length, and
-        how long a prefix it has in common with the word before."""
+        """For each of the sorted words itself, its last token and the last tokens of its shorter prefixes by length."""
         before, last = "", [-1]
         find, mid, mid_reach, end, end_reach = self._last, self.mid, self.mid_reach, self.end, self.end_reach
         for w in words:
@@ -126,13 +147,13 @@ class Bpe:
             del last[shared + 1 :]
             for m in range(len(last), n):
                 last.append(find(w, m, mid, mid_reach, last))
-            yield w, find(w, n, end, end_reach, last), last, shared
+            yield w, find(w, n, end, end_reach, last), last
             before = w
 
     def encode_words(self, words: list[str]) -> dict[str, list[int]]:
         """Ids of distinct words; a word is its bytes as characters of the same number."""
         out: dict[str, list[int]] = {}
-        for w, t, last, _ in self._visit(sorted(words)):
+        for w, t, last in self._visit(sorted(words)):
             ids, n = [t], len(w) - self.length[t]
             while n:
                 ids.append(last[n])
@@ -140,38 +161,20 @@ class Bpe:
             out[w] = ids[::-1]
         return out
 
-    def counts(self, words: list[str]) -> dict[str, int]:
-        """Number of tokens of distinct words, as the sum of what the transducer's transitions along it emit."""
-        table, finals = self.transducer(words)
-        out = {}
-        for w in words:
-            state = total = 0
-            for c in w[:-1]:
-                state, emitted = table[state, c]
-                total += emitted
-            out[w] = total + finals[state, w[-1]]
-        return out
 
-    def transducer(self, words: list[str]) -> tuple[dict[tuple[int, str], tuple[int, int]], dict[tuple[int, str], int]]:
-        """A deterministic transducer for these words: (state, byte) to the next state and by how many tokens the
-        encoding of the prefix grows (or shrinks, where a merge joins what was apart), and the same for a last byte."""
-        table: dict[tuple[int, str], tuple[int, int]] = {}
-        finals: dict[tuple[int, str], int] = {}
-        states, counts, made = [0], [0], 0
-        for w, t, last, shared in self._visit(sorted(words)):
-            del states[shared + 1 :], counts[shared + 1 :]
-            for n in range(len(states), len(w)):
-                counts.append(counts[n - self.length[last[n]]] + 1)
-                made += 1
-                states.append(made)
-                table[states[n - 1], w[n - 1]] = made, counts[n] - counts[n - 1]
-            n = len(w)
-            finals[states[n - 1], w[-1]] = counts[n - self.length[t]] + 1 - counts[n - 1]
-        return table, finals
+@lru_cache(maxsize=8)
+def checked(path: str, kind: str) -> None:
+    """Refuses a tokenizer file that is not of this kind ("byte" or "word"), as its ids would be wrong."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    if {k: spec.get(k) for k in BYTE_LEVEL} != {"byte": BYTE_LEVEL, "word": WORD_LEVEL}[kind]:
+        raise ValueError(f"{path} normalises, cuts or decodes texts otherwise than the {kind}-level tokenizers known here")
 
 
 @lru_cache(maxsize=4)
-def loaded(path: str) -> Bpe:
+def loaded(path: str, kind: str) -> Bpe:
+    """The model of a tokenizer file of this kind."""
+    checked(path, kind)
     return Bpe(path)
 
 

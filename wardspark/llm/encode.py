@@ -1,7 +1,7 @@
 """BPE encoding and decoding by prefix-sharing trie traversal.
 
 Texts are normalised and cut into words as the tokenizer file says (canonical composition, lower case, white space
-dropped); the words a worker has not met yet go through a trie in sorted order, where the encodings of shared prefixes
+dropped; a file that says otherwise is refused); the words a worker has not met yet go through a trie in sorted order, where the encodings of shared prefixes
 are computed once (``bpe``). Ids are looked up again for decoding: the tokens as written, with a space between them.
 
 Defined cases: a null or empty text has no ids and decodes to an empty text; strings of special tokens in a text become
@@ -39,7 +39,7 @@ def lower(text: str) -> str:
 
 class Encoder:
     def __init__(self, path: str):
-        self.path, self.bpe = path, bpe.loaded(path)
+        self.path, self.bpe = path, bpe.loaded(path, "word")
         self.kept = Recent(KEPT)
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(self.bpe.special, key=len, reverse=True))) + ")")
         self.marks = {"\0" + t: (bpe.packed([i]), t) for t, i in self.bpe.special.items()}

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wardspark.llm import pretoken
+from wardspark.llm import bpe, pretoken
 from wardspark.llm.arrays import Recent, planes, unplanes
 from wardspark.llm.stage import new_path, texts
 from wardspark.llm.tokencount import distinct, library
@@ -217,6 +217,7 @@ class Block:
 def write(docs: DataFrame, path: str, end_id: int = 0, out: str | None = None) -> str:
     """Encode all documents with the tokenizer file and write them to ``out`` (a new folder if none). The folder."""
     spark = docs.sparkSession
+    bpe.checked(path, "byte")
     out = out or new_path(spark, "token-ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,8 +1,9 @@
 """Token counts by a compiled finite-state tokenizer.
 
-Pre-tokens are found by a finite automaton whose stretch maps are composed by a prefix scan (``pretoken``). The distinct
-pre-tokens of a stretch of texts are compiled into a deterministic transducer whose transitions carry the number of
-tokens by which the encoding grows (``bpe``); what it emits along a pre-token is kept for the next stretches.
+Pre-tokens are found by a finite automaton whose stretch maps are composed by a prefix scan (``pretoken``). The vocabulary
+is compiled into a deterministic transducer whose transitions carry the number of tokens by which the encoding grows
+(``transducer``); the bytes of many texts run through it in chunks side by side, whose maps of states and counts are
+composed by a scan. A text's count is the sum of what was emitted along it.
 
 Defined cases: a null or empty text has no tokens; strings of special tokens in a text count as the library takes them,
 one each; a text with code points that this Python does not know is counted by the library itself; texts are taken whole;
@@ -23,11 +24,12 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from wardspark.llm import bpe, pretoken
-from wardspark.llm.arrays import Recent, _ranged, stretches
+from wardspark.llm.arrays import _ranged, stretches
 from wardspark.llm.stage import texts
+from wardspark.llm.transducer import Transducer
 
-#: Counts of so many pre-tokens are kept by a worker.
-KEPT = 400_000
+#: Bytes of text that run through the transducer together.
+STRETCH = 1 << 21
 _BASES = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 
 
@@ -52,18 +54,19 @@ def distinct(joined: str, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarra
 
 class Counter:
     def __init__(self, path: str):
-        self.path, self.bpe, self.kept = path, bpe.loaded(path), Recent(KEPT)
-        self.special = re.compile("|".join(map(re.escape, sorted(self.bpe.special, key=len, reverse=True)))) if self.bpe.special else None
-
-    def words(self, words: list[str]) -> np.ndarray:
-        """Tokens of each of these pre-tokens."""
-        new = self.kept.missing(words)
-        kept = self.kept.young
-        if new:
-            raw = [w.encode().decode("latin-1") for w in new]
-            counts = self.bpe.counts(raw)
-            kept.update((w, counts[r]) for w, r in zip(new, raw, strict=True))
-        return np.fromiter((kept[w] for w in words), np.int64, len(words))
+        self.path = path
+        model = bpe.loaded(path, "byte")
+        self.transducer = Transducer(model)
+        self.special = re.compile("|".join(map(re.escape, sorted(model.special, key=len, reverse=True)))) if model.special else None
+
+    def plain(self, joined: str, start: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Tokens up to each of the line feeds that end the texts (places in ends); start: where pre-tokens begin."""
+        cps = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        width = 1 + (cps > 0x7F).astype(np.int8) + (cps > 0x7FF) + (cps > 0xFFFF)
+        at = np.r_[0, np.cumsum(width, dtype=np.int64)]
+        begins = np.unique(np.r_[at[start], at[ends]])
+        total = self.transducer.counts(np.frombuffer(joined.encode("utf-8", "surrogatepass"), np.uint8), begins)
+        return total[np.searchsorted(begins, at[ends])]
 
     def texts(self, texts: list[str]) -> np.ndarray:
         """Tokens of each text."""
@@ -73,12 +76,11 @@ class Counter:
             cut = [self.special.split(t) for t in texts]
             pieces, owner = [p for c in cut for p in c], np.repeat(owner, [len(c) for c in cut])
             total += np.array([len(c) - 1 for c in cut])
-        joined, start, end, bounds, odd = pretoken.pretokens(pieces)
+        joined, start, _, _, odd = pretoken.pretokens(pieces)
         odd_texts = np.unique(owner[odd])
-        if len(start):
-            codes, found = distinct(joined, start, end)
-            sums = np.r_[0, np.cumsum(self.words(found)[codes])][bounds]
-            np.add.at(total, owner, np.diff(sums))
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        upto = self.plain(joined, start, np.cumsum(size + 1) - 1)  # the line feed behind each piece is a token of its own
+        np.add.at(total, owner, np.diff(upto, prepend=-1) - 1)
         for k in odd_texts:
             total[k] = len(library(self.path).encode(texts[k], add_special_tokens=False).ids)
         return total
@@ -95,7 +97,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(path)
         for batch in batches:
-            for b in stretches(batch, 1):
+            for b in stretches(batch, 1, STRETCH):
                 texts = [t or "" for t in b.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(c.texts(texts))], ["doc_id", "n_bytes", "n_tokens"])
 
