@@ -339,7 +339,24 @@ def test_repair_round_trip():
             size = int(edges[k + 1] - edges[k])
             for x, y in ((0, size), (size // 3, size // 2), (max(size - 1, 0), size)):
                 assert (b.read_slice(k, x, y) == ids[edges[k] + x : edges[k] + y]).all()
-    assert len(b.symbols) < 200  # one id over and over: halved in each round
+    assert len(b.symbols) < 60  # one id over and over in ten documents: halved again and again
+
+
+@pytest.mark.parametrize("least", [2, 8])
+def test_repair_goes_on_until_no_pair_repeats(least):
+    """A Zipf stream, a long passage many times and one id over and over: no pair is left that stands least times."""
+    rng = np.random.default_rng(8)
+    passage = rng.integers(0, 60, 3000)
+    for ids in (np.minimum(rng.zipf(1.3, 20000), 59), np.concatenate([np.r_[passage, rng.integers(0, 60, 5)] for _ in range(12)]), np.full(100_000, 7)):
+        edges = np.array([0, len(ids) // 3, len(ids)])
+        rules, seq, at = repair.compress(ids.astype(np.int32), edges, 60, least)
+        found: dict[tuple[int, int], list[int]] = {}
+        for k, pair in enumerate(zip(seq[:-1].tolist(), seq[1:].tolist(), strict=True)):
+            if k + 1 not in at and (pair not in found or found[pair][-1] < k - 1):
+                found.setdefault(pair, []).append(k)
+        assert max(map(len, found.values()), default=0) < least
+        size = repair.lengths(rules, 60)
+        assert sum(size[x - 60] if x >= 60 else 1 for x in seq.tolist()) == len(ids)
 
 
 # --- licences

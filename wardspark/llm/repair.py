@@ -1,8 +1,8 @@
 """Token-id files with Re-Pair grammar compression.
 
 Documents are put in order of their ids (a range partitioning; each partition is a shard of blocks), encoded, and each
-block of token ids is compressed: in each round the most frequent neighbouring pairs are counted exactly, get
-nonterminals and are replaced from left to right; no rule reaches over the end of a document. A block holds its rules,
+block of token ids is compressed: frequent neighbouring pairs are counted exactly, get nonterminals and are replaced,
+until no pair stands ``LEAST`` times; no rule reaches over the end of a document. A block holds its rules,
 the expansion length of each, the replaced sequence and where its documents begin in it, so a document, or a stretch of
 it, is read without expanding the rest (``read_slice``).
 
@@ -12,82 +12,59 @@ document (32 bits); the symbols as 32-bit numbers in byte planes. The blocks are
 folder: shard, block, first_doc, doc_ids, n_ids, body; the table is what is written and what is read back.
 
 Defined cases: a null or empty text has the end id only; strings of special tokens become their ids, as the library takes
-them; rows without an id are left out; repeated ids follow each other, ordered by their text; an empty table gives an
-empty file and no rows; other columns are ignored.
+them; a text of more ids than a block is a block by itself; rows without an id are left out; repeated ids follow each
+other, ordered by their text; an empty table gives an empty file and no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wardspark.llm import bpe, pretoken
-from wardspark.llm.arrays import Recent, planes, unplanes
+from wardspark.llm.arrays import planes, unplanes
 from wardspark.llm.stage import new_path, texts
-from wardspark.llm.tokencount import distinct, library
+from wardspark.llm.tokencount import Counter, library
 
 MAGIC = b"RP01"
-#: Token ids in a block, rounds of replacement, pairs that are replaced in a round, and how often a pair must stand.
-BLOCK, ROUNDS, PAIRS, LEAST = 1 << 20, 8, 256, 32
+#: Token ids in a block.
+BLOCK = 1 << 20
+#: How often a pair must stand to be replaced. A rule takes 12 bytes and a symbol 1 to 2 where it is stored, so that rules
+#: for rarer pairs make files larger; 2 goes on until no pair repeats.
+LEAST = 8
 #: Up to so many blocks their offsets are broadcast.
 MAX_BROADCAST_BLOCKS = 500_000
-KEPT = 600_000
 _TABLE = 1 << 20
+#: Ids of a rule that are kept ready for reading.
+_SHORT = 256
 
 
 class TextEncoder:
-    """The library's ids of whole texts; it is asked once for each distinct pre-token a worker meets."""
+    """Ids of whole texts, from the transducer that is compiled from the vocabulary (``transducer``). Texts that hold
+    special tokens, or code points that this Python does not know, go to the library."""
 
     def __init__(self, path: str):
-        self.library, self.kept = library(path), Recent(KEPT)
-        self.special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
-        self.feed = self.library.encode("\n", add_special_tokens=False).ids[0]
-        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-
-    def _encode(self, words: list[str]) -> None:
-        """Keep the ids of these pre-tokens. They go to the library as one text with a line feed after each, which ends a
-        pre-token and is one itself; those that are white space go alone."""
-        alone, many = [w for w in words if w.isspace()], [w for w in words if not w.isspace()]
-        for k in range(0, len(many), 4096):
-            part = many[k : k + 4096]
-            ids = np.array(self.library.encode_batch_fast(["\n".join(part) + "\n"], add_special_tokens=False)[0].ids, np.int32)
-            ends = np.flatnonzero(ids == self.feed)
-            if len(ends) == len(part):
-                raw, begin = ids.tobytes(), [0, *(4 * ends[:-1] + 4).tolist()]
-                self.kept.young.update((w, raw[a:b]) for w, a, b in zip(part, begin, (4 * ends).tolist(), strict=True))
-            else:
-                alone += part
-        for w, e in zip(alone, self.library.encode_batch_fast(alone, add_special_tokens=False), strict=True):
-            self.kept.young[w] = np.array(e.ids, np.int32).tobytes()
+        self.library, self.counter = library(path), Counter(path)
 
     def texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, one text after the other, and where each text begins (and the last ends)."""
-        whole = [k for k, t in enumerate(texts) if self.cut and self.cut.search(t)]
+        whole = [k for k, t in enumerate(texts) if self.counter.special and self.counter.special.search(t)]
         plain = list(texts)
         for k in whole:
             plain[k] = ""
-        joined, start, end, bounds, odd = pretoken.pretokens(plain)
-        if len(start):
-            codes, found = distinct(joined, start, end)
-            new = self.kept.missing(found)
-            if new:
-                self._encode(new)
-            young = self.kept.young
-            ids = [young[w] for w in found]
-            size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-            flat, first = np.frombuffer(b"".join(ids), np.int32), np.r_[0, np.cumsum(size)[:-1]]
-            each = size[codes]
-            begin = np.r_[0, np.cumsum(each)]
-            out = flat[np.repeat(first[codes] - begin[:-1], each) + np.arange(begin[-1])]
-            edges = begin[bounds]
-        else:
-            out, edges = np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
+        joined, start, _, _, odd = pretoken.pretokens(plain)
+        size = np.fromiter(map(len, plain), np.int64, len(plain))
+        data, begins, ends = self.counter.placed(joined, start, np.cumsum(size + 1) - 1)
+        ids, total = self.counter.transducer.ids(data, begins)
+        feeds = total[ends]  # the line feed behind each text is a token of its own
+        out, edges = np.delete(ids, feeds), np.r_[0, feeds - np.arange(len(feeds))]
         redo = sorted({*whole, *np.flatnonzero(odd).tolist()})
         if redo:
             parts = [out[edges[k] : edges[k + 1]] for k in range(len(texts))]
@@ -102,60 +79,119 @@ def text_encoder(path: str) -> TextEncoder:
     return TextEncoder(path)
 
 
-def frequent_pairs(pair: np.ndarray, cut: np.ndarray, most: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The most frequent of these pairs, sorted, those that stand ``least`` times at least, without the places in cut;
-    then the places where pairs stand that may be among them, and these pairs. A table of hashed counts tells which may
-    be; where only one pair falls into a place of the table, as its last one shows, its count is exact, and the pairs of
-    the other places are counted apart."""
-    slot = ((pair.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.intp)
-    slot[cut] = _TABLE
-    counts = np.bincount(slot, minlength=_TABLE + 1)[:_TABLE]
-    often = counts[counts >= least]
-    bar = least if len(often) <= most else int(np.partition(often, -most)[-most])
-    top = np.flatnonzero(counts >= bar)
-    code = np.full(_TABLE + 1, -1, np.int32)
-    code[top] = np.arange(len(top))
-    c = code[slot]
-    at = np.flatnonzero(c >= 0)
-    c, p = c[at], pair[at]
-    last = np.zeros(len(top), np.int64)
-    last[c] = p
-    own = np.bincount(c[last[c] == p], minlength=len(top))
-    mixed = own != counts[top]
-    keys, n = np.unique(p[mixed[c]], return_counts=True)
-    keys, n = np.r_[last[~mixed], keys], np.r_[own[~mixed], n]
-    best = np.lexsort((keys, -n))[:most]
-    return np.sort(keys[best[n[best] >= least]]), at, p
-
-
-def compress(ids: np.ndarray, edges: np.ndarray, terminals: int, rounds: int = ROUNDS, pairs: int = PAIRS, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rules (left, right) and the replaced sequence with its edges."""
-    seq, rules, made = ids.astype(np.int64), [], terminals
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
+def _counted(seq: np.ndarray, cut: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places of pairs that stand ``least`` times or more, each with its number among these pairs; the pairs and how often
+    they stand. Of equal pairs that overlap every second one counts. A table of hashed counts first drops most others."""
+    pair = seq[:-1] << 32 | seq[1:]
+    slot = ((pair.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int32)
+    often = np.bincount(slot, minlength=_TABLE)[slot] >= least
+    often[cut] = False
+    at = np.flatnonzero(often)
+    codes, found = pd.factorize(pair[at])
+    follows = np.r_[False, (codes[1:] == codes[:-1]) & (at[1:] == at[:-1] + 1)]
+    if follows.any():
+        first = np.maximum.accumulate(np.where(follows, 0, np.arange(len(at))))
+        single = (np.arange(len(at)) - first) % 2 == 0
+        at, codes = at[single], codes[single]
+    n = np.bincount(codes, minlength=len(found))
+    keep = (n >= least)[codes]
+    return at[keep], codes[keep], found, n
+
+
+def _in_rounds(seq: np.ndarray, edges: np.ndarray, made: int, least: int, rules: list) -> tuple[np.ndarray, np.ndarray, int]:
+    """All pairs that stand ``least`` times are replaced at once where they are the more frequent of the pairs that overlap,
+    until a round hardly shortens the sequence."""
+    while len(seq) > 1:
         cut = edges[1:-1]
-        cut = cut[(cut > 0) & (cut < len(seq))] - 1
-        keys, at, pair = frequent_pairs(seq[:-1] << 32 | seq[1:], cut, pairs, least)
-        if not len(keys):
+        at, codes, found, n = _counted(seq, cut[(cut > 0) & (cut < len(seq))] - 1, least)
+        rank = np.zeros(len(seq) + 1, np.int64)
+        rank[at + 1] = n[codes] * len(found) + codes + 1
+        mine = rank[at + 1]
+        take = (mine > rank[at]) & (mine > rank[np.minimum(at + 2, len(seq))])
+        good = np.bincount(codes[take], minlength=len(found)) >= least
+        take &= good[codes]
+        at, codes = at[take], codes[take]
+        if not len(at):
             break
-        k = np.searchsorted(keys, pair)
-        k[k == len(keys)] = 0
-        same = keys[k] == pair
-        at, rule = at[same], k[same]
-        # of places that follow one another every second one, from the left
-        run = np.r_[True, np.diff(at) != 1]
-        first = np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))
-        take = (np.arange(len(at)) - first) % 2 == 0
-        at, rule = at[take], rule[take]
+        keys = found[good]
         rules.append(np.stack([keys >> 32, keys & 0xFFFFFFFF], 1))
-        seq[at] = made + rule
+        seq[at] = made + (np.cumsum(good) - 1)[codes]
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
         edges = edges - np.searchsorted(at + 1, edges)
-        seq = seq[keep]
         made += len(keys)
-    return (np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)).astype(np.uint32), seq.astype(np.uint32), edges
+        few = 25 * len(at) < len(seq)
+        seq = seq[keep]
+        if few:
+            break
+    return seq, edges, made
+
+
+def _one_by_one(seq: np.ndarray, edges: np.ndarray, made: int, least: int, rules: list) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent pair is replaced, again and again, until none stands ``least`` times."""
+    cut = edges[1:-1]
+    cut = cut[(cut > 0) & (cut < len(seq))] - 1
+    at, codes, found, n = _counted(seq, cut, least)
+    if not len(at):
+        return seq, edges
+    last = len(seq)
+    order = np.argsort(codes, kind="stable")
+    groups = np.split(at[order], np.flatnonzero(np.diff(codes[order])) + 1)
+    places = {int(found[codes[order][k]]): g.tolist() for g, k in zip(groups, np.r_[0, np.cumsum([len(g) for g in groups])[:-1]].tolist(), strict=True)}
+    heap = [(-len(g), key) for key, g in places.items()]
+    heapify(heap)
+    symbol, ahead, back = seq.tolist(), list(range(1, last + 1)), list(range(-1, last - 1))
+    for k in cut.tolist():  # no pair reaches over the end of a document
+        back[ahead[k]], ahead[k] = -1, last
+    new = []
+    while heap:
+        count, key = heappop(heap)
+        a, b = key >> 32, key & 0xFFFFFFFF
+        valid, after = [], -1
+        for i in places[key]:
+            j = ahead[i]
+            if symbol[i] == a and j < last and symbol[j] == b and i >= after:
+                valid.append(i)
+                after = j + 1
+        if len(valid) < least:
+            continue
+        if len(valid) < -count:  # fewer than when it was counted
+            places[key] = valid
+            heappush(heap, (-len(valid), key))
+            continue
+        new.append((a, b))
+        near: dict[int, list[int]] = {}
+        for i in valid:
+            j = ahead[i]
+            after = ahead[j]
+            symbol[i], symbol[j], ahead[i] = made, -1, after
+            if after < last:
+                back[after] = i
+        for i in valid:
+            before, after = back[i], ahead[i]
+            if before >= 0:
+                near.setdefault(symbol[before] << 32 | made, []).append(before)
+            if after < last and symbol[after] != made:
+                near.setdefault(made << 32 | symbol[after], []).append(i)
+        made += 1
+        for k, x in near.items():
+            if len(x) >= least:
+                places[k] = x
+                heappush(heap, (-len(x), k))
+    rules.append(np.array(new, np.int64).reshape(-1, 2))
+    out = np.array(symbol, np.int64)
+    gone = np.flatnonzero(out < 0)
+    return out[out >= 0], edges - np.searchsorted(gone, edges)
+
+
+def compress(ids: np.ndarray, edges: np.ndarray, terminals: int, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rules (left, right) and the replaced sequence with its edges. In the end no pair stands ``least`` times without
+    overlaps; most of the way is gone in rounds, the rest pair by pair."""
+    rules: list[np.ndarray] = [np.zeros((0, 2), np.int64)]
+    seq, edges, made = _in_rounds(ids.astype(np.int64), edges, terminals, least, rules)
+    if len(seq) > 1:
+        seq, edges = _one_by_one(seq, edges, made, least, rules)
+    return np.concatenate(rules).astype(np.uint32), seq.astype(np.uint32), edges
 
 
 def lengths(rules: np.ndarray, terminals: int) -> np.ndarray:
@@ -181,34 +217,45 @@ class Block:
         self.rules, self.size = u4(2 * n, 20).reshape(-1, 2), u4(n, 20 + 8 * n).astype(np.int64)
         self.first = np.r_[u4(docs, 20 + 12 * n), symbols].astype(np.int64)
         self.symbols = unplanes(body[20 + 12 * n + 4 * docs :], "<u4").astype(np.int64)
-        expanded: list[np.ndarray] = []
+        expanded: list[np.ndarray] = []  # of rules that stand for few ids; others are taken apart first
         t = self.terminals
-        for a, b in self.rules.tolist():
-            expanded.append(np.concatenate([expanded[x - t] if x >= t else np.array([x], np.uint32) for x in (a, b)]))
+        for (a, b), n in zip(self.rules.tolist(), self.size.tolist(), strict=True):
+            expanded.append(np.concatenate([expanded[x - t] if x >= t else np.array([x], np.uint32) for x in (a, b)]) if n <= _SHORT else np.zeros(0, np.uint32))
         self._flat = np.concatenate([np.zeros(0, np.uint32), *expanded])
-        self._from = np.r_[0, np.cumsum(self.size.astype(np.int64))]
+        self._from = np.r_[0, np.cumsum([len(x) for x in expanded], dtype=np.int64)].astype(np.int64)
+
+    def sizes(self, symbols: np.ndarray) -> np.ndarray:
+        """How many ids each of these symbols stands for."""
+        out = np.ones(len(symbols), np.int64)
+        rule = symbols >= self.terminals
+        out[rule] = self.size[symbols[rule] - self.terminals]
+        return out
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
         """The ids that these symbols stand for."""
         t = self.terminals
+        while (long := self.sizes(symbols) > _SHORT).any():
+            first = np.arange(len(symbols)) + np.cumsum(long) - long
+            two = np.zeros(len(symbols) + long.sum(), np.int64)
+            two[first] = symbols
+            two[first[long]], two[first[long] + 1] = self.rules[symbols[long] - t].T
+            symbols = two
         rule = symbols >= t
         table = np.r_[self._flat, symbols[~rule].astype(np.uint32)]
-        size, first = np.ones(len(symbols), np.int64), np.zeros(len(symbols), np.int64)
-        size[rule], first[rule] = self.size[symbols[rule] - t], self._from[symbols[rule] - t]
+        size, first = self.sizes(symbols), np.zeros(len(symbols), np.int64)
+        first[rule] = self._from[symbols[rule] - t]
         first[~rule] = len(self._flat) + np.arange((~rule).sum())
         begin = np.r_[0, np.cumsum(size)]
         return table[np.repeat(first - begin[:-1], size) + np.arange(begin[-1])]
 
     def all(self) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each document begins (and the last ends)."""
-        size = np.where(self.symbols >= self.terminals, np.r_[self.size, 1][np.minimum(np.maximum(self.symbols - self.terminals, 0), len(self.size))], 1)
-        return self.expand(self.symbols), np.r_[0, np.cumsum(size)][self.first]
+        return self.expand(self.symbols), np.r_[0, np.cumsum(self.sizes(self.symbols))][self.first]
 
     def read_slice(self, doc: int, start: int, stop: int) -> np.ndarray:
         """Ids start to stop of a document: only the symbols that reach into them are expanded."""
         s = self.symbols[self.first[doc] : self.first[doc + 1]]
-        size = np.where(s >= self.terminals, np.r_[self.size, 1][np.minimum(np.maximum(s - self.terminals, 0), len(self.size))], 1)
-        ends = np.cumsum(size)
+        ends = np.cumsum(self.sizes(s))
         a, b = np.searchsorted(ends, start, "right"), np.searchsorted(ends, stop, "left") + 1
         before = ends[a - 1] if a else 0
         return self.expand(s[a:b])[start - before : stop - before]
@@ -265,10 +312,12 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens and ids (unsigned 32 bits, little-endian) of every
     document of a written folder."""
     t = spark.read.parquet(folder)
-    # a number per block: the ids before a document are those of earlier blocks and of earlier documents of its own
+    # the ids before a document are those of earlier shards, of earlier blocks of its shard and of earlier documents there
     sizes = t.select("shard", "block", F.aggregate("n_ids", F.lit(0).cast("long"), lambda a, x: a + x).alias("n"))
-    before = Window.orderBy("shard", "block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("shard", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    past = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shards = sizes.groupBy("shard").agg(F.sum("n").alias("n")).select("shard", past(Window.orderBy("shard")).alias("all"))  # a row for each file
+    blocks = sizes.select("shard", "block", past(Window.partitionBy("shard").orderBy("block")).alias("own"))
+    starts = blocks.join(F.broadcast(shards), "shard").select("shard", "block", (F.col("all") + F.col("own")).alias("base"))
     if sizes.count() <= MAX_BROADCAST_BLOCKS:
         starts = F.broadcast(starts)
 

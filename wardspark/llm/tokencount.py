@@ -17,20 +17,18 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from wardspark.llm import bpe, pretoken
-from wardspark.llm.arrays import _ranged, stretches
+from wardspark.llm.arrays import stretches
 from wardspark.llm.stage import texts
 from wardspark.llm.transducer import Transducer
 
 #: Bytes of text that run through the transducer together.
 STRETCH = 1 << 21
-_BASES = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 
 
 @lru_cache(maxsize=4)
@@ -38,20 +36,6 @@ def library(path: str) -> Tokenizer:
     return Tokenizer.from_file(path)
 
 
-def distinct(joined: str, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, list[str]]:
-    """The distinct stretches of a text, and which of them each stretch is. They are told apart by two 64-bit hashes; if
-    these ever disagree, by their text."""
-    cps = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
-    h, g = (_ranged(cps, b, start, end) + (end - start).astype(np.uint64) for b in _BASES)
-    codes, found = pd.factorize(h)
-    first = np.zeros(len(found), np.int64)
-    first[codes[::-1]] = np.arange(len(codes))[::-1]
-    if (g[first][codes] != g).any():
-        codes, found = pd.factorize(np.array([joined[a:b] for a, b in zip(start, end, strict=True)], object))
-        return codes, list(found)
-    return codes, [joined[a:b] for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)]
-
-
 class Counter:
     def __init__(self, path: str):
         self.path = path
@@ -59,14 +43,17 @@ class Counter:
         self.transducer = Transducer(model)
         self.special = re.compile("|".join(map(re.escape, sorted(model.special, key=len, reverse=True)))) if model.special else None
 
-    def plain(self, joined: str, start: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Tokens up to each of the line feeds that end the texts (places in ends); start: where pre-tokens begin."""
+    def placed(self, joined: str, start: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The bytes of texts that are each ended by a line feed (places in ends), where pre-tokens (start) and these line
+        feeds begin among them, and which of those the line feeds are."""
         cps = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
         width = 1 + (cps > 0x7F).astype(np.int8) + (cps > 0x7FF) + (cps > 0xFFFF)
         at = np.r_[0, np.cumsum(width, dtype=np.int64)]
-        begins = np.unique(np.r_[at[start], at[ends]])
-        total = self.transducer.counts(np.frombuffer(joined.encode("utf-8", "surrogatepass"), np.uint8), begins)
-        return total[np.searchsorted(begins, at[ends])]
+        data = np.frombuffer(joined.encode("utf-8", "surrogatepass"), np.uint8)
+        mark = np.zeros(len(data), bool)
+        mark[at[start]] = mark[at[ends]] = True
+        begins = np.flatnonzero(mark)
+        return data, begins, np.searchsorted(begins, at[ends])
 
     def texts(self, texts: list[str]) -> np.ndarray:
         """Tokens of each text."""
@@ -79,7 +66,8 @@ class Counter:
         joined, start, _, _, odd = pretoken.pretokens(pieces)
         odd_texts = np.unique(owner[odd])
         size = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        upto = self.plain(joined, start, np.cumsum(size + 1) - 1)  # the line feed behind each piece is a token of its own
+        data, begins, ends = self.placed(joined, start, np.cumsum(size + 1) - 1)
+        upto = self.transducer.counts(data, begins)[ends]  # the line feed behind each piece is a token of its own
         np.add.at(total, owner, np.diff(upto, prepend=-1) - 1)
         for k in odd_texts:
             total[k] = len(library(self.path).encode(texts[k], add_special_tokens=False).ids)

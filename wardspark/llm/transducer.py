@@ -34,6 +34,8 @@ class Transducer:
         if model.suffix:
             raise ValueError("tokens that depend on the end of a word are not compiled")
         self.model = model
+        self.length = np.zeros(max(model.length) + 1, np.int64)
+        self.length[list(model.length)] = list(model.length.values())
         self.child: list[dict[int, int]] = [{}]
         self.token: list[int] = [-1]
         for raw, t in model.mid.items():
@@ -52,6 +54,7 @@ class Transducer:
         """Only the start is left: nothing read, one place, no token before it."""
         self.states: list[tuple[int, ...]] = [(_START,)]
         self.known = {self.states[0]: 0}
+        self.last = np.zeros(1 << 10, np.int32)  # of each state the last token
         self.made = 0
         self.table = np.full(PLACES, -1, np.int64)  # state and byte above bit 32, the transition below
 
@@ -62,6 +65,9 @@ class Transducer:
                 raise Full
             found = self.known[going] = len(self.states)
             self.states.append(going)
+            if found >= len(self.last):
+                self.last = np.concatenate([self.last, np.zeros_like(self.last)])
+            self.last[found] = (going[-1] >> _BEFORE & 0xFFFFF) - 1
         return found
 
     def make(self, state: int, byte: int) -> int:
@@ -118,67 +124,89 @@ class Transducer:
         found = self.find(key)
         missing = found < 0
         if missing.any():
-            new, back = np.unique(key[missing], return_inverse=True)
-            found[missing] = np.array([self.make(x >> 8, x & 255) for x in new.tolist()])[back]
+            made: dict[int, int] = {}
+            for x in key[missing].tolist():
+                if x not in made:
+                    made[x] = self.make(x >> 8, x & 255)
+            found[missing] = [made[x] for x in key[missing].tolist()]
         return found
 
     def counts(self, data: np.ndarray, begins: np.ndarray, chunk: int = 256) -> np.ndarray:
         """Tokens emitted up to each place where a pre-token begins, and in all: data is a sequence of bytes, begins the
-        sorted places where pre-tokens begin, 0 among them.
+        sorted places where pre-tokens begin, 0 among them."""
+        _, emitted = self.run(data, begins, chunk)
+        return np.r_[0, np.cumsum(emitted, dtype=np.int64)][np.r_[begins, len(data)]]
+
+    def ids(self, data: np.ndarray, begins: np.ndarray, chunk: int = 256) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens themselves, and how many there are before each pre-token (and in all): from the end of each back."""
+        last, emitted = self.run(data, begins, chunk)
+        total = np.r_[0, np.cumsum(emitted, dtype=np.int64)][np.r_[begins, len(data)]]
+        out = np.zeros(total[-1], np.int32)
+        place, slot = np.r_[begins[1:], len(data)] - 1, total[1:] - 1
+        first = begins
+        while len(place):
+            t = last[place]
+            out[slot] = t
+            place, slot = place - self.length[t], slot - 1
+            on = place >= first
+            place, slot, first = place[on], slot[on], first[on]
+        return out, total
+
+    def run(self, data: np.ndarray, begins: np.ndarray, chunk: int) -> tuple[np.ndarray, np.ndarray]:
+        """After each byte the last token of what was read of its pre-token, and what the byte emitted.
 
         The data are read in chunks side by side. Behind the first beginning in it a chunk's map from the state before it
         to the state after it, and to the tokens emitted, is constant, so a composition of maps is the last constant one;
         the scan brings every chunk that state, from which the bytes before its first beginning are read."""
-        while True:
+        try:
+            return self._run(data, begins, chunk)
+        except Full:
+            self.clear()
+        k = int(np.searchsorted(begins, len(data) // 2, "right"))
+        k = k if k < len(begins) else k - 1
+        if k:  # half as many bytes need fewer states at once
+            a, b = self.run(data[: begins[k]], begins[:k], chunk), self.run(data[begins[k] :], begins[k:] - begins[k], chunk)
+            return np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]])
+        return self._alone(data)
+
+    def _alone(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """One pre-token, starting anew whenever the table is full."""
+        going, last, emitted = self.states[0], np.zeros(len(data), np.int32), np.zeros(len(data), np.int16)
+        for k, byte in enumerate(data.tolist()):
             try:
-                return self._counts(data, begins, chunk)
+                found = self.make(self._state(going), byte)
             except Full:
                 self.clear()
-                if chunk > 16:  # fewer places at once need fewer states at once
-                    half = int(begins[np.searchsorted(begins, len(data) // 2)]) if begins[-1] >= len(data) // 2 else 0
-                    if 0 < half < len(data):
-                        k = int(np.searchsorted(begins, half))
-                        a = self.counts(data[:half], begins[:k], chunk)
-                        b = self.counts(data[half:], begins[k:] - half, chunk)
-                        return np.r_[a[:-1], a[-1] + b]
-                return np.r_[0, np.cumsum([self._alone(data[a:z]) for a, z in zip(begins, np.r_[begins[1:], len(data)], strict=True)])]
-
-    def _alone(self, data: np.ndarray) -> int:
-        """Tokens of one pre-token, starting anew whenever the table is full."""
-        threads, total = self.states[0], 0
-        for byte in data.tolist():
-            try:
-                found = self.make(self._state(threads), byte)
-            except Full:
-                self.clear()
-                found = self.make(self._state(threads), byte)
-            threads, total = self.states[found >> _SHIFT], total + (found & 511) - ZERO
-        return total
+                found = self.make(self._state(going), byte)
+            state = found >> _SHIFT
+            going, last[k], emitted[k] = self.states[state], self.last[state], (found & 511) - ZERO
+        return last, emitted
 
-    def _counts(self, data: np.ndarray, begins: np.ndarray, chunk: int) -> np.ndarray:
+    def _run(self, data: np.ndarray, begins: np.ndarray, chunk: int) -> tuple[np.ndarray, np.ndarray]:
         n = len(data)
-        if not n:
-            return np.zeros(len(begins) + 1, np.int64)
         rows = -(-n // chunk)
         bytes_ = np.zeros(rows * chunk, np.uint8)
         bytes_[:n] = data
         bytes_ = np.ascontiguousarray(bytes_.reshape(rows, chunk).T)
         start = np.zeros(rows * chunk, bool)
         start[begins] = True
-        start[n:] = True  # what fills up the last chunk is not read on
+        start[n:] = True  # what fills up the last chunk is read by itself
         start = np.ascontiguousarray(start.reshape(rows, chunk).T)
         constant = start.any(axis=0)
         head = np.where(constant, start.argmax(axis=0), chunk)
-        emitted = np.zeros((chunk, rows), np.int16)
+        out = np.zeros((chunk, rows), np.int32)
         # behind the first beginning of each chunk, where the state before it does not matter
         state, live = np.zeros(rows, np.int64), np.zeros(0, np.int64)
         for k in range(chunk):
             state[start[k]] = 0
             if len(live) < rows:
                 live = np.flatnonzero(head <= k)
-            found = self.step(state[live], bytes_[k][live]) if len(live) < rows else self.step(state, bytes_[k])
-            emitted[k, live] = (found & 511) - ZERO
-            state[live] = found >> _SHIFT
+            if len(live) < rows:
+                found = out[k, live] = self.step(state[live], bytes_[k][live])
+                state[live] = found >> _SHIFT
+            else:
+                found = out[k] = self.step(state, bytes_[k])
+                state = found >> _SHIFT
         # the scan: the state before a chunk is that behind the last constant map; chunks without a beginning hand on theirs
         order = np.flatnonzero(head > 0)
         before = np.zeros(rows, np.int64)
@@ -188,14 +216,13 @@ class Transducer:
             now = order[ready[order]]
             at = before[now]
             for k in range(int(head[now].max())):
-                go = head[now] > k
-                found = self.step(at[go], bytes_[k][now[go]])
-                emitted[k][now[go]] = (found & 511) - ZERO
+                go = np.flatnonzero(head[now] > k)
+                found = out[k, now[go]] = self.step(at[go], bytes_[k, now[go]])
                 at[go] = found >> _SHIFT
-            whole = now[~constant[now]]
-            after = whole[whole + 1 < rows] + 1
-            before[after] = at[~constant[now]][whole + 1 < rows]
-            ready[now], order = True, order[~ready[order]]
-            ready[after] = True
-        total = np.r_[0, np.cumsum(emitted.T.ravel()[:n], dtype=np.int64)]
-        return total[np.r_[begins, n]]
+            open_ = ~constant[now]
+            after = now[open_] + 1
+            before[after[after < rows]] = at[open_][after < rows]
+            order = order[~ready[order]]
+            ready[after[after < rows]] = True
+        found = out.T.ravel()[:n]
+        return self.last[found >> _SHIFT], ((found & 511) - ZERO).astype(np.int16)
