@@ -155,6 +155,43 @@ def test_quality_cutoffs(spark):
     assert got["en"].cut_symbols == 20 and got["en"].cut_repeats is None
 
 
+def test_cutoffs_hold_on_documents_not_used_for_them(spark):
+    """Three strata with labels enough, one with too few. Of good documents a known share has a large ratio; the cutoffs
+    are those of an exact test in integers, and on other documents false rejections stay below alpha."""
+    import math
+    from fractions import Fraction
+
+    alpha, delta, rng = 0.02, 0.05, np.random.default_rng(7)
+    planted = {"en": (4000, 0.001), "fr": (3000, 0.0), "de": (5000, 0.004), "xx": (60, 0.0)}
+
+    def rows(n, rate):
+        bad = np.minimum(rng.random(n // 8) * 0.5 + 0.3, 0.99)
+        high = rng.random(n) < rate
+        return [(True, float(x)) for x in np.where(high, 0.9, rng.random(n) * 0.2)] + [(False, float(x)) for x in bad]
+
+    drawn = {s: rows(*p) for s, p in planted.items()}
+    labelled = [(s, g, x, 0.0, 0.0) for s, r in drawn.items() for g, x in r]
+    got = {r.stratum: r.cut_symbols for r in quality.cutoffs(spark.createDataFrame(labelled, "stratum string, good boolean, symbols double, dup_lines double, repeats double"), alpha, delta).collect()}
+    each, chains = Fraction(1, 150), 3 * len(planted)  # alpha / 3
+    want = {}
+    for s, r in drawn.items():
+        bins = [(g, min(50, math.floor(x * 50))) for g, x in r]
+        n, best = sum(g for g, _ in bins), None
+        for cut in range(50, 0, -1):
+            k, hits = sum(g and b >= cut for g, b in bins), sum(not g and b >= cut for g, b in bins)
+            tail = sum(math.comb(n, i) * each**i * (1 - each) ** (n - i) for i in range(k + 1))
+            if k >= n * each or tail > Fraction(1, 20) / chains:
+                break
+            if hits > k and (best is None or (hits - k, cut) > best):
+                best = hits - k, cut
+        if best:
+            want[s] = best[1]
+    assert got == want and set(got) == {"en", "fr", "de"}
+    for s, cut in got.items():
+        fresh = [x for g, x in rows(20000, planted[s][1]) if g]
+        assert sum(x * 50 >= cut for x in fresh) <= alpha * len(fresh), s
+
+
 def test_binomial_tail(spark):
     import math
 
@@ -226,6 +263,35 @@ def test_within_by_all_radii():
         assert (got == (np.bitwise_count(a ^ b) <= radius)).all()
 
 
+def test_blocks_far_away_are_given_up():
+    """Planes that are read, however many lanes the last block lacks; one near pair keeps its own block only."""
+    rng = np.random.default_rng(3)
+    for n in (1, 63, 64, 65, 640):
+        a, read = rng.integers(0, 1 << 63, n).astype(np.uint64), []
+        assert not simhash.within(simhash.planes_of(a), simhash.planes_of(~a), 4, simhash.filling(n), read).any()
+        assert len(read) == simhash.STEP
+    b, read = ~a, []
+    b[100] = a[100] ^ np.uint64(5)
+    near = simhash.within(simhash.planes_of(a), simhash.planes_of(b), 4, simhash.filling(640), read)
+    assert np.flatnonzero(simhash._lanes(near, 640)).tolist() == [100]
+    assert read == [10] * simhash.STEP + [1] * (64 - simhash.STEP)
+
+
+def test_more_blocks_find_the_same_links(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 62, 40)
+    fps = sorted({int(x) ^ sum(1 << int(y) for y in rng.choice(60, rng.integers(0, 7), replace=False)) for x in base for _ in range(10)})
+    d = spark.createDataFrame([(f, k) for k, f in enumerate(fps)], "fp long, rep long")
+    from wardspark.llm.components import components as connected
+
+    want = sorted(connected(simhash.links(d)).collect())
+    for bucket, blocks in ((1, 6), (1e-6, 7), (1e-9, 8)):
+        monkeypatch.setattr(simhash, "blocks_for", lambda radius, classes, blocks=blocks: blocks)
+        assert sorted(connected(simhash.links(d)).collect()) == want, bucket
+    monkeypatch.undo()
+    assert simhash.blocks_for(4, 10**6) == 6 and simhash.blocks_for(4, 10**9) > 6
+
+
 def test_near_duplicates_of_nothing(spark, empty):
     assert simhash.near_duplicates(empty).count() == 0
     d = spark.createDataFrame([(None, "a b"), (None, "c"), (3, "a b"), (3, "a b")], "doc_id long, text string")
@@ -406,6 +472,23 @@ def test_shards_keep_groups_together(spark, empty):
     assert sharding.assign(empty, 8).count() == 0
 
 
+@pytest.mark.parametrize("most", [32 << 20, 0])
+def test_shards_cut_few_links_of_skewed_groups(spark, monkeypatch, most):
+    """A third of all rows is one group, and there are groups of all sizes below a shard's capacity: most links are whole."""
+    monkeypatch.setattr(sharding, "BROADCAST_BYTES", most)
+    monkeypatch.setattr(sharding, "LARGE", 20)
+    text = lambda k: "same" if k < 700 else f"g{int((k - 700) ** 0.6)}" if k < 1700 else f"u{k}"
+    d = spark.createDataFrame([(k, text(k)) for k in range(2100)], "doc_id long, text string")
+    a = sharding.assign(d, 12)
+    got = a.toPandas()
+    sizes = got.groupby("shard").size()
+    assert len(got) == 2100 and sizes.max() - sizes.min() <= 1
+    parts = got[got.grp.notna()].groupby("grp").size()
+    assert parts.max() <= sizes.max() and (parts > 20).sum() >= 5  # the large group is cut into parts a shard can hold
+    cut = sharding.cut_edges(a).first()
+    assert cut.cut <= 0.2 * cut.links
+
+
 def test_shards_of_one_large_group(spark):
     d = spark.createDataFrame([(k, "same" if k < 600 else f"u{k}") for k in range(1000)] + [(7, "same"), (7, "same")], "doc_id long, text string")
     got = sharding.assign(d, 8).toPandas()

@@ -15,18 +15,31 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wardspark.llm.stage import staged
 from wardspark.llm.words import plain_words
 
 WINDOW = 13
-#: Up to so many rows, terms or document ids are broadcast; beyond, they are joined by a shuffle.
-MAX_BROADCAST_ROWS = 1_000_000
+#: A table is broadcast if its rows are counted to take at most so many bytes; beyond, it is joined by a shuffle.
+BROADCAST_BYTES = 32 << 20
+
+
+def _bytes(name: str, kind: T.DataType) -> Column:
+    """About what a value takes in memory."""
+    c = F.col(f"`{name}`")
+    if isinstance(kind, T.StringType):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 24
+    if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StringType):
+        return F.coalesce(F.octet_length(F.array_join(c, "")), F.lit(0)) + 16 * F.greatest(F.size(c), F.lit(0)) + 24
+    return F.lit(16)
 
 
 def small(df: DataFrame) -> DataFrame:
-    """df, to be broadcast if it is counted to be small."""
-    return F.broadcast(df) if df.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS else df
+    """df, to be broadcast if it is counted to be small. Its columns are numbers, strings or arrays of strings."""
+    row = sum((_bytes(f.name, f.dataType) for f in df.schema.fields), F.lit(16))
+    total = df.agg(F.coalesce(F.sum(row), F.lit(0))).first()[0]
+    return F.broadcast(df) if total <= BROADCAST_BYTES else df
 
 
 def tokenised(docs: DataFrame) -> DataFrame:
@@ -76,10 +89,13 @@ def diagonals(index: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def verified(tokens: DataFrame, items: DataFrame, candidates: DataFrame) -> DataFrame:
     """doc_id, item_id, runs: the stretches [start, end) of a document that whole windows of the item cover there."""
-    per = candidates.join(small(items), "item").groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "diag", "iwords", "w")).alias("c"))
+    lengths = items.select("item", F.size("iwords").alias("len"))
+    per = candidates.join(small(lengths), "item").groupBy("doc_id").agg(F.collect_list(F.struct("item", "diag", "len")).alias("c"))
     texts = tokens.join(small(candidates.select("doc_id").distinct()), "doc_id", "left_semi")
-    cut = "transform(c, x -> named_struct('item_id', x.item_id, 'lo', greatest(x.diag, 0), 'w', x.w, 'own', slice(x.iwords, greatest(-x.diag, 0) + 1, size(x.iwords)), 'text', slice(words, greatest(x.diag, 0) + 1, size(x.iwords) - greatest(-x.diag, 0))))"
-    e = texts.join(per, "doc_id").select("doc_id", F.explode(F.expr(cut)).alias("x")).select("doc_id", "x.*")
+    # of the text only what lies beside the item goes on
+    cut = "transform(c, x -> named_struct('item', x.item, 'lo', greatest(x.diag, 0), 'skip', greatest(-x.diag, 0), 'text', slice(words, greatest(x.diag, 0) + 1, x.len - greatest(-x.diag, 0))))"
+    e = texts.join(per, "doc_id").select("doc_id", F.explode(F.expr(cut)).alias("x")).select("doc_id", "x.*").join(small(items), "item")
+    e = e.select("doc_id", "item_id", "lo", "w", "text", F.expr("slice(iwords, skip + 1, size(iwords))").alias("own"))
     # lengths of the matching stretches, ended at each place: a run of at least w words is made of windows
     runs = """filter(aggregate(zip_with(own, text, (a, b) -> coalesce(a = b, false)), named_struct('i', 0, 'from', 0, 'runs', array(named_struct('s', 0, 'e', 0))),
       (z, m) -> CASE WHEN m THEN named_struct('i', z.i + 1, 'from', z.from, 'runs', z.runs)
