@@ -146,11 +146,6 @@ def test_split_rules(spark):
     assert {(r.y, r.split): r["count"] for r in got.collect()} == {("a", "train"): 1, ("b", "train"): 1, ("b", "test"): 1, ("c", "train"): 16, ("c", "val"): 2, ("c", "test"): 2}
 
 
-def test_council(spark):
-    d = spark.createDataFrame([([1, 1, 0],), ([1, 0, None],), ([None],), ([0],)], "v array<int>")
-    assert [r[0] for r in d.select(datasets.council(F.col("v"))).collect()] == [1, None, None, 0]
-
-
 def test_ranking_of_patches(spark):
     head = "+++ b/x\n@@ -1 +1 @@\n"
     c = [("f", "long", head + "+a\n+b\n+c", "llm", True, 0.0), ("f", "llm", head + "+a", "llm", True, 0.0), ("f", "det", head + "+a", "deterministic", True, 0.0), ("f", "bad", head, "llm", False, 9.0)]
@@ -177,7 +172,7 @@ def test_filter_stays_above_the_limit(spark):
 def test_upsert_keeps_what_it_should(spark):
     t = spark.createDataFrame([("a", 1, "x")], "k string, created int, v string")
     n = spark.createDataFrame([("a", 9, "y"), ("b", 9, "z")], "k string, created int, v string")
-    assert rows(store.upsert_keeping(t, n, ["k"], ["created"])) == [("a", 1, "y"), ("b", 9, "z")]
+    assert rows(store.upsert_keeping(t, n, ["k"], ["created"], ["v"])) == [("a", 1, "y"), ("b", 9, "z")]
 
 
 def test_vectors(spark):

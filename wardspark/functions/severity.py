@@ -32,6 +32,12 @@ def consensus_severity(raw: Column) -> Column:
     return F.when(raw.isNull(), "MEDIUM").otherwise(lookup(known, F.upper(F.trim(raw)), "MEDIUM"))
 
 
+def consensus_confidence(raw: Column) -> Column:
+    """Null and unknown words are MEDIUM."""
+    known = {"HIGH": "HIGH", "MEDIUM": "MEDIUM", "LOW": "LOW"}
+    return F.when(raw.isNull(), "MEDIUM").otherwise(lookup(known, F.upper(raw), "MEDIUM"))
+
+
 def stored_severity(raw: Column, source: Column) -> Column:
     """As kept in report rows: what is missing is UNKNOWN for bandit and INFO for semgrep."""
     return F.when(raw.isNull() | (raw == ""), F.when(source == "bandit", "UNKNOWN").otherwise("INFO")).otherwise(F.upper(raw))

@@ -9,10 +9,6 @@ from pyspark.sql import functions as F
 from wardspark.functions.size import small
 from wardspark.functions.vector import split_of
 
-# fixed values: regexes that make a finding likely true, and likely false
-LIKELY = ["subprocess\\.\\w+\\([^)]*shell\\s*=\\s*True", "os\\.system\\s*\\(", "eval\\s*\\(", "exec\\s*\\(", "pickle\\.loads?\\s*\\(", "yaml\\.load\\s*\\([^)]*\\)", "cursor\\.\\w*execute\\s*\\([^)]*%|cursor\\.\\w*execute\\s*\\([^)]*\\+", "innerHTML\\s*=", "document\\.write\\s*\\("]
-UNLIKELY = ["#\\s*nosec", "#\\s*noqa", "test_\\w+", "mock\\.", "assert\\s+"]
-
 
 def draw(seed: str, key: Column) -> Column:
     """An order that is random but the same everywhere."""
@@ -38,6 +34,65 @@ def stratified_split(df: DataFrame, key: str, label: str, seed: str = "42") -> D
     return d.withColumn("split", pick).drop("_k", "_n")
 
 
+def ratio_split(df: DataFrame, key: str, train: float = 0.8, val: float = 0.1, seed: str = "42") -> DataFrame:
+    """Rows in hashed order, the first int(n * train) to train, the next int(n * val) to val, the rest to test."""
+    return floor_split(df.withColumn("_all", F.lit(0)), key, "_all", train, val, seed).drop("_all")
+
+
+def floor_split(df: DataFrame, key: str, label: str, train: float = 0.8, val: float = 0.1, seed: str = "42") -> DataFrame:
+    """As stratified_split, rounded down without minima. Only the two rows where the splits meet are looked for in each
+    label: rows are first counted in stretches of the hash, and only two stretches are numbered row by row."""
+    d = df.withColumn("_d", draw(seed, F.col(key)))
+    d = d.withColumn("_s", F.substring("_d", 1, 3))
+    counts = d.groupBy(label, "_s").agg(F.count("*").alias("_c"))
+    upto = Window.partitionBy(label).orderBy("_s")
+    counts = counts.select(label, "_s", "_c", (F.sum("_c").over(upto) - F.col("_c")).alias("_from"), F.sum("_c").over(Window.partitionBy(label)).alias("_n"))
+    counts = counts.withColumn("_a", F.floor(F.col("_n") * train)).withColumn("_b", F.col("_a") + F.floor(F.col("_n") * val))
+    meets = lambda c: (F.col("_from") < F.col(c)) & (F.col("_from") + F.col("_c") > F.col(c))
+    j = d.join(small(counts), [label, "_s"])
+    split = lambda k: F.when(k < F.col("_a"), "train").when(k < F.col("_b"), "val").otherwise("test")
+    whole = j.where(~meets("_a") & ~meets("_b")).withColumn("split", split(F.col("_from")))
+    order = Window.partitionBy(label, "_s").orderBy("_d", key)
+    parts = j.where(meets("_a") | meets("_b")).withColumn("_k", F.col("_from") + F.row_number().over(order) - 1).withColumn("split", split(F.col("_k")))
+    return whole.unionByName(parts.drop("_k")).drop("_d", "_s", "_c", "_from", "_n", "_a", "_b")
+
+
+def with_every_class(df: DataFrame, key: str, label: str, splits: tuple[str, ...] = ("val", "test"), seed: str = "42") -> DataFrame:
+    """A split that lacks a label gets one row of it from train, if two of it at least stay there: the first in hashed
+    order to the first split that lacks it, the second to the next."""
+    have = df.groupBy(label).agg(F.count_if(F.col("split") == "train").alias("_t"), *[F.count_if(F.col("split") == s).alias(f"_{s}") for s in splits])
+    lack = have.select(label, "_t", F.filter(F.array(*[F.when(F.col(f"_{s}") == 0, s) for s in splits]), lambda x: x.isNotNull()).alias("_lack")).where(F.size("_lack") > 0)
+    w = Window.partitionBy(label).orderBy(draw(seed, F.col(key)), key)
+    rows = df.where("split = 'train'").join(small(lack), label)
+    near = rows.groupBy(label).agg(F.min(draw(seed, F.col(key))).alias("_min")).select(label)  # labels that have any
+    moved = rows.join(small(near), label).withColumn("_k", F.row_number().over(w)).where((F.col("_k") <= F.size("_lack")) & (F.col("_t") - F.col("_k") >= 1))
+    moved = moved.select(key, F.element_at("_lack", F.col("_k").cast("int")).alias("_to"))
+    return df.join(small(moved), key, "left").withColumn("split", F.coalesce("_to", "split")).drop("_to")
+
+
+def triples(chunks: DataFrame, negatives: int = 3, most: int = 1000, words: int = 12, seed: str = "1337") -> DataFrame:
+    """chunks: chunk_id, text. A query of each chunk's first words, the chunk, and other chunks as negatives: those that
+    follow it in an order drawn by a hash, the first ones after the last. So each is drawn from all others, and no pairs are
+    made that are not used. At most ``most`` triples, in hashed order; 0 for all."""
+    c = chunks.select("chunk_id", "text", draw(seed, F.col("chunk_id")).alias("_d"))
+    n = c.count()
+    stretch = F.substring("_d", 1, 4)
+    counts = c.groupBy(stretch.alias("_s")).agg(F.count("*").alias("_c"))
+    offsets = counts.select("_s", (F.sum("_c").over(Window.orderBy("_s")) - F.col("_c")).alias("_from"))  # 65,536 rows at most
+    w = Window.partitionBy("_s").orderBy("_d", "chunk_id")
+    c = c.withColumn("_s", stretch).withColumn("_r", F.row_number().over(w)).join(F.broadcast(offsets), "_s").withColumn("_r", F.col("_from") + F.col("_r") - 1)
+    tokens = F.regexp_extract_all(F.lower("text"), F.lit("[a-z_][a-z0-9_]+"), 0)
+    q = c.withColumn("query", F.array_join(F.slice(tokens, 1, words), " ")).where("query <> ''")
+    if most:
+        q = q.orderBy(draw(seed + ":", F.col("chunk_id")), "chunk_id").limit(most)
+    k = min(negatives, max(0, n - 1))
+    wanted = q.select("chunk_id", "query", F.col("text").alias("positive"), "_r", F.explode_outer(F.sequence(F.lit(1), F.lit(k)) if k else F.array().cast("array<int>")).alias("_k"))
+    wanted = wanted.withColumn("_at", (F.col("_r") + F.col("_k")) % max(n, 1))
+    other = c.select(F.col("_r").alias("_at"), F.col("chunk_id").alias("negative_id"))
+    j = wanted.join(other, "_at", "left").groupBy("chunk_id", "query", "positive").agg(F.array_sort(F.collect_list(F.struct("_k", "negative_id"))).alias("_l"))
+    return j.select(F.left(F.sha1(F.concat("query", "chunk_id")), F.lit(12)).alias("triple_id"), "chunk_id", "query", "positive", F.transform("_l", lambda x: x["negative_id"]).alias("negatives"))
+
+
 def ood_split(df: DataFrame, key: str, group: str, share: float = 0.1, seed: str = "42") -> DataFrame:
     """Whole groups are held out (one at least), the rest is split by hash."""
     groups = df.select(group).distinct().withColumn("_d", draw(seed, F.col(group)))
@@ -94,24 +149,6 @@ def any_of(text: Column, patterns: list[str], ignore_case: bool = False) -> Colu
     return text.rlike(("(?i)" if ignore_case else "") + "|".join(f"(?:{p})" for p in patterns))
 
 
-def verdict(code: Column, path: Column, scanners: Column, severity: Column, confidence: Column) -> Column:
-    """1 (true) or 0 by the first rule that speaks: signs of a false alarm, then clear patterns, agreement, and weight."""
-    return (
-        F.when(any_of(code, UNLIKELY) | any_of(path, UNLIKELY), 0)
-        .when(any_of(code, LIKELY), 1)
-        .when(scanners >= 2, 1)
-        .when(F.upper(severity).isin("HIGH", "CRITICAL") & (F.upper(confidence) == "HIGH"), 1)
-        .otherwise(0)
-    )
-
-
-def council(votes: Column) -> Column:
-    """Majority of an array of 1, 0 and null (abstains); null at a tie or without votes."""
-    cast = F.filter(votes, lambda v: v.isNotNull())
-    ones = F.size(F.filter(cast, lambda v: v == 1))
-    return F.when(2 * ones > F.size(cast), 1).when(2 * ones < F.size(cast), 0)
-
-
 SELECTED = "item_id string, source string, rule_id string, place int, tier string"
 
 

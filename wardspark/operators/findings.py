@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from wardspark.functions import severity as sev
 from wardspark.functions.text import normal_path, redact_secrets
+from wardspark.operators.labelling import category
 
 
 def finding_id(path: Column, start: Column, end: Column, rule: Column, source: Column, signal: Column) -> Column:
@@ -86,6 +87,8 @@ def first_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
+#: Sources whose rows a model's row may merge with.
+MERGING = ("bandit", "semgrep")
 MERGED = "filepath string, start_line int, end_line int, rule_id string, source string, severity string, confidence double, ordinal long, merged_ordinal long"
 
 
@@ -93,10 +96,13 @@ def merge(findings: DataFrame) -> DataFrame:
     """Tool findings and model findings of the same place become one. findings: filepath, start_line, end_line, rule_id,
     source, severity, confidence, ordinal. In each file the model's rows, in order, take the narrowest overlapping tool
     row (then the first by start, rule, order) that is still there; the pair is a row of source hybrid with the larger
-    confidence and the ordinal of the model's row as merged_ordinal. The order of taking matters within a file only."""
+    confidence and the ordinal of the model's row as merged_ordinal. Only rows of ``MERGING`` sources are taken; a tool row
+    that is given again replaces the one before it. The order of taking matters within a file only; ``report_order`` is
+    the order in which the result is shown."""
 
     def per_file(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("ordinal", kind="stable")
+        rows = rows.astype(object).where(rows.notna(), None)
         tools: dict[tuple, dict] = {}
         for r in rows[rows.source != "ml"].to_dict("records"):
             k = (r["source"], r["rule_id"], r["start_line"], r["end_line"])
@@ -104,20 +110,26 @@ def merge(findings: DataFrame) -> DataFrame:
         have = list(tools.values())
         out = []
         for r in rows[rows.source == "ml"].to_dict("records"):
-            fit = [t for t in have if t["start_line"] <= r["end_line"] and r["start_line"] <= t["end_line"]]
+            fit = [t for t in have if t["source"] in MERGING and None not in (t["start_line"], t["end_line"], r["start_line"], r["end_line"]) and t["start_line"] <= r["end_line"] and r["start_line"] <= t["end_line"]]
             if fit:
-                best = min(fit, key=lambda t: (t["end_line"] - t["start_line"], t["start_line"], t["rule_id"]))
+                best = min(fit, key=lambda t: (t["end_line"] - t["start_line"], t["start_line"], t["rule_id"] or ""))
                 have = [t for t in have if t is not best]
-                out.append(best | {"source": "hybrid", "confidence": max(best["confidence"], r["confidence"]), "merged_ordinal": r["ordinal"]})
+                out.append(best | {"source": "hybrid", "confidence": max((x for x in (best["confidence"], r["confidence"]) if x is not None), default=None), "merged_ordinal": r["ordinal"]})
             else:
                 out.append(r | {"merged_ordinal": None})
-        result = pd.DataFrame(have + out, columns=[c.split(" ")[0] for c in MERGED.split(", ")])
-        return result.assign(merged_ordinal=result.merged_ordinal.astype("Int64"))
+        result = pd.DataFrame(have + out, columns=[c.split(" ")[0] for c in MERGED.split(", ")], dtype=object)
+        whole = {c: result[c].astype("Int64") for c in ("start_line", "end_line", "ordinal", "merged_ordinal")}
+        return result.assign(**whole)
 
     cols = [c.split(" ")[0] for c in MERGED.split(", ")][:-1]
     return findings.select(*cols).groupBy("filepath").applyInPandas(per_file, MERGED)
 
 
+def report_order() -> list[Column]:
+    """By file, then the most severe first, then line and rule."""
+    return [F.col("filepath").asc(), sev.rank(F.col("severity")).desc(), F.col("start_line").asc(), F.col("rule_id").asc(), F.col("ordinal").asc()]
+
+
 def overlap_candidates(tools: DataFrame, models: DataFrame) -> DataFrame:
     """For each model row its narrowest overlapping tool row (m_id, t_id)."""
     t = tools.select("filepath", F.col("ordinal").alias("t_id"), F.col("start_line").alias("ts"), F.col("end_line").alias("te"), F.col("rule_id").alias("tr"))
@@ -127,31 +139,42 @@ def overlap_candidates(tools: DataFrame, models: DataFrame) -> DataFrame:
 
 
 def consensus(findings: DataFrame) -> DataFrame:
-    """Findings of all scanners (file_path, line_start, line_end, category, severity, confidence, scanner, ordinal) in
-    stretches of three lines: the first row with the highest severity and confidence counts, the category is the first
-    row's, the number of scanners is that of rows."""
-    rank = lambda c, words: sev.lookup(words, F.upper(c), 0)
-    s = rank(F.col("severity"), {"CRITICAL": 4, "HIGH": 3, "MEDIUM": 2, "LOW": 1})
-    k = rank(F.col("confidence"), {"HIGH": 3, "MEDIUM": 2, "LOW": 1})
+    """Findings of all scanners (file_path, line_start, line_end, category, severity, confidence, scanner, ordinal, and, if
+    they are there, code_snippet and message) in stretches of three lines: of the normalised severities and confidences the
+    highest (unknown and null words are medium), the first row's category, normalised, the first of the longest snippets;
+    the number of scanners is that of rows. Ends that are not known are the start."""
+    have = lambda c: F.coalesce(F.col(c), F.lit("")) if c in findings.columns else F.lit("")
+    rank = lambda c, words: sev.lookup({w: k for k, w in enumerate(words)}, c, 0)
+    s, k = sev.consensus_severity(F.col("severity")), sev.consensus_confidence(F.col("confidence"))
     first = -F.col("ordinal")
-    g = findings.where("file_path <> ''").groupBy("file_path", F.floor(F.col("line_start") / 3).cast("int").alias("bucket")).agg(
-        F.max_by("severity", F.struct(s, first)).alias("severity"),
-        F.max_by("confidence", F.struct(k, first)).alias("confidence"),
-        F.min_by("category", "ordinal").alias("category"),
-        F.coalesce(F.min(F.when(F.col("line_start") > 0, F.col("line_start"))), F.lit(0)).alias("line_start"),
-        F.coalesce(F.max(F.when(F.col("line_end") > 0, F.col("line_end"))), F.lit(0)).alias("line_end"),
+    start = F.coalesce("line_start", F.lit(0))
+    known = lambda c: F.when(F.col(c) > 0, F.col(c))
+    g = findings.where("file_path <> ''").groupBy("file_path", F.floor(start / 3).cast("int").alias("bucket")).agg(
+        F.max_by(s, F.struct(rank(s, ["INFO", "LOW", "MEDIUM", "HIGH", "CRITICAL"]), first)).alias("severity"),
+        F.max_by(k, F.struct(rank(k, ["LOW", "MEDIUM", "HIGH"]), first)).alias("confidence"),
+        F.min_by(F.coalesce("category", F.lit("")), "ordinal").alias("raw_category"),
+        F.coalesce(F.min(known("line_start")), F.lit(0)).alias("line_start"),
+        F.max(known("line_end")).alias("line_end"),
         F.count("*").alias("scanner_count"),
+        F.max_by(have("code_snippet"), F.struct(F.char_length(have("code_snippet")), first)).alias("code_snippet"),
+        F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "scanner"))), lambda x: x["scanner"]).alias("scanner_sources"),
     )
+    g = g.withColumn("category", category(F.col("raw_category"))).withColumn("line_end", F.coalesce("line_end", "line_start"))
+    g = g.withColumn("finding_id", F.left(F.sha2(F.concat_ws(":", "file_path", "line_start", "category"), 256), F.lit(16)))
     score = sev.consensus_score(F.col("severity"), F.col("confidence"), F.col("scanner_count"))
-    g = g.withColumn("consensus_score", score)
+    g = g.drop("raw_category").withColumn("consensus_score", score)
     return g.withColumn("label", sev.consensus_label(F.col("severity"), F.col("confidence"), F.col("scanner_count"), F.col("consensus_score")))
 
 
+def by_score(merged: DataFrame) -> DataFrame:
+    """The surest first; equal ones in order of their place."""
+    return merged.orderBy(F.desc("consensus_score"), "file_path", "bucket")
+
+
 def consensus_statistics(merged: DataFrame) -> DataFrame:
-    """Totals and counts by severity and by category in one pass."""
-    merged.createOrReplaceTempView("_consensus")
-    return merged.sparkSession.sql("""SELECT severity, category, count(*) AS n, round(avg(consensus_score), 6) AS avg_score,
-        grouping_id() AS level FROM _consensus GROUP BY GROUPING SETS ((), (severity), (category))""")
+    """Totals and counts by severity and by category in one pass, as grouping sets."""
+    n, score = F.count("*").alias("n"), F.round(F.avg("consensus_score"), 6).alias("avg_score")
+    return merged.groupingSets([[], [F.col("severity")], [F.col("category")]], "severity", "category").agg(n, score, F.grouping_id().alias("level"))
 
 
 def gold_labels(findings: DataFrame, scanners: int = 2) -> DataFrame:

@@ -27,10 +27,12 @@ def collate(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def neighbour_means(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """graph_id, node_id, dim, value: the mean of the vectors of the sources of a node's edges; nodes: graph_id, node_id,
-    v. Nodes without edges are left out."""
+    v. The degree is 1 at least: a node that no edge leads to has the mean 0."""
     v = nodes.select("graph_id", F.col("node_id").alias("src"), F.posexplode("v").alias("dim", "x"))
     j = edges.select("graph_id", "src", "dst").join(v, ["graph_id", "src"])
-    return j.groupBy("graph_id", F.col("dst").alias("node_id"), "dim").agg(F.avg("x").alias("value"))
+    means = j.groupBy("graph_id", F.col("dst").alias("node_id"), "dim").agg(F.avg("x").alias("value"))
+    each = nodes.select("graph_id", "node_id", F.posexplode("v").alias("dim", "x")).drop("x")
+    return each.join(means, ["graph_id", "node_id", "dim"], "left").select("graph_id", "node_id", "dim", F.coalesce("value", F.lit(0.0)).alias("value"))
 
 
 def mean_pool(nodes: DataFrame) -> DataFrame:

@@ -2,52 +2,104 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
+from functools import reduce
 
-from wardspark.functions.text import diff_stats
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
-# fixed values: what an added line must not hold
-BANNED = ["eval(", "exec(", "os.system(", "subprocess.", "child_process", "Function(", "innerHTML", "document.write", "pickle.loads", "yaml.load(", "__import__("]
+from wardspark.functions.text import diff_stats, normal_path
+
+# fixed values: what an added line must not hold, and the categories whose findings a model may patch
+BANNED = [
+    r"(?i)\bbcrypt\b",
+    r"(?i)\bargon2\b",
+    r"(?i)\bpasslib\b",
+    r"(?i)\bhashlib\.(md5|sha1)\b",
+    r"(?i)\bmd5\b",
+    r"(?i)\bsha1\b",
+    r"(?i)\beval\(",
+    r"(?i)\bexec\(",
+    r"(?i)\bos\.system\(",
+    r"(?i)\bsubprocess\.(run|popen)\(",
+    r"\bshell\s*=\s*True\b",
+]
+ALLOWED = ["injection.xss", "xss", "innerhtml", "insecure-request", "injection.command", "command-injection", "injection.sql", "path.traversal", "ssrf", "unsafe.exec"]
+_COMMENT, _IMPORT = r"^(#|//|/\*|\*)", r"^(import\s|from\s|const\s.*require\(|export\s.*from\s)"
+#: A piece of a diff from one hunk's head to the next; the first may come before any hunk.
+_HUNK = r"""
+named_struct('head', split(p, '\n')[0], 'rows', slice(split(p, '\n'), 2, size(split(p, '\n'))),
+  'paths', filter(transform(filter(split(p, '\n'), r -> startswith(r, '+++ ')), r -> regexp_replace(trim(substring(r, 5)), '^b/', '')), x -> x <> '/dev/null'))"""
+#: Lines of a hunk with kind and numbers, counted on from its head.
+_ROWS = r"""
+aggregate(h.rows, named_struct('old', coalesce(try_cast(regexp_extract(h.head, '-([0-9]+)', 1) AS int), 0), 'new', coalesce(try_cast(regexp_extract(h.head, '[+]([0-9]+)', 1) AS int), 0),
+    'out', cast(array() AS array<struct<kind:string,old_line:int,new_line:int,text:string>>)),
+  (z, r) -> CASE
+    WHEN startswith(r, '+') AND NOT startswith(r, '+++') THEN named_struct('old', z.old, 'new', z.new + 1, 'out', array_append(z.out, named_struct('kind', '+', 'old_line', cast(null AS int), 'new_line', z.new, 'text', substring(r, 2))))
+    WHEN startswith(r, '-') AND NOT startswith(r, '---') THEN named_struct('old', z.old + 1, 'new', z.new, 'out', array_append(z.out, named_struct('kind', '-', 'old_line', z.old, 'new_line', cast(null AS int), 'text', substring(r, 2))))
+    WHEN startswith(r, ' ') THEN named_struct('old', z.old + 1, 'new', z.new + 1, 'out', array_append(z.out, named_struct('kind', ' ', 'old_line', z.old, 'new_line', z.new, 'text', substring(r, 2))))
+    ELSE named_struct('old', z.old + 1, 'new', z.new + 1, 'out', z.out) END,
+  z -> z.out)"""
+
+
+def parsed(diffs: DataFrame) -> DataFrame:
+    """Adds files (paths that the diff writes, as they come) and hunks (number, path, lines) to each row with a diff. It is
+    parsed within its row, a hunk in time that grows with the square of its lines."""
+    pieces = diffs.withColumn("_p", F.expr(f"transform(split(coalesce(diff, ''), '\\n(?=@@)'), p -> {_HUNK})"))
+    pieces = pieces.withColumn("files", F.expr("flatten(transform(_p, h -> h.paths))"))
+    hunk = f"named_struct('hunk', i, 'path', element_at(flatten(transform(slice(_p, 1, i), x -> x.paths)), -1), 'lines', {_ROWS})"
+    heads = "filter(sequence(1, size(_p)), i -> startswith(_p[i - 1].head, '@@') AND size(flatten(transform(slice(_p, 1, i - 1), x -> x.paths))) > 0)"
+    hunk = hunk.replace("'hunk', i", "'hunk', k + 1").replace("slice(_p, 1, i)", "slice(_p, 1, i - 1)").replace("h.", "_p[i - 1].")
+    return pieces.withColumn("hunks", F.expr(f"transform({heads}, (i, k) -> {hunk})")).drop("_p")
 
 
 def diff_lines(diffs: DataFrame) -> DataFrame:
     """diffs: diff_id, diff. Each line in a hunk with kind (+, - or blank) and its numbers in the old and new file."""
-    d = diffs.select("diff_id", F.posexplode(F.split("diff", "\n")).alias("k", "row"))
-    head = F.col("row").rlike("^@@ -[0-9]+")
-    w = Window.partitionBy("diff_id").orderBy("k")
-    d = d.withColumn("hunk", F.sum(head.cast("int")).over(w)).withColumn("path", F.last(F.when(F.col("row").startswith("+++ "), F.regexp_replace("row", "^\\+\\+\\+ (?:b/)?", "")), ignorenulls=True).over(w))
-    number = lambda p: F.when(head, F.regexp_extract("row", p, 1).cast("int"))
-    d = d.withColumn("old_first", F.last(number("^@@ -([0-9]+)"), ignorenulls=True).over(w)).withColumn("new_first", F.last(number("^@@ -[0-9]+(?:,[0-9]+)? \\+([0-9]+)"), ignorenulls=True).over(w))
-    kind = F.when(F.col("row").startswith("+++") | F.col("row").startswith("---") | head, F.lit(None)).when(F.left("row", F.lit(1)).isin("+", "-", " "), F.left("row", F.lit(1)))
-    d = d.withColumn("kind", kind).where("hunk > 0 AND kind IS NOT NULL")
-    h = Window.partitionBy("diff_id", "hunk").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = lambda *kinds: F.coalesce(F.sum(F.col("kind").isin(*kinds).cast("int")).over(h), F.lit(0))
-    old = F.when(F.col("kind") != "+", F.col("old_first") + ahead(" ", "-"))
-    new = F.when(F.col("kind") != "-", F.col("new_first") + ahead(" ", "+"))
-    return d.select("diff_id", "path", "hunk", "kind", old.cast("int").alias("old_line"), new.cast("int").alias("new_line"), F.substring("row", 2, 1_000_000).alias("text"))
-
-
-def policy(diffs: DataFrame, hunks: int = 3, lines: int = 20, reach: int = 3) -> DataFrame:
-    """diffs: diff_id, diff, start_line, end_line. The first reason against a diff, or null."""
-    rows = diff_lines(diffs).join(diffs.select("diff_id", "start_line", "end_line"), "diff_id")
-    at = F.coalesce("old_line", "new_line")
-    changed = F.col("kind") != " "
-    bad = F.lit(False)
-    for b in BANNED:
-        bad = bad | F.col("text").contains(b)
-    g = rows.groupBy("diff_id").agg(
-        F.count_distinct("path").alias("files"),
-        F.count_distinct("hunk").alias("hunks"),
-        F.count_if(changed).alias("lines"),
-        F.max((changed & ~at.between(F.col("start_line") - reach, F.col("end_line") + reach)).cast("int")).alias("outside"),
-        F.max(((F.col("kind") == "+") & bad).cast("int")).alias("banned"),
-    )
+    d = parsed(diffs.select("diff_id", "diff")).select("diff_id", F.explode("hunks").alias("h"))
+    return d.select("diff_id", "h.path", F.col("h.hunk").cast("long").alias("hunk"), F.explode("h.lines").alias("x")).select("diff_id", "path", "hunk", "x.*")
+
+
+def import_end(source: Column, most: int = 40) -> Column:
+    """The last line of the blank, comment and import lines that a file begins with."""
+    lines = F.transform(F.slice(F.split(source, "\n"), 1, most), F.trim)
+    head = lambda x: (x == "") | x.rlike(_COMMENT) | x.rlike(_IMPORT)
+    other = F.array_position(F.transform(lines, lambda x: ~head(x)), True)
+    return F.coalesce(F.when(other > 0, other - 1).otherwise(F.size(lines)), F.lit(0)).cast("int")
+
+
+def category_allowed(category: Column, rule: Column, allowed: list[str] = ALLOWED) -> Column:
+    """Whether a category or a rule is, or holds, one of those allowed; all are if the list is empty."""
+    if not allowed:
+        return F.lit(True)
+    c, r = F.lower(F.coalesce(category, F.lit(""))), F.lower(F.coalesce(rule, F.lit("")))
+    return reduce(lambda a, b: a | b, [c.contains(x) | r.contains(x) for x in allowed if x])
+
+
+def policy(diffs: DataFrame, hunks: int = 3, lines: int = 20, reach: int = 3, allowed: list[str] = ALLOWED) -> DataFrame:
+    """diffs: diff_id, diff, start_line, end_line, and, where they are known, filepath, category, rule_id and source (the
+    file's text). The first reason against a diff, or null: an empty diff, a category that is not allowed, several files or
+    none, another file, too many hunks or changed lines, a change away from the finding that is no import at the file's
+    beginning, a banned addition that is no comment."""
+    have = lambda c: F.col(c) if c in diffs.columns else F.lit(None).cast("string")
+    d = parsed(diffs.select("diff_id", "diff", "start_line", "end_line", have("filepath").alias("filepath"), have("category").alias("category"), have("rule_id").alias("rule_id"), import_end(have("source")).alias("imports")))
+    d = d.withColumn("changed", F.expr("filter(flatten(transform(hunks, h -> h.lines)), x -> x.kind <> ' ')"))
+    at = lambda x: F.coalesce(x["old_line"], x["new_line"])
+    inside = lambda x: at(x).between(F.col("start_line") - reach, F.col("end_line") + reach)
+    importing = lambda x: F.trim(x["text"]).rlike(_IMPORT) & (at(x) <= F.col("imports"))
+    bad = lambda x: (x["kind"] == "+") & ~F.trim(x["text"]).rlike(_COMMENT) & reduce(lambda a, b: a | b, [x["text"].rlike(p) for p in BANNED])
+    known = F.col("category").isNull() & F.col("rule_id").isNull()
+    other = F.col("filepath").isNotNull() & (normal_path(F.col("files")[0]) != normal_path(F.col("filepath")))
     reason = (
-        F.when(F.col("files").isNull(), "not a diff").when(F.col("files") > 1, "more than one file").when(F.col("hunks") > hunks, "too many hunks")
-        .when(F.col("lines") > lines, "too many lines").when(F.col("outside") == 1, "outside the finding").when(F.col("banned") == 1, "banned addition")
-    )
-    return diffs.select("diff_id").join(g, "diff_id", "left").select("diff_id", reason.alias("reason"))
+        F.when(F.trim(F.coalesce("diff", F.lit(""))) == "", "not a diff")
+        .when(~known & ~category_allowed(F.col("category"), F.col("rule_id"), allowed), "category not allowed")
+        .when(F.size("files") == 0, "not a diff")
+        .when(F.size("files") > 1, "more than one file")
+        .when(other, "another file")
+        .when(F.size("hunks") > hunks, "too many hunks")
+        .when(F.size("changed") > lines, "too many lines")
+        .when(F.exists("changed", lambda x: ~importing(x) & ~inside(x)), "outside the finding")
+        .when(F.exists("changed", bad), "banned addition")
+    )
+    return d.select("diff_id", reason.alias("reason"))
 
 
 def rank(candidates: DataFrame) -> DataFrame:

@@ -20,8 +20,10 @@ def replace_by_key(table: DataFrame, rows: DataFrame, keys: list[str], order: li
     return table.join(new.select(*keys), keys, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
-def upsert_keeping(table: DataFrame, rows: DataFrame, keys: list[str], kept: list[str]) -> DataFrame:
+def upsert_keeping(table: DataFrame, rows: DataFrame, keys: list[str], kept: list[str], order: list[str]) -> DataFrame:
     """As replace_by_key, but columns in ``kept`` keep the table's value."""
+    w = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])
+    rows = rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
     old = table.select(*keys, *[F.col(c).alias(f"_{c}") for c in kept])
     new = rows.join(old, keys, "left")
     new = new.select(*[F.coalesce(f"_{c}", c).alias(c) if c in kept else F.col(c) for c in rows.columns])

@@ -20,7 +20,7 @@ _FINDING = [
     "cast(l_discount * 10 AS double) AS confidence",
     "concat('R', cast(l_partkey % 23 AS {text})) AS rule_id",
     "concat('found ', cast(l_partkey AS {text})) AS message",
-    "((l_orderkey * 8 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey AS ordinal",
+    "(((l_orderkey * 8 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey) * 100 + cast(l_quantity AS bigint) % 100 AS ordinal",
 ]
 
 

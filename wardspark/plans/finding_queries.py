@@ -32,11 +32,16 @@ def file_histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return findings(spark, sf_dir).select(F.col("filepath").alias("file_path"), F.col("start_line").alias("line_start"), F.col("end_line").alias("line_end"), F.col("rule_id").alias("category"), F.upper("severity").alias("severity"), F.col("confidence_word").alias("confidence"), F.col("source").alias("scanner"), "ordinal")
+    """With unknown words, nulls, and ends that are not known."""
+    word = F.when(F.col("ordinal") % 17 == 0, F.lit(None)).when(F.col("ordinal") % 13 == 0, "WARNING").when(F.col("ordinal") % 11 == 0, "ERROR").when(F.col("ordinal") % 19 == 0, "odd").otherwise(F.upper("severity"))
+    sure = F.when(F.col("ordinal") % 7 == 0, F.lit(None)).when(F.col("ordinal") % 5 == 0, "UNDEFINED").otherwise(F.col("confidence_word"))
+    end = F.when(F.col("ordinal") % 3 > 0, F.col("end_line"))
+    kind = F.concat("rule_id", F.element_at(F.array(*map(F.lit, ("-sqli", "-Exec", "-token", "-other"))), (F.col("ordinal") % 4 + 1).cast("int")))
+    return findings(spark, sf_dir).select(F.col("filepath").alias("file_path"), F.col("start_line").alias("line_start"), end.alias("line_end"), kind.alias("category"), word.alias("severity"), sure.alias("confidence"), F.col("source").alias("scanner"), "ordinal", F.col("message").alias("code_snippet"))
 
 
 def consensus_bucket_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.consensus(_scanned(spark, sf_dir)).withColumn("consensus_score", F.round("consensus_score", 6))
+    return ops.consensus(_scanned(spark, sf_dir)).withColumn("consensus_score", F.round("consensus_score", 6)).withColumn("scanner_sources", F.array_join("scanner_sources", ","))
 
 
 def consensus_stats_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,11 +119,16 @@ QUERIES = {
 }
 _RANK = "CASE severity WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 ELSE 0 END"
 _CONSENSUS = f"""{FINDINGS},
-s AS (SELECT filepath AS file_path, start_line AS line_start, end_line AS line_end, rule_id AS category, upper(severity) AS severity, confidence_word AS confidence, ordinal,
-    CASE upper(severity) WHEN 'CRITICAL' THEN 4 WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 WHEN 'LOW' THEN 1 ELSE 0 END AS sr, CASE confidence_word WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 ELSE 1 END AS cr FROM findings),
-g AS (SELECT file_path, CAST(line_start // 3 AS INT) AS bucket, first(severity ORDER BY sr DESC, ordinal) AS severity, first(confidence ORDER BY cr DESC, ordinal) AS confidence, first(category ORDER BY ordinal) AS category,
-    min(line_start) AS line_start, max(line_end) AS line_end, count(*) AS scanner_count FROM s GROUP BY 1, 2),
-c AS (SELECT *, CASE severity WHEN 'CRITICAL' THEN 1.0::DOUBLE WHEN 'HIGH' THEN 0.8 WHEN 'MEDIUM' THEN 0.6 WHEN 'LOW' THEN 0.4 WHEN 'INFO' THEN 0.2 END * CASE confidence WHEN 'HIGH' THEN 1.0::DOUBLE WHEN 'MEDIUM' THEN 0.75 ELSE 0.5 END * least(1.0::DOUBLE, 0.5::DOUBLE + scanner_count * 0.1::DOUBLE) AS consensus_score FROM g)"""
+r AS (SELECT filepath AS file_path, start_line AS line_start, CASE WHEN ordinal % 3 > 0 THEN end_line END AS line_end, rule_id || CASE ordinal % 4 WHEN 0 THEN '-sqli' WHEN 1 THEN '-Exec' WHEN 2 THEN '-token' ELSE '-other' END AS raw, source, message, ordinal,
+    CASE WHEN ordinal % 17 = 0 THEN NULL WHEN ordinal % 13 = 0 THEN 'WARNING' WHEN ordinal % 11 = 0 THEN 'ERROR' WHEN ordinal % 19 = 0 THEN 'odd' ELSE upper(severity) END AS sw,
+    CASE WHEN ordinal % 7 = 0 THEN NULL WHEN ordinal % 5 = 0 THEN 'UNDEFINED' ELSE confidence_word END AS cw FROM findings),
+s AS (SELECT *, CASE sw WHEN 'CRITICAL' THEN 4 WHEN 'HIGH' THEN 3 WHEN 'ERROR' THEN 3 WHEN 'LOW' THEN 1 WHEN 'INFO' THEN 1 ELSE 2 END AS sr, CASE cw WHEN 'HIGH' THEN 2 WHEN 'LOW' THEN 0 ELSE 1 END AS cr FROM r),
+g AS (SELECT file_path, CAST(line_start // 3 AS INT) AS bucket, max(sr) AS sr, max(cr) AS cr, first(raw ORDER BY ordinal) AS raw, min(line_start) AS line_start, coalesce(max(line_end), min(line_start)) AS line_end, count(*) AS scanner_count,
+    first(message ORDER BY length(message) DESC, ordinal) AS code_snippet, string_agg(source, ',' ORDER BY ordinal) AS scanner_sources FROM s GROUP BY 1, 2),
+h AS (SELECT *, CASE sr WHEN 4 THEN 'CRITICAL' WHEN 3 THEN 'HIGH' WHEN 2 THEN 'MEDIUM' ELSE 'LOW' END AS severity, CASE cr WHEN 2 THEN 'HIGH' WHEN 1 THEN 'MEDIUM' ELSE 'LOW' END AS confidence,
+    CASE WHEN raw LIKE '%sqli' THEN 'sql.injection' WHEN raw LIKE '%Exec' THEN 'command.injection' WHEN raw LIKE '%token' THEN 'hardcoded.secrets' ELSE lower(raw) END AS category FROM g),
+c AS (SELECT *, left(sha256(concat_ws(':', file_path, line_start, category)), 16) AS finding_id,
+    CASE severity WHEN 'CRITICAL' THEN 1.0::DOUBLE WHEN 'HIGH' THEN 0.8 WHEN 'MEDIUM' THEN 0.6 ELSE 0.4 END * CASE confidence WHEN 'HIGH' THEN 1.0::DOUBLE WHEN 'MEDIUM' THEN 0.75 ELSE 0.5 END * least(1.0::DOUBLE, 0.5::DOUBLE + scanner_count * 0.1::DOUBLE) AS consensus_score FROM h)"""
 _LINES = f"{FINDINGS}, {SPANS_SQL}, li AS (SELECT ordinal AS row_id, filepath, end_line AS line FROM findings)"
 _INSIDE = "inside AS (SELECT row_id, sample_id FROM li JOIN spans USING (filepath) WHERE line BETWEEN start_line AND end_line QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY end_line - start_line, start_line DESC, sample_id) = 1)"
 _NEAR = """f AS (SELECT *, lead(start_line) OVER (PARTITION BY filepath ORDER BY start_line, end_line, sample_id) AS following FROM spans),
@@ -130,7 +140,7 @@ ORACLE = {
     "counts_pivot_total": "SELECT o_orderkey AS report_id, count(*) FILTER (WHERE l_returnflag = 'R') AS bandit, count(*) FILTER (WHERE l_returnflag = 'A') AS semgrep, count(*) FILTER (WHERE l_returnflag IN ('R', 'A')) AS total FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey",
     "file_top20": f"WITH {FINDINGS} SELECT filepath, ordinal, CAST(row_number() OVER (PARTITION BY filepath ORDER BY {_RANK} DESC, start_line, ordinal) AS INT) AS place FROM findings QUALIFY place <= 20",
     "file_histograms": f"WITH {FINDINGS} SELECT filepath, 'severity' AS kind, severity AS value, count(*) AS n FROM findings GROUP BY ALL UNION ALL SELECT filepath, 'rule', rule_id, count(*) FROM findings GROUP BY ALL",
-    "consensus_bucket_merge": f"WITH {_CONSENSUS} SELECT file_path, bucket, severity, confidence, category, line_start, line_end, scanner_count, round(consensus_score, 6) AS consensus_score, CAST(CASE WHEN scanner_count >= 3 OR severity = 'CRITICAL' OR (scanner_count >= 2 AND confidence = 'HIGH') OR consensus_score >= 0.4 THEN 1 ELSE 0 END AS INT) AS label FROM c",
+    "consensus_bucket_merge": f"WITH {_CONSENSUS} SELECT file_path, bucket, severity, confidence, category, line_start, line_end, scanner_count, code_snippet, scanner_sources, finding_id, round(consensus_score, 6) AS consensus_score, CAST(CASE WHEN scanner_count >= 3 OR severity = 'CRITICAL' OR (scanner_count >= 2 AND confidence = 'HIGH') OR consensus_score >= 0.4 THEN 1 ELSE 0 END AS INT) AS label FROM c",
     "consensus_stats_grouping_sets": f"WITH {_CONSENSUS} SELECT severity, category, count(*) AS n, round(avg(consensus_score), 6) AS avg_score, grouping(severity, category) AS level FROM c GROUP BY GROUPING SETS ((), (severity), (category))",
     "gold_label_min_scanners": f"WITH {FINDINGS}, g AS (SELECT filepath AS file_path, CAST(start_line // 3 AS INT) AS bucket, count(DISTINCT source) AS scanners, max(CASE WHEN severity IN ('high', 'critical') THEN 1 ELSE 0 END) AS high FROM findings GROUP BY 1, 2) SELECT file_path, bucket, scanners, round(least(1.0, scanners / 3) + 0.3 * high, 6) AS score FROM g WHERE scanners >= 2",
     "finding_ids": f"WITH {FINDINGS} SELECT ordinal, left(sha1(concat_ws(':', filepath, start_line, end_line, rule_id, source, message)), 12) AS finding_id, {_RANK} AS rank FROM findings",

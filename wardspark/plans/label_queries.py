@@ -167,7 +167,8 @@ ORACLE = {
     "citation_tiers": """WITH t AS (SELECT l_orderkey AS finding_id, l_suppkey % 3 + 1 AS tier, concat(l_partkey, '-', l_suppkey) AS chunk_id, row_number() OVER (PARTITION BY l_orderkey, l_suppkey % 3 ORDER BY l_linenumber, concat(l_partkey, '-', l_suppkey)) AS k FROM lineitem)
         SELECT finding_id, chunk_id, CAST(row_number() OVER (PARTITION BY finding_id ORDER BY CASE WHEN tier <= 2 AND k <= 2 THEN 0 ELSE 1 END, tier, k, chunk_id) AS INT) AS n FROM t QUALIFY n <= 5""",
     "graph_collate": "WITH o AS (SELECT conv_id, coalesce(sum(count(*)) OVER (ORDER BY conv_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM conversations GROUP BY conv_id) SELECT conv_id AS graph_id, CAST(turn - 1 + o AS BIGINT) AS src, CAST(turn + o AS BIGINT) AS dst FROM conversations JOIN o USING (conv_id) WHERE turn > 0",
-    "graph_neighbour_means": "WITH v AS (SELECT conv_id AS graph_id, turn + 1 AS node_id, unnest([0, 1]) AS dim, unnest([length(text)::DOUBLE, turn::DOUBLE]) AS value FROM conversations) SELECT v.graph_id, v.node_id, dim, value FROM v WHERE EXISTS (SELECT 1 FROM conversations c WHERE c.conv_id = v.graph_id AND c.turn = v.node_id)",
+    "graph_neighbour_means": """WITH v AS (SELECT conv_id, turn, unnest([0, 1]) AS dim, unnest([length(text)::DOUBLE, turn::DOUBLE]) AS value FROM conversations)
+        SELECT a.conv_id AS graph_id, a.turn AS node_id, a.dim, coalesce(b.value, 0) AS value FROM v a LEFT JOIN v b ON a.conv_id = b.conv_id AND a.dim = b.dim AND b.turn = a.turn - 1 AND a.turn > 0""",
     "graph_mean_pool": "WITH v AS (SELECT conv_id AS graph_id, unnest([0, 1]) AS dim, unnest([length(text)::DOUBLE, turn::DOUBLE]) AS x FROM conversations) SELECT graph_id, dim, round(avg(x), 6) AS value FROM v GROUP BY 1, 2",
     "graph_use_edges": "SELECT conv_id AS graph_id, min(turn) OVER (PARTITION BY conv_id, role) AS src, turn AS dst FROM conversations QUALIFY src <> dst",
     "graph_sibling_edges": "SELECT conv_id AS graph_id, turn AS src, lead(turn) OVER (PARTITION BY conv_id, role ORDER BY turn) AS dst FROM conversations QUALIFY dst IS NOT NULL",
