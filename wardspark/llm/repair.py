@@ -21,6 +21,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -84,7 +85,7 @@ def _counted(seq: np.ndarray, cut: np.ndarray, least: int) -> tuple[np.ndarray,
     they stand. Of equal pairs that overlap every second one counts. A table of hashed counts first drops most others."""
     pair = seq[:-1] << 32 | seq[1:]
     slot = ((pair.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int32)
-    often = np.bincount(slot, minlength=_TABLE)[slot] >= least
+    often = (np.bincount(slot, minlength=_TABLE) >= least)[slot]
     often[cut] = False
     at = np.flatnonzero(often)
     codes, found = pd.factorize(pair[at])
@@ -140,35 +141,40 @@ def _one_by_one(seq: np.ndarray, edges: np.ndarray, made: int, least: int, rules
     places = {int(found[codes[order][k]]): g.tolist() for g, k in zip(groups, np.r_[0, np.cumsum([len(g) for g in groups])[:-1]].tolist(), strict=True)}
     heap = [(-len(g), key) for key, g in places.items()]
     heapify(heap)
-    symbol, ahead, back = seq.tolist(), list(range(1, last + 1)), list(range(-1, last - 1))
-    for k in cut.tolist():  # no pair reaches over the end of a document
-        back[ahead[k]], ahead[k] = -1, last
-    new = []
+    symbol = seq.tolist()
+    # what follows and what precedes, where it is not the next place; no pair reaches over the end of a document
+    ahead, back = dict.fromkeys(cut.tolist(), last), dict.fromkeys((cut + 1).tolist(), -1)
+    ahead[last - 1] = last
+    new: list[tuple[int, int]] = []
+    at_end: dict[int, int] = {}  # places that changed
+    gone: list[int] = []
     while heap:
         count, key = heappop(heap)
         a, b = key >> 32, key & 0xFFFFFFFF
         valid, after = [], -1
         for i in places[key]:
-            j = ahead[i]
-            if symbol[i] == a and j < last and symbol[j] == b and i >= after:
-                valid.append(i)
-                after = j + 1
+            if symbol[i] == a and i >= after:
+                j = ahead.get(i, i + 1)
+                if j < last and symbol[j] == b:
+                    valid.append((i, j))
+                    after = j + 1
         if len(valid) < least:
             continue
         if len(valid) < -count:  # fewer than when it was counted
-            places[key] = valid
+            places[key] = [i for i, _ in valid]
             heappush(heap, (-len(valid), key))
             continue
         new.append((a, b))
-        near: dict[int, list[int]] = {}
-        for i in valid:
-            j = ahead[i]
-            after = ahead[j]
+        for i, j in valid:
+            after = ahead.get(j, j + 1)
             symbol[i], symbol[j], ahead[i] = made, -1, after
             if after < last:
                 back[after] = i
-        for i in valid:
-            before, after = back[i], ahead[i]
+            at_end[i] = made
+            gone.append(j)
+        near: dict[int, list[int]] = {}
+        for i, _ in valid:
+            before, after = back.get(i, i - 1), ahead[i]
             if before >= 0:
                 near.setdefault(symbol[before] << 32 | made, []).append(before)
             if after < last and symbol[after] != made:
@@ -179,9 +185,10 @@ def _one_by_one(seq: np.ndarray, edges: np.ndarray, made: int, least: int, rules
                 places[k] = x
                 heappush(heap, (-len(x), k))
     rules.append(np.array(new, np.int64).reshape(-1, 2))
-    out = np.array(symbol, np.int64)
-    gone = np.flatnonzero(out < 0)
-    return out[out >= 0], edges - np.searchsorted(gone, edges)
+    seq[np.fromiter(at_end, np.int64, len(at_end))] = np.fromiter(at_end.values(), np.int64, len(at_end))
+    keep = np.ones(last, bool)
+    keep[gone] = False
+    return seq[keep], edges - np.searchsorted(np.sort(np.array(gone, np.int64)), edges)
 
 
 def compress(ids: np.ndarray, edges: np.ndarray, terminals: int, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -217,12 +224,12 @@ class Block:
         self.rules, self.size = u4(2 * n, 20).reshape(-1, 2), u4(n, 20 + 8 * n).astype(np.int64)
         self.first = np.r_[u4(docs, 20 + 12 * n), symbols].astype(np.int64)
         self.symbols = unplanes(body[20 + 12 * n + 4 * docs :], "<u4").astype(np.int64)
-        expanded: list[np.ndarray] = []  # of rules that stand for few ids; others are taken apart first
+        expanded: list[list[int]] = []  # of rules that stand for few ids; others are taken apart first
         t = self.terminals
         for (a, b), n in zip(self.rules.tolist(), self.size.tolist(), strict=True):
-            expanded.append(np.concatenate([expanded[x - t] if x >= t else np.array([x], np.uint32) for x in (a, b)]) if n <= _SHORT else np.zeros(0, np.uint32))
-        self._flat = np.concatenate([np.zeros(0, np.uint32), *expanded])
+            expanded.append([*(expanded[a - t] if a >= t else (a,)), *(expanded[b - t] if b >= t else (b,))] if n <= _SHORT else [])
         self._from = np.r_[0, np.cumsum([len(x) for x in expanded], dtype=np.int64)].astype(np.int64)
+        self._flat = np.fromiter(chain.from_iterable(expanded), np.uint32, int(self._from[-1]))
 
     def sizes(self, symbols: np.ndarray) -> np.ndarray:
         """How many ids each of these symbols stands for."""
@@ -231,26 +238,30 @@ class Block:
         out[rule] = self.size[symbols[rule] - self.terminals]
         return out
 
-    def expand(self, symbols: np.ndarray) -> np.ndarray:
-        """The ids that these symbols stand for."""
+    def expand(self, symbols: np.ndarray, size: np.ndarray | None = None) -> np.ndarray:
+        """The ids that these symbols stand for; size: how many each stands for, if that is known."""
         t = self.terminals
-        while (long := self.sizes(symbols) > _SHORT).any():
+        size = self.sizes(symbols) if size is None else size
+        while (long := size > _SHORT).any():
             first = np.arange(len(symbols)) + np.cumsum(long) - long
             two = np.zeros(len(symbols) + long.sum(), np.int64)
             two[first] = symbols
             two[first[long]], two[first[long] + 1] = self.rules[symbols[long] - t].T
             symbols = two
+            size = self.sizes(symbols)
         rule = symbols >= t
-        table = np.r_[self._flat, symbols[~rule].astype(np.uint32)]
-        size, first = self.sizes(symbols), np.zeros(len(symbols), np.int64)
+        one = ~rule
+        table = np.r_[self._flat, symbols[one].astype(np.uint32)]
+        first = np.empty(len(symbols), np.int64)
         first[rule] = self._from[symbols[rule] - t]
-        first[~rule] = len(self._flat) + np.arange((~rule).sum())
+        first[one] = len(self._flat) + np.arange(len(table) - len(self._flat))
         begin = np.r_[0, np.cumsum(size)]
         return table[np.repeat(first - begin[:-1], size) + np.arange(begin[-1])]
 
     def all(self) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each document begins (and the last ends)."""
-        return self.expand(self.symbols), np.r_[0, np.cumsum(self.sizes(self.symbols))][self.first]
+        size = self.sizes(self.symbols)
+        return self.expand(self.symbols, size), np.r_[0, np.cumsum(size)][self.first]
 
     def read_slice(self, doc: int, start: int, stop: int) -> np.ndarray:
         """Ids start to stop of a document: only the symbols that reach into them are expanded."""
