@@ -3,12 +3,14 @@
 Sets of shingles that are equal form a class. A class gets a fingerprint of ``BITS`` bits by majority vote, of which
 ``BANDS`` bands of ``BAND`` bits are keys of buckets. Votes are close where similar sets differ, so a class goes to the
 buckets of its bands with the ``FLIPS`` closest votes turned either way too, and two classes meet if they differ only
-in bits that are close on one side. Rows of a bucket are compared bit-sliced over ``SKETCH`` bits (``simhash.within``), and pairs within ``RADIUS`` are confirmed on the sets themselves, so no link is false. Of pairs of similarity 0.8
-about 95 in 100 meet, of 0.83 and more 99 (as simulated and as measured, see README).
+in bits that are close on one side. Classes of a bucket are compared bit-sliced over all bits (``simhash.within``), and
+pairs within ``RADIUS`` are confirmed on the sets themselves, so no link is false. Of pairs of similarity 0.8 about 95 in
+100 are found, of 0.83 and more 99 (as simulated, see README). A bucket's key has 24 bits of which two may be turned, so
+unrelated classes meet about once for each 2 ** 20 of them and band.
 
 Of its matches in a meeting a class first takes the ``FIRST`` smallest, which joins a group of copies without emitting
-all its pairs. Only meetings that have more matches, between components that are not joined yet, come again, for the next
-ones, eight times as many each time, until none are left.
+all its pairs. Only meetings that have more matches, and components that are not joined yet, come again, for the next
+ones, ``MORE`` times as many each time, until none are left; pairs that are joined already are not emitted.
 
 Defined cases: null and empty texts are equal; a text of fewer words than a shingle is one shingle; texts are taken
 whole; rows with a null id take no part; rows that share an id are judged each; A-Z are lower-cased; shingles are
@@ -32,9 +34,10 @@ from wardspark.llm.stage import done, staged, texts
 SHINGLE = 5
 BITS, BAND, FLIPS = 512, 24, 2
 BANDS = BITS // BAND
-SKETCH, RADIUS = 128, 32
-#: Matches of a class in a meeting that are taken at first.
-FIRST = 4
+#: Bits of BITS in which two classes may differ to be confirmed: at similarity 0.8 they differ in 78, give or take 8.
+RADIUS = 100
+#: Matches of a class in a meeting that are taken at first, and how many times as many in each next round.
+FIRST, MORE = 1, 16
 #: Document ids are broadcast if they take at most so many bytes, at so many an id.
 BROADCAST_BYTES, ID_BYTES = 32 << 20, 48
 _SEEDS = mixed(np.arange(1, BITS // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -92,10 +95,10 @@ def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in stretches(batch, 1):
             value, bounds = shingle_sets(b.column(1))
             v = votes(value, bounds)
-            sketch = np.packbits(v[:, :SKETCH] > 0, axis=1).view(">i8").astype(np.int64)
+            bits = pa.array([x.tobytes() for x in np.packbits(v > 0, axis=1)], pa.binary())
             keys = keys_of(v)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1, dtype=np.int32) * keys.shape[1]), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(classes_of(value, bounds)), pa.array(sketch[:, 0]), pa.array(sketch[:, 1]), lists], ["doc_id", "cls", "f1", "f2", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(classes_of(value, bounds)), bits, lists], ["doc_id", "cls", "bits", "keys"])
 
 
 def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,14 +109,15 @@ def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(classes_of(value, bounds)), lists], ["cls", "items"])
 
 
-def _pairs_of(cls: np.ndarray, f1: np.ndarray, f2: np.ndarray, side: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows i and j of one meeting each that are within the radius, i of the smaller class."""
+def _pairs_of(cls: np.ndarray, bits: np.ndarray, side: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows i and j of one meeting each that are within the radius, i of the smaller class. bits: (rows, BITS / 64)."""
     left, right = [], []
+    of = lambda at: planes_of(*bits[at].T)
 
     def near(p: np.ndarray, q: np.ndarray) -> None:
         for k in range(0, len(p), _CHUNK):
             x, y = p[k : k + _CHUNK], q[k : k + _CHUNK]
-            ok = _lanes(within(planes_of(f1[x], f2[x]), planes_of(f1[y], f2[y]), RADIUS, filling(len(x))), len(x))
+            ok = _lanes(within(of(x), of(y), RADIUS, filling(len(x))), len(x))
             left.append(x[ok])
             right.append(y[ok])
 
@@ -127,10 +131,10 @@ def _pairs_of(cls: np.ndarray, f1: np.ndarray, f2: np.ndarray, side: np.ndarray,
     for at, n in zip(first[size > 48].tolist(), size[size > 48].tolist(), strict=True):
         two = side[at : at + n].max() > 0
         a, b = (at + np.flatnonzero(side[at : at + n] == 0), at + np.flatnonzero(side[at : at + n] == 1)) if two else (np.arange(at, at + n),) * 2
-        planes = planes_of(f1[b], f2[b])
-        lanes = _lanes(planes_of(f1[a], f2[a]), len(a))
-        for k in range(0, len(a), 128):
-            own = np.where(lanes[:, k : k + 128, None], ~np.uint64(0), np.uint64(0))
+        planes = of(b)
+        lanes = _lanes(of(a), len(a))
+        for k in range(0, len(a), 64):
+            own = np.where(lanes[:, k : k + 64, None], ~np.uint64(0), np.uint64(0))
             x, y = np.nonzero(_lanes(within(own, planes[:, None, :], RADIUS, filling(len(b))), len(b)))
             x, y = a[k + x], b[y]
             keep = cls[x] < cls[y] if not two else np.ones(len(x), bool)
@@ -148,15 +152,16 @@ def _meet(low: int, high: int):
         rest: pa.Table | None = None
 
         def pairs(t: pa.Table) -> pa.RecordBatch:
-            meeting, cls, f1, f2, side = (t.column(k).to_numpy() for k in ("meeting", "cls", "f1", "f2", "side"))
+            meeting, cls, side, component = (t.column(k).to_numpy() for k in ("meeting", "cls", "side", "component"))
+            bits = np.frombuffer(b"".join(t.column("bits").to_pylist()), ">u8").reshape(-1, BITS // 64).astype(np.uint64)
             first = np.flatnonzero(np.r_[True, meeting[1:] != meeting[:-1]])
-            i, j = _pairs_of(cls, f1, f2, side, first, np.diff(np.r_[first, len(meeting)]))
+            i, j = _pairs_of(cls, bits, side, first, np.diff(np.r_[first, len(meeting)]))
             order = np.lexsort((cls[i], j))
             i, j = i[order], j[order]
             head = np.flatnonzero(np.r_[True, j[1:] != j[:-1]]) if len(j) else np.zeros(0, np.int64)
             rank = np.arange(len(j)) - np.repeat(head, np.diff(np.r_[head, len(j)]))
-            more = np.unique(meeting[j[rank >= high]])
-            take = (rank >= low) & (rank < high)
+            more = np.unique(meeting[j[(rank >= high) & (component[i] != component[j])]])
+            take = (rank >= low) & (rank < high) & (component[i] != component[j])
             u, v = np.r_[cls[i[take]], np.zeros(len(more), np.int64)], np.r_[cls[j[take]], np.zeros(len(more), np.int64)]
             m = pa.array(np.r_[np.zeros(take.sum(), np.int64), more], mask=np.arange(len(u)) < take.sum())
             return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), m], ["u", "v", "meeting"])
@@ -195,32 +200,30 @@ def _confirmed(docs: DataFrame, first: DataFrame, pairs: DataFrame, similarity:
 def near_duplicates(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     """doc_id, component_id: the smallest doc_id that is reached over links, the own one included."""
     docs = texts(docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text"))
-    marks = staged(docs.mapInArrow(_marks, "doc_id long, cls long, f1 long, f2 long, keys array<int>"), "marks")
+    marks = staged(docs.mapInArrow(_marks, "doc_id long, cls long, bits binary, keys array<int>"), "marks")
     named = marks.select("doc_id", "cls")
-    one = F.min_by(F.struct("f1", "f2", "keys"), "doc_id").alias("one")
+    one = F.min_by(F.struct("bits", "keys"), "doc_id").alias("one")
     first = staged(marks.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), one).select("cls", "doc_id", "one.*"), "first")
-    rows = first.select(F.explode(F.col("keys").cast("array<long>")).alias("bucket"), "f1", "f2", "cls")
+    rows = first.select(F.explode(F.col("keys").cast("array<long>")).alias("bucket"), "cls")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows, links, found = staged(dealt(rows, "f1", "f2", "cls"), "meetings"), None, None
+    # only classes that meet others go on with their bits
+    rows, links, found = staged(dealt(rows, "cls").join(first.select("cls", "bits"), "cls").withColumn("component", F.col("cls")), "meetings"), None, None
     low, high = 0, FIRST
     while True:
         met = staged(rows.repartition(n, "meeting").sortWithinPartitions("meeting").mapInArrow(_meet(low, high), "u long, v long, meeting long"), "met")
         pairs = met.where("meeting IS NULL").select("u", "v").distinct()
-        if found is not None:  # what is joined already needs no more links
-            side = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
-            pairs = pairs.join(side("u"), "u", "left").join(side("v"), "v", "left").where("coalesce(of_u, u) <> coalesce(of_v, v)").select("u", "v")
         more = _confirmed(docs, first, staged(pairs, "pairs"), similarity)
         links = more if links is None else staged(links.unionByName(more), "links")
         done(found)
         found = staged(components(links), "found")
         open_ = met.where("meeting IS NOT NULL").select("meeting").distinct()
-        left = rows.join(open_, "meeting", "left_semi").join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+        left = rows.drop("component").join(open_, "meeting", "left_semi").join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
         apart = left.groupBy("meeting").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("meeting")
-        left = staged(left.join(apart, "meeting", "left_semi").select("meeting", "f1", "f2", "cls", "side"), "meetings")
+        left = staged(left.join(apart, "meeting", "left_semi").select("meeting", "bits", "cls", "side", "component"), "meetings")
         done(met, rows)
         rows = left
         if rows.isEmpty():
             break
-        low, high = high, high * 8
+        low, high = high, high * MORE
     d = staged(named.join(found.withColumnRenamed("node", "cls"), "cls", "left").select("doc_id", F.coalesce("component", "cls").alias("component")), "members")
     return d.join(d.groupBy("component").agg(F.min("doc_id").alias("component_id")), "component").select("doc_id", "component_id")
