@@ -130,11 +130,17 @@ def report_order() -> list[Column]:
     return [F.col("filepath").asc(), sev.rank(F.col("severity")).desc(), F.col("start_line").asc(), F.col("rule_id").asc(), F.col("ordinal").asc()]
 
 
+#: Lines of a bin for spans that may overlap.
+BIN = 64
+
+
 def overlap_candidates(tools: DataFrame, models: DataFrame) -> DataFrame:
     """For each model row its narrowest overlapping tool row (m_id, t_id)."""
     t = tools.select("filepath", F.col("ordinal").alias("t_id"), F.col("start_line").alias("ts"), F.col("end_line").alias("te"), F.col("rule_id").alias("tr"))
     m = models.select("filepath", F.col("ordinal").alias("m_id"), F.col("start_line").alias("ms"), F.col("end_line").alias("me"))
-    j = m.join(t, (m.filepath == t.filepath) & (t.ts <= m.me) & (m.ms <= t.te)).select("m_id", "t_id", (F.col("te") - F.col("ts")).alias("len"), "ts", "tr")
+    bins = lambda d, a, b: d.where(F.col(b) >= F.col(a)).withColumn("bin", F.explode(F.sequence(F.floor(F.col(a) / BIN), F.floor(F.col(b) / BIN))))
+    # two spans that overlap meet in a bin of lines that both touch
+    j = bins(m, "ms", "me").join(bins(t, "ts", "te"), ["filepath", "bin"]).where("ts <= me AND ms <= te").select("m_id", "t_id", (F.col("te") - F.col("ts")).alias("len"), "ts", "tr")
     return j.groupBy("m_id").agg(F.min_by("t_id", F.struct("len", "ts", "tr", "t_id")).alias("t_id"))
 
 

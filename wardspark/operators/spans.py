@@ -41,11 +41,20 @@ ADVISORIES = [
 ]
 
 
+#: Lines of a bin: spans are dealt to the bins they touch, so that a line meets the spans of its bin only.
+BIN = 64
+
+
+def _bins(spans: DataFrame, start: str, end: str) -> DataFrame:
+    """A row for each bin that a span touches."""
+    return spans.where(F.col(end) >= F.col(start)).withColumn("_bin", F.explode(F.sequence(F.floor(F.col(start) / BIN), F.floor(F.col(end) / BIN))))
+
+
 def enclosing(lines: DataFrame, spans: DataFrame) -> DataFrame:
     """lines: row_id, repo, filepath, line. spans: sample_id, repo, filepath, start_line, end_line. row_id and the
     narrowest span around the line; of equal ones the later start."""
-    s = spans.where("start_line > 0 AND end_line > 0")
-    j = lines.join(s, ["repo", "filepath"]).where("line BETWEEN start_line AND end_line")
+    s = _bins(spans.where("start_line > 0 AND end_line > 0"), "start_line", "end_line")
+    j = lines.withColumn("_bin", F.floor(F.col("line") / BIN)).join(s, ["repo", "filepath", "_bin"]).where("line BETWEEN start_line AND end_line")
     best = F.min_by("sample_id", F.struct(F.col("end_line") - F.col("start_line"), -F.col("start_line"), "sample_id"))
     return j.groupBy("row_id").agg(best.alias("sample_id"))
 
@@ -73,8 +82,8 @@ def map_lines(lines: DataFrame, spans: DataFrame, distance: int = 3) -> DataFram
 def attach_labels(samples: DataFrame, labels: DataFrame) -> DataFrame:
     """samples: sample_id, repo, filepath, start_line, end_line. labels: label_id, repo (null: any), filepath, line.
     Every label inside a sample, one row each; samples without labels stay with a null label_id."""
-    s, known = samples.alias("s"), labels.alias("l")
-    inside = (F.col("s.filepath") == F.col("l.filepath")) & F.col("l.line").between(F.col("s.start_line"), F.col("s.end_line"))
+    s, known = _bins(samples, "start_line", "end_line").alias("s"), labels.withColumn("_bin", F.floor(F.col("line") / BIN)).alias("l")
+    inside = (F.col("s.filepath") == F.col("l.filepath")) & (F.col("s._bin") == F.col("l._bin")) & F.col("l.line").between(F.col("s.start_line"), F.col("s.end_line"))
     own = s.join(known.where("l.repo IS NOT NULL"), inside & (F.col("s.repo") == F.col("l.repo")))
     anyone = s.join(known.where("l.repo IS NULL"), inside)
     hits = own.select("s.sample_id", "l.label_id").union(anyone.select("s.sample_id", "l.label_id"))
