@@ -49,7 +49,8 @@ def consensus_stats_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def gold_label_min_scanners(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.gold_labels(_scanned(spark, sf_dir)).withColumn("score", F.round("score", 6))
+    f = findings(spark, sf_dir).select(F.col("filepath").alias("file_path"), F.col("start_line").alias("line_start"), "severity", F.col("source").alias("scanner"))
+    return ops.gold_labels(f).withColumn("score", F.round("score", 6))
 
 
 def finding_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
