@@ -120,27 +120,11 @@ def rerank_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mean_cov(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings").select(F.slice("embedding", 1, 4).alias("v"))
-    return retrieval.mean_and_covariance(e, "v")[1].withColumn("cov", F.round("cov", 5))
+    return retrieval.mean_and_covariance(table(spark, sf_dir, "embeddings"), "embedding")[1].withColumn("cov", F.round("cov", 5) + F.lit(0.0))  # no negative zeros
 
 
 def ood_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings")
-    v = F.transform(F.slice("embedding", 1, 8), lambda x: F.abs(x.cast("double")))
-    total = F.aggregate(v, F.lit(0.0), lambda s, x: s + x)
-    p = F.transform(v, lambda x: x / total)
-    d = vector.norm(F.slice("embedding", 1, 8))
-    h = F.round(vector.entropy(p), 6)
-    return e.select("vec_id", h.alias("entropy"), retrieval.out_of_distribution(h, F.round(d, 6), 1.7, 0.45).alias("reason"))
-
-
-def mean_cov_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All dimensions; mean_cov has the first 4, as its SQL has."""
-    return retrieval.mean_and_covariance(table(spark, sf_dir, "embeddings"), "embedding")[1].withColumn("cov", F.round("cov", 5))
-
-
-def ood_reasons_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All dimensions; ood_reasons has the first 8, as its SQL has. The limits are those of 8, by ln(n) and sqrt(n)."""
+    """The limits, 1.7 and 0.45 for vectors of 8 numbers, grow by ln(n) and sqrt(n)."""
     e = table(spark, sf_dir, "embeddings")
     v = F.transform("embedding", lambda x: F.abs(x.cast("double")))
     total = F.aggregate(v, F.lit(0.0), lambda s, x: s + x)
@@ -220,7 +204,7 @@ def patch_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (hash_split, split_class_counts, stratified_split, ood_split, balance_ratio, balance_oversample, capped_per_source, class_weights, agreement_rate, token_vocab_top, code_features, line_rule_hits, redact_long_tokens, redact_counts, mask_values, excerpt_context, chunk_800_100, line_windows, hash_embedding, cosine_topk, lexical_topk, rerank_boost, mean_cov, ood_reasons, mean_cov_whole, ood_reasons_whole, auroc_rank, confusion_counts, per_class_prf, anti_resume, upsert_first_wins, replace_by_key, overlay_config, select_round_robin, diff_line_numbers, diff_policy, rank_candidates, patch_rates)
+    for f in (hash_split, split_class_counts, stratified_split, ood_split, balance_ratio, balance_oversample, capped_per_source, class_weights, agreement_rate, token_vocab_top, code_features, line_rule_hits, redact_long_tokens, redact_counts, mask_values, excerpt_context, chunk_800_100, line_windows, hash_embedding, cosine_topk, lexical_topk, rerank_boost, mean_cov, ood_reasons, auroc_rank, confusion_counts, per_class_prf, anti_resume, upsert_first_wins, replace_by_key, overlay_config, select_round_robin, diff_line_numbers, diff_policy, rank_candidates, patch_rates)
 }
 _BUCKET = "CAST(concat('0x', left(sha256(concat('42:', doc_id)), 16)) AS UBIGINT)::DOUBLE / 18446744073709551616"
 _SPLIT = f"CASE WHEN {_BUCKET} < 0.8 THEN 'train' WHEN {_BUCKET} < 0.8 + 0.1 THEN 'val' ELSE 'test' END"
@@ -269,9 +253,9 @@ ORACLE = {
     "rerank_boost": f"""WITH {_NEAREST}, f AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) <= 30),
         b AS (SELECT f.*, label, round(score + (label % 3) * 0.1::DOUBLE + CASE WHEN label = 4 THEN 0.3::DOUBLE ELSE 0 END + CASE WHEN label = 7 THEN 0.3::DOUBLE ELSE 0 END + CASE WHEN label % 2 = 0 THEN 0.2::DOUBLE ELSE 0 END, 6) AS rerank FROM f JOIN v ON item_id = vec_id WHERE label % 2 = 0)
         SELECT query_id, item_id, rerank, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rerank DESC, score DESC, item_id DESC) AS INT) AS place FROM b QUALIFY place <= 5""",
-    "mean_cov": f"WITH {_VEC}, x AS (SELECT e[i + 1] AS a, e[j + 1] AS b, i, j FROM v, range(4) r(i), range(4) s(j)) SELECT CAST(i AS INT) AS i, CAST(j AS INT) AS j, round(covar_samp(a, b) + CASE WHEN i = j THEN 0.001 ELSE 0 END, 5) AS cov FROM x GROUP BY i, j",
-    "ood_reasons": f"""WITH {_VEC}, a AS (SELECT vec_id, list_transform(e[1:8], lambda x: abs(x)) AS w, round(sqrt(list_dot_product(e[1:8], e[1:8])), 6) AS d FROM v), p AS (SELECT vec_id, d, round(list_sum(list_transform(w, lambda x: -(x / list_sum(w)) * ln(x / list_sum(w) + 1e-8))), 6) AS h FROM a)
-        SELECT vec_id, h AS entropy, CASE WHEN d > 0.45 THEN 'embedding_distance' WHEN h > 1.7 THEN 'entropy' END AS reason FROM p""",
+    "mean_cov": f"WITH {_VEC}, x AS (SELECT e[i + 1] AS a, e[j + 1] AS b, i, j FROM v, range(64) r(i), range(64) s(j)) SELECT CAST(i AS INT) AS i, CAST(j AS INT) AS j, round(covar_samp(a, b) + CASE WHEN i = j THEN 0.001 ELSE 0 END, 5) + 0.0::DOUBLE AS cov FROM x GROUP BY i, j",
+    "ood_reasons": f"""WITH {_VEC}, a AS (SELECT vec_id, list_transform(e, lambda x: abs(x)) AS w, round(sqrt(list_dot_product(e, e)), 6) AS d FROM v), p AS (SELECT vec_id, d, round(list_sum(list_transform(w, lambda x: -(x / list_sum(w)) * ln(x / list_sum(w) + 1e-8))), 6) AS h FROM a)
+        SELECT vec_id, h AS entropy, CASE WHEN d > 0.45::DOUBLE * sqrt(8) THEN 'embedding_distance' WHEN h > 1.7::DOUBLE + ln(8) THEN 'entropy' END AS reason FROM p""",
     "auroc_rank": f"WITH {_LAB}, r AS (SELECT quality AS y, rank() OVER (ORDER BY n_chars) + (count(*) OVER (PARTITION BY n_chars) - 1) / 2 AS r FROM lab), t AS (SELECT sum(r) FILTER (WHERE y = 1) AS s, count(*) FILTER (WHERE y = 1)::DOUBLE AS a, count(*) FILTER (WHERE y = 0)::DOUBLE AS b FROM r) SELECT round((s - a * (a + 1) / 2) / (a * b), 6) AS auroc FROM t",
     "confusion_counts": f"WITH {_LAB}, c AS ({_CONF}) SELECT CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn, CAST(tn AS BIGINT) AS tn, round((tp + tn) / (tp + fp + fn + tn), 6) AS accuracy, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round(2 * tp / (2 * tp + fp + fn), 6) AS f1 FROM c",
     "per_class_prf": """WITH e AS (SELECT label, CASE WHEN vec_id % 4 = 0 THEN (label + 1) % 10 ELSE label END AS told FROM embeddings), c AS (SELECT DISTINCT label AS class FROM e UNION SELECT told FROM e),

@@ -53,12 +53,6 @@ def session_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def job_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("job_id"), F.col("turn").alias("seq"), F.when(F.col("role") != "user", F.col("role")).alias("status"), F.when(F.col("role") == "user", F.left("text", F.lit(40))).alias("line"))
-    return store.fold_jobs(c)
-
-
-def job_fold_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole lines; job_fold has their first 40 characters, as its SQL has."""
     c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("job_id"), F.col("turn").alias("seq"), F.when(F.col("role") != "user", F.col("role")).alias("status"), F.when(F.col("role") == "user", F.col("text")).alias("line"))
     return store.fold_jobs(c)
 
@@ -79,7 +73,7 @@ def gateway_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gateway.decide(r, gateway.policies(spark))
 
 
-QUERIES = {f.__name__: f for f in (events_recent_filtered, events_limit_then_filter, gateway_summary_totals, gateway_top_tools, sliding_log_counts, rate_limit_accept, tumbling_windows, sliding_windows, session_windows, job_fold, job_fold_whole, masked_props, gateway_decisions)}
+QUERIES = {f.__name__: f for f in (events_recent_filtered, events_limit_then_filter, gateway_summary_totals, gateway_top_tools, sliding_log_counts, rate_limit_accept, tumbling_windows, sliding_windows, session_windows, job_fold, masked_props, gateway_decisions)}
 ORACLE = {
     "events_recent_filtered": f"WITH {EVENTS} SELECT event_id, ts, tool, decision FROM ev WHERE decision = 'deny' AND ts BETWEEN TIMESTAMP '2024-01-10' AND TIMESTAMP '2024-01-20' ORDER BY ts DESC, event_id LIMIT 100",
     "events_limit_then_filter": f"WITH {EVENTS} SELECT event_id, ts, decision FROM (SELECT * FROM ev ORDER BY ts DESC, event_id LIMIT 100) WHERE decision = 'deny' ORDER BY ts DESC, event_id LIMIT 50",
@@ -89,7 +83,7 @@ ORACLE = {
     "tumbling_windows": f"WITH {EVENTS} SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, decision, count(*) AS n, round(sum(value), 4) AS total FROM ev GROUP BY 1, 2",
     "sliding_windows": "SELECT start, count(*) AS n FROM (SELECT unnest([time_bucket(INTERVAL 1 HOUR, ts), time_bucket(INTERVAL 1 HOUR, ts) - INTERVAL 1 HOUR]) AS start FROM events) GROUP BY start",
     "session_windows": "WITH a AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events), b AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM a) SELECT user_id, min(ts) AS start, count(*) AS n FROM b GROUP BY user_id, s",
-    "job_fold": "SELECT conv_id AS job_id, arg_max(role, turn) FILTER (WHERE role <> 'user') AS status, min(turn) AS first_seq, max(turn) AS last_seq, count(*) FILTER (WHERE role = 'user' AND text IS NOT NULL) AS lines, arg_max(left(text, 40), turn) FILTER (WHERE role = 'user') AS last_line FROM conversations GROUP BY conv_id",
+    "job_fold": "SELECT conv_id AS job_id, arg_max(role, turn) FILTER (WHERE role <> 'user') AS status, min(turn) AS first_seq, max(turn) AS last_seq, count(*) FILTER (WHERE role = 'user' AND text IS NOT NULL) AS lines, arg_max(text, turn) FILTER (WHERE role = 'user') AS last_line FROM conversations GROUP BY conv_id",
     "masked_props": f"WITH {EVENTS}, k AS (SELECT event_id, concat('key-', event_id) AS v, tool FROM ev) SELECT event_id, CASE WHEN length(v) <= 8 THEN '***REDACTED***' ELSE left(v, 4) || '***' || right(v, 4) END AS api_token, tool FROM k",
     "gateway_decisions": """WITH r AS (SELECT event_id AS request_id, event_id % 7 AS k, event_id % 3 = 0 AS w, event_id % 2 = 0 AS approved FROM events)
         SELECT request_id, CASE k WHEN 1 THEN 'fs.write' WHEN 2 THEN 'validator.run' WHEN 3 THEN 'github.create_or_update_comment' WHEN 4 THEN 'shell.exec' ELSE 'fs.read' END AS tool,

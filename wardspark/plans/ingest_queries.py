@@ -65,7 +65,7 @@ def _reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = lambda c, k: F.when(F.col("l_partkey") % k == 0, "").otherwise(c)
     b = F.struct(F.concat(F.lit("src/f"), F.col("l_suppkey").cast("string"), F.lit(".py")).alias("filename"), F.col("l_linenumber").alias("line_number"), F.concat(F.lit("B"), F.col("l_suppkey").cast("string")).alias("test_id"), text(F.lit("HIGH"), 3).alias("issue_severity"), F.when(F.col("l_partkey") % 2 == 0, "LOW").alias("issue_confidence"), text(F.concat(F.lit(" found "), F.col("l_partkey").cast("string")), 5).alias("issue_text"))
     s = F.struct(F.concat(F.lit("js."), F.col("l_suppkey").cast("string")).alias("check_id"), F.when(F.col("l_partkey") % 7 > 0, "web/a.js").alias("path"), F.struct(F.col("l_linenumber").alias("line")).alias("start"), F.struct(text(F.lit("said"), 4).alias("message"), F.when(F.col("l_partkey") % 3 > 0, "ERROR").alias("severity")).alias("extra"))
-    of = lambda flag, c: F.array_sort(F.collect_list(F.when(F.col("l_returnflag") == flag, F.struct("l_linenumber", "l_partkey", c.alias("x")))))
+    of = lambda flag, c: F.array_sort(F.collect_list(F.when(F.col("l_returnflag") == flag, F.struct("l_linenumber", "l_partkey", "l_suppkey", c.alias("x")))))
     r = f.groupBy(F.col("l_orderkey").alias("report_id")).agg(of("R", b).alias("b"), of("A", s).alias("s"))
     body = F.to_json(F.struct(F.struct(F.transform("b", lambda x: x["x"]).alias("results")).alias("bandit"), F.struct(F.transform("s", lambda x: x["x"]).alias("results")).alias("semgrep")))
     return r.select("report_id", F.when(F.col("report_id") % 11 == 0, "no json").otherwise(body).alias("report"))
@@ -261,7 +261,7 @@ ORACLE = {
     "council_labels": f"WITH {_COUNCIL}",
     "chosen_findings": f"WITH {_SCAN} SELECT ordinal FROM sc WHERE confidence IN ('HIGH', 'MEDIUM') AND (starts_with(coalesce(rule_id, category), 'R1') OR coalesce(rule_id, category) IN ('R7', 'R3:low')) AND (starts_with(category, 'R1') OR category = 'R3:low')",
     "inferred_categories": f"WITH {FINDINGS}, s AS (SELECT ordinal, lower(concat(rule_id, ' ', {_case(_WORDS, '(ordinal // 100)')})) AS said FROM findings) SELECT ordinal, {_RULE(1)} ELSE 'misc.other' END AS category, {_RULE(2)} ELSE 'unknown' END AS fix_type FROM s",
-    "parsed_reports": """WITH l AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber, l_partkey) - 1 AS k FROM lineitem WHERE l_orderkey % 11 > 0 AND l_returnflag IN ('R', 'A'))
+    "parsed_reports": """WITH l AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS k FROM lineitem WHERE l_orderkey % 11 > 0 AND l_returnflag IN ('R', 'A'))
         SELECT l_orderkey AS report_id, CAST(k AS INT) AS ordinal, 'bandit' AS source, CASE WHEN l_partkey % 3 = 0 THEN 'UNKNOWN' ELSE 'HIGH' END AS severity, CASE WHEN l_partkey % 2 = 0 THEN 'LOW' END AS confidence, concat('B', l_suppkey) AS rule_id, concat('src/f', l_suppkey, '.py') AS file, l_linenumber AS line,
             CASE WHEN l_partkey % 5 = 0 THEN concat('B', l_suppkey) ELSE concat('found ', l_partkey) END AS message FROM l WHERE l_returnflag = 'R'
         UNION ALL SELECT l_orderkey, CAST(k AS INT), 'semgrep', CASE WHEN l_partkey % 3 > 0 THEN 'ERROR' ELSE 'INFO' END, NULL, concat('js.', l_suppkey), CASE WHEN l_partkey % 7 > 0 THEN 'web/a.js' ELSE 'unknown' END, l_linenumber, CASE WHEN l_partkey % 4 = 0 THEN concat('js.', l_suppkey) ELSE 'said' END FROM l WHERE l_returnflag = 'A'""",
