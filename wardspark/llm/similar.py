@@ -217,9 +217,9 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
         done(found)
         found = staged(components(links), "found")
         open_ = met.where("meeting IS NOT NULL").select("meeting").distinct()
-        left = rows.drop("component").join(open_, "meeting", "left_semi").join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-        apart = left.groupBy("meeting").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("meeting")
-        left = staged(left.join(apart, "meeting", "left_semi").select("meeting", "bits", "cls", "side", "component"), "meetings")
+        now = rows.drop("component").join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+        apart = now.groupBy("meeting").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("meeting").join(open_, "meeting")
+        left = staged(now.join(apart, "meeting", "left_semi").select("meeting", "bits", "cls", "side", "component"), "meetings")
         done(met, rows)
         rows = left
         if rows.isEmpty():
