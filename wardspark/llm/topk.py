@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,17 +83,17 @@ def rotation(rows: DataFrame, dim: int) -> np.ndarray:
         for b in batches:
             v = matrix(b.column(0), dim).astype(float)
             total += v.T @ v
-        yield pa.RecordBatch.from_arrays([pa.array([np.random.default_rng().integers(1 << 40)]), pa.array([total.tobytes()], pa.binary())], ["k", "g"])
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["k", "g"])
 
     def add(t: pa.Table) -> pa.Table:
         total = np.zeros(dim * dim)
         for x in t.column("g"):
             total += np.frombuffer(x.as_buffer())
-        return pa.table({"k": t.column("k").slice(0, 1).cast(pa.int64()), "g": pa.array([total.tobytes()], pa.binary())})
+        return pa.table({"k": t.column("k").slice(0, 1), "g": pa.array([total.tobytes()], pa.binary())})
 
     sums = staged(rows.select("v").mapInArrow(partial, "k long, g binary"), "products")
     while (n := sums.count()) > 16:
-        fewer = staged(sums.groupBy((F.col("k") % -(-n // 16)).alias("k")).applyInArrow(add, "k long, g binary"), "products")
+        fewer = staged(sums.select((F.col("k") % -(-n // 16)).alias("k"), "g").groupBy("k").applyInArrow(add, "k long, g binary"), "products")
         done(sums)
         sums = fewer
     total = np.zeros((dim, dim))
