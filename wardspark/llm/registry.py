@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("q01_decontam", "q02_chat", "q03_substring", "q04_quality", "q05_sharding", "q06_repair", "q07_tokencount", "q08_licenses", "q09_simhash", "q10_encode", "q12_topk", "q13_fim")
+MODULES = ("q01_decontam", "q02_chat", "q03_substring", "q04_quality", "q05_sharding", "q06_repair", "q07_tokencount", "q08_licenses", "q09_simhash", "q10_encode", "q11_structure", "q12_topk", "q13_fim")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
