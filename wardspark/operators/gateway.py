@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-from collections import deque
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 
 from wardspark.functions.size import small
 from wardspark.functions.text import SECRET_KEY, SECRET_VALUES, blocked_output, mask_value
+from wardspark.operators.replays import Limiter, replayed
 
 # fixed values: the tools' policies: name, scopes, approval, properties, required ones, others allowed, mode of redaction,
 # kinds of secret that count (empty: all)
@@ -115,27 +115,12 @@ def top_values(events: DataFrame, column: str, most: int = 500, k: int = 5) -> D
     return g.orderBy(F.desc("n"), "_first").limit(k).select(column, "n")
 
 
-ACCEPTED = "client long, event_id long, accepted boolean"
-
-
 def rate_limit(requests: DataFrame, most: int, seconds: int = 60) -> DataFrame:
     """requests: client, event_id, ts. A request passes if fewer than ``most`` of its client passed in the last seconds;
-    what is turned away doesn't count. The log of a client is bounded by ``most``."""
-
-    def whole(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["micros", "event_id"])
-        log: deque[int] = deque()
-        ok = []
-        for t in rows.micros:
-            while log and log[0] <= t - seconds * 1_000_000:
-                log.popleft()
-            ok.append(len(log) < most)
-            if ok[-1]:
-                log.append(t)
-        return rows[["client", "event_id"]].assign(accepted=ok)
-
-    d = requests.select("client", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"))
-    return d.groupBy("client").applyInPandas(whole, ACCEPTED)
+    what is turned away doesn't count, and requests without a time take no part. The log of a client is bounded by
+    ``most``, and nothing else of it is kept."""
+    d = requests.select(F.col("client").alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"), F.col("event_id").alias("seq"))
+    return replayed(d, Limiter(most, seconds)).select(F.col("key").alias("client"), F.col("seq").alias("event_id"), "accepted")
 
 
 def sliding_counts(requests: DataFrame, seconds: int = 60) -> DataFrame:

@@ -32,11 +32,6 @@ def sliding_log_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gateway.sliding_counts(e, 3600)
 
 
-def rate_limit_accept(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = events(spark, sf_dir).select(F.col("user_id").alias("client"), "event_id", "ts")
-    return gateway.rate_limit(e, 3, 6 * 3600)
-
-
 def tumbling_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = events(spark, sf_dir).groupBy(F.window("ts", "1 hour").alias("w"), "decision").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
     return e.select(F.col("w.start").alias("start"), "decision", "n", "total")
@@ -73,7 +68,7 @@ def gateway_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gateway.decide(r, gateway.policies(spark))
 
 
-QUERIES = {f.__name__: f for f in (events_recent_filtered, events_limit_then_filter, gateway_summary_totals, gateway_top_tools, sliding_log_counts, rate_limit_accept, tumbling_windows, sliding_windows, session_windows, job_fold, masked_props, gateway_decisions)}
+QUERIES = {f.__name__: f for f in (events_recent_filtered, events_limit_then_filter, gateway_summary_totals, gateway_top_tools, sliding_log_counts, tumbling_windows, sliding_windows, session_windows, job_fold, masked_props, gateway_decisions)}
 ORACLE = {
     "events_recent_filtered": f"WITH {EVENTS} SELECT event_id, ts, tool, decision FROM ev WHERE decision = 'deny' AND ts BETWEEN TIMESTAMP '2024-01-10' AND TIMESTAMP '2024-01-20' ORDER BY ts DESC, event_id LIMIT 100",
     "events_limit_then_filter": f"WITH {EVENTS} SELECT event_id, ts, decision FROM (SELECT * FROM ev ORDER BY ts DESC, event_id LIMIT 100) WHERE decision = 'deny' ORDER BY ts DESC, event_id LIMIT 50",

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from wardspark.operators.gateway import masked_args
+from wardspark.operators.replays import Limiter
+from wardspark.operators.store import safe_json
+from wardspark.streaming.replay import replayed
 
 EVENT = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
@@ -20,8 +19,8 @@ def source(spark: SparkSession, folder: str, files: int = 8) -> DataFrame:
 
 
 def ingest(events: DataFrame, late: str = "1 hour") -> DataFrame:
-    """Events once each, with arguments masked."""
-    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"]).withColumn("props", masked_args(F.col("props")))
+    """Events once each, with arguments masked; those that are longer than a store takes are cut to a preview."""
+    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"]).withColumn("props", safe_json(masked_args(F.col("props"))))
 
 
 def windowed(events: DataFrame, length: str = "1 hour", late: str = "1 hour") -> DataFrame:
@@ -35,23 +34,10 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -
     return g.select("user_id", F.col("w.start").alias("start"), "n")
 
 
-def rate_limited(events: DataFrame, most: int, seconds: int) -> DataFrame:
-    """client, event_id, accepted: as the batch operator, with the accepted times of a client as its state."""
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        log = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(batches)).sort_values(["micros", "event_id"])
-        ok = []
-        for t in rows.micros:
-            log = [x for x in log if x > t - seconds * 1_000_000]
-            ok.append(len(log) < most)
-            if ok[-1]:
-                log.append(t)
-        state.update((log,))
-        yield pd.DataFrame({"client": key[0], "event_id": rows.event_id, "accepted": ok})
-
-    d = events.select(F.col("user_id").alias("client"), "event_id", F.unix_micros("ts").alias("micros"))
-    return d.groupBy("client").applyInPandasWithState(run, "client long, event_id long, accepted boolean", "log array<long>", "append", GroupStateTimeout.NoTimeout)
+def rate_limited(events: DataFrame, most: int, seconds: int, late: str = "1 hour") -> DataFrame:
+    """client, event_id, accepted: as the batch operator, for each event once the watermark has passed it."""
+    d = events.select(F.col("user_id").alias("key"), "ts", F.col("event_id").alias("seq"))
+    return replayed(d, Limiter(most, seconds), late).select(F.col("key").alias("client"), F.col("seq").alias("event_id"), "accepted")
 
 
 def jobs(events: DataFrame) -> DataFrame:
