@@ -48,6 +48,37 @@ def averages(classes: DataFrame) -> DataFrame:
     return classes.agg(F.round(F.avg("f1"), 6).alias("macro_f1"), F.round(F.sum(F.col("f1") * F.col("support")) / F.sum("support"), 6).alias("weighted_f1"))
 
 
+def label_set(scores: Column, classes: list[str], least: float = 0.5) -> Column:
+    """The classes whose score (by place) is high enough."""
+    each = F.transform(scores, lambda x, i: F.when(x >= least, F.element_at(F.array(*map(F.lit, classes)), i + 1)))
+    return F.filter(each, lambda c: c.isNotNull())
+
+
+def label_counts(df: DataFrame, label: str, predicted: str, classes: list[str]) -> DataFrame:
+    """class, tp, fp, fn of label sets (arrays; null is empty, repeats count once), for each of the classes; other labels
+    don't count. One pass: a row gives one small record for each class that it has on either side."""
+    empty = F.array().cast("array<string>")
+    y, p = F.coalesce(label, empty), F.coalesce(predicted, empty)
+    known = F.array(*map(F.lit, classes)) if classes else empty
+    each = df.select(F.explode(F.transform(F.array_intersect(F.array_union(y, p), known), lambda c: F.struct(c.alias("class"), F.array_contains(y, c).alias("y"), F.array_contains(p, c).alias("p")))).alias("x")).select("x.*")
+    n = lambda e: F.count_if(F.expr(e))
+    found = each.groupBy("class").agg(n("y AND p").alias("tp"), n("p AND NOT y").alias("fp"), n("y AND NOT p").alias("fn"))
+    names = df.sparkSession.createDataFrame([(c,) for c in dict.fromkeys(classes)], "class string")
+    return names.join(found, "class", "left").na.fill(0)
+
+
+def label_scores(counts: DataFrame) -> DataFrame:
+    """class, precision, recall, f1, support of each class; 0 where undefined."""
+    ratio = lambda a, b: F.coalesce(F.try_divide(F.expr(a), F.expr(b)), F.lit(0.0))
+    return counts.select("class", ratio("tp", "tp + fp").alias("precision"), ratio("tp", "tp + fn").alias("recall"), ratio("2 * tp", "2 * tp + fp + fn").alias("f1"), F.expr("tp + fn").alias("support"))
+
+
+def label_averages(counts: DataFrame) -> DataFrame:
+    """One row: macro_f1 over all classes, absent ones with 0, and micro_f1 over all their decisions."""
+    f1 = F.coalesce(F.try_divide(F.expr("2 * tp"), F.expr("2 * tp + fp + fn")), F.lit(0.0))
+    return counts.agg(F.coalesce(F.avg(f1), F.lit(0.0)).alias("macro_f1"), F.coalesce(F.try_divide(F.sum(F.expr("2 * tp")), F.sum(F.expr("2 * tp + fp + fn"))), F.lit(0.0)).alias("micro_f1"))
+
+
 def weighted_average(scores: list[Column], weights: list[float]) -> Column:
     """The plain mean where the weights are no use."""
     total = sum(weights)
