@@ -197,6 +197,20 @@ def _confirmed(docs: DataFrame, first: DataFrame, pairs: DataFrame, similarity:
     return out
 
 
+def _merged(found: DataFrame, more: DataFrame) -> DataFrame:
+    """node, component after more links u, v: these link components that are known already, so only what changes is
+    gone through again."""
+    of = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"{c}_component"))
+    named = more.join(of("u"), "u", "left").join(of("v"), "v", "left")
+    named = staged(named.select("u", "v", F.coalesce("u_component", "u").alias("p"), F.coalesce("v_component", "v").alias("q")), "named")
+    moved = components(named.select(F.col("p").alias("u"), F.col("q").alias("v"))).select(F.col("node").alias("component"), F.col("component").alias("to"))
+    ends = F.explode(F.array(F.struct(F.col("u").alias("node"), F.col("p").alias("component")), F.struct(F.col("v").alias("node"), F.col("q").alias("component"))))
+    known = found.unionByName(named.select(ends.alias("e")).select("e.*")).distinct()
+    out = staged(known.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component")), "found")
+    done(named, found)
+    return out
+
+
 def near_duplicates(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     """doc_id, component_id: the smallest doc_id that is reached over links, the own one included."""
     docs = texts(docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text"))
@@ -207,15 +221,17 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     rows = first.select(F.explode(F.col("keys").cast("array<long>")).alias("bucket"), "cls")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # only classes that meet others go on with their bits
-    rows, links, found = staged(dealt(rows, "cls").join(first.select("cls", "bits"), "cls").withColumn("component", F.col("cls")), "meetings"), None, None
+    rows, found = staged(dealt(rows, "cls").join(first.select("cls", "bits"), "cls").withColumn("component", F.col("cls")), "meetings"), None
     low, high = 0, FIRST
     while True:
         met = staged(rows.repartition(n, "meeting").sortWithinPartitions("meeting").mapInArrow(_meet(low, high), "u long, v long, meeting long"), "met")
         pairs = met.where("meeting IS NULL").select("u", "v").distinct()
         more = _confirmed(docs, first, staged(pairs, "pairs"), similarity)
-        links = more if links is None else staged(links.unionByName(more), "links")
-        done(found)
-        found = staged(components(links), "found")
+        if found is None:
+            found = staged(components(more), "found")
+        elif not more.isEmpty():
+            found = _merged(found, more)
+        done(more)
         open_ = met.where("meeting IS NOT NULL").select("meeting").distinct()
         now = rows.drop("component").join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
         apart = now.groupBy("meeting").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("meeting").join(open_, "meeting")
