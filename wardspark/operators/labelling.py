@@ -205,8 +205,9 @@ def unknown_words(rows: DataFrame, column: str, vocabulary: DataFrame) -> DataFr
 
 
 def expanded(query: Column) -> Column:
+    """With the terms that go with the first word of the list that it holds, unless it holds these terms too."""
     low = F.lower(query)
-    return F.concat(query, F.coalesce(F.concat(F.lit(" "), first_of([(low.contains(t), e) for t, e in EXPANSIONS])), F.lit("")))
+    return F.concat(query, F.coalesce(F.concat(F.lit(" "), first_of([(low.contains(t) & ~low.contains(e), e) for t, e in EXPANSIONS])), F.lit("")))
 
 
 def rule_query(rule: Column) -> Column:

@@ -115,7 +115,7 @@ def rerank_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
     first = retrieval.nearest(q, e.select(F.col("vec_id").alias("item_id"), "embedding"), 30).drop("place")
-    b = e.select(F.col("vec_id").alias("item_id"), F.when(F.col("label") % 2 == 0, "guide").otherwise("note").alias("doc_type"), retrieval.boost(F.col("label") % 3, F.col("label") == 4, F.col("label") == 7, F.col("label") % 2 == 0).alias("boost"))
+    b = e.select(F.col("vec_id").alias("item_id"), F.when(F.col("label") % 2 == 0, "guide").otherwise("note").alias("doc_type"), retrieval.boost(F.col("label") % 3, (F.col("label") == 4).cast("int"), (F.col("label") == 7).cast("int"), F.col("label") % 2 == 0).alias("boost"))
     return retrieval.rerank(first, b, 30, 5, ["guide"]).select("query_id", "item_id", "rerank", "place")
 
 

@@ -178,14 +178,6 @@ def mahalanobis_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select("vec_id", F.round(retrieval.mahalanobis(F.col("embedding"), *retrieval.inverse_covariance(mean, cov)), 4).alias("distance"))
 
 
-def retrieved_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each 20th benchmark item asks for the five best of all documents' chunks."""
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("document_id"), F.coalesce("text", F.lit("")).alias("text"))
-    c = retrieval.index(d).select("chunk_id", "text", retrieval.chunk_metadata(F.col("text")).alias("m"), F.lit("playbook").alias("doc_type"), F.lit("kb/x.md").alias("path")).select("chunk_id", "text", "m.keywords", "m.cwe", "m.rules", "doc_type", "path")
-    q = table(spark, sf_dir, "benchmark").where("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), "text", F.lit(None).cast("string").alias("doc_type"))
-    return retrieval.retrieve(q, c)
-
-
 def top_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
     return v.select("vec_id", F.posexplode(vector.top_probabilities(F.col("e"), 3)).alias("place", "x")).select("vec_id", "place", F.col("x.class").alias("class"), F.round("x.p", 6).alias("p"))
@@ -213,7 +205,7 @@ def patch_policy_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (span_groups, gold_labels_by_rules, council_labels, chosen_findings, inferred_categories, parsed_reports, parsed_report_counts, unified_fields, labelled_items, gold_samples, features_of_samples, features_of_consensus, features_of_generated, features_of_improved, features_engineered, features_of_gold, ratio_split, floor_split, retrieval_triples, masked_events, policy_overrides, mahalanobis_distance, retrieved_chunks, top_classes, patch_policy_reasons)
+    for f in (span_groups, gold_labels_by_rules, council_labels, chosen_findings, inferred_categories, parsed_reports, parsed_report_counts, unified_fields, labelled_items, gold_samples, features_of_samples, features_of_consensus, features_of_generated, features_of_improved, features_engineered, features_of_gold, ratio_split, floor_split, retrieval_triples, masked_events, policy_overrides, mahalanobis_distance, top_classes, patch_policy_reasons)
 }
 
 

@@ -113,13 +113,18 @@ def pyproject(files: DataFrame) -> DataFrame:
     return requirements(files.select("path", "text").mapInPandas(run, "path string, text string"))
 
 
-def markdown_sections(docs: DataFrame, size: int = 800, overlap: int = 100) -> DataFrame:
-    """document_id, section, chunk_index, text: cut before headings of level 2 and 3, then by length."""
+def markdown_sections(docs: DataFrame, most: int = 1200, size: int = 800, overlap: int = 100) -> DataFrame:
+    """document_id, chunk_index, text: cut before headings of level 2; what is longer than ``most`` before those of level 3
+    (and deeper), and what is still longer by length. White space at the ends goes, and so do empty pieces."""
     from wardspark.functions.text import chunks
 
-    s = docs.select("document_id", F.posexplode(F.split("text", "(?m)(?=^#{2,3} )")).alias("section", "text"))
-    s = s.where(F.trim("text") != "")
-    return s.select("document_id", "section", F.posexplode(chunks(F.col("text"), size, overlap)).alias("chunk_index", "text"))
+    stripped = lambda c: F.regexp_replace(c, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
+    full = lambda parts: F.filter(F.transform(parts, stripped), lambda p: p != "")
+    short = lambda c: F.char_length(c) <= most
+    by_length = lambda c: F.when(short(c), F.array(c)).otherwise(chunks(c, size, overlap))
+    by_part = lambda c: F.when(short(c), F.array(c)).otherwise(F.flatten(F.transform(full(F.split(c, "(?md)(?=^###)")), by_length)))
+    pieces = F.flatten(F.transform(full(F.split("text", "(?md)(?=^##[^#])")), by_part))
+    return docs.select("document_id", F.posexplode(pieces).alias("chunk_index", "text"))
 
 
 def page_text(pages: DataFrame) -> DataFrame:
