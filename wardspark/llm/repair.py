@@ -84,11 +84,20 @@ def _counted(seq: np.ndarray, cut: np.ndarray, least: int) -> tuple[np.ndarray,
     """Places of pairs that stand ``least`` times or more, each with its number among these pairs; the pairs and how often
     they stand. Of equal pairs that overlap every second one counts. A table of hashed counts first drops most others."""
     pair = seq[:-1] << 32 | seq[1:]
-    slot = ((pair.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int32)
-    often = (np.bincount(slot, minlength=_TABLE) >= least)[slot]
-    often[cut] = False
-    at = np.flatnonzero(often)
-    codes, found = pd.factorize(pair[at])
+    slot = ((pair.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).view(np.int64)
+    often = np.bincount(slot, minlength=_TABLE) >= least
+    here = often[slot]
+    here[cut] = False
+    at = np.flatnonzero(here)
+    pair, slot = pair[at], slot[at]
+    owner = np.zeros(_TABLE, np.int64)
+    owner[slot] = pair  # one pair of each slot has the slot's number; the few others get numbers of their own
+    codes, found = (np.cumsum(often) - 1)[slot], owner[often]
+    others = np.flatnonzero(owner[slot] != pair)
+    if len(others):
+        more, keys = pd.factorize(pair[others])
+        codes[others] = more + len(found)
+        found = np.concatenate([found, keys])
     follows = np.r_[False, (codes[1:] == codes[:-1]) & (at[1:] == at[:-1] + 1)]
     if follows.any():
         first = np.maximum.accumulate(np.where(follows, 0, np.arange(len(at))))
@@ -105,8 +114,10 @@ def _in_rounds(seq: np.ndarray, edges: np.ndarray, made: int, least: int, rules:
     while len(seq) > 1:
         cut = edges[1:-1]
         at, codes, found, n = _counted(seq, cut[(cut > 0) & (cut < len(seq))] - 1, least)
-        rank = np.zeros(len(seq) + 1, np.int64)
-        rank[at + 1] = n[codes] * len(found) + codes + 1
+        order = np.empty(len(found), np.int32)
+        order[np.argsort(n, kind="stable")] = np.arange(1, len(found) + 1, dtype=np.int32)
+        rank = np.zeros(len(seq) + 1, np.int32)
+        rank[at + 1] = order[codes]
         mine = rank[at + 1]
         take = (mine > rank[at]) & (mine > rank[np.minimum(at + 2, len(seq))])
         good = np.bincount(codes[take], minlength=len(found)) >= least
@@ -297,7 +308,7 @@ def write(docs: DataFrame, path: str, end_id: int = 0, out: str | None = None) -
             k = 0
             while k < len(whole):
                 size, z = 0, k
-                while z < len(whole) and size < 1 << 20:
+                while z < len(whole) and size < 1 << 21:
                     size, z = size + len(whole[z]), z + 1
                 ids, edges = e.texts(whole[k:z])
                 for j in range(z - k):
