@@ -53,3 +53,23 @@ def augment(samples: DataFrame, variants: int, seed: str = "42") -> DataFrame:
     new = d.where("variant >= 2").select(F.col("sample_id").cast("string"), "variant", "code")
     names = new.mapInPandas(run, "sample_id string, variant int, code string").join(samples.select(F.col("sample_id").cast("string"), F.col("code").alias("_was")), "sample_id").where("code <> _was").drop("_was")
     return plain.withColumn("sample_id", F.col("sample_id").cast("string")).unionByName(names)
+
+
+# fixed values: names that a variant gives numbers instead
+RENAMED = r"\b(?:user_input|user_data|user_id|data|payload|content)\b"
+
+
+def three_variants(samples: DataFrame) -> DataFrame:
+    """samples: code_snippet, filepath and more. The variants of each that differ from it: names of inputs numbered place by
+    place, comments gone, white space even; with augmentation and an id of their own in place of sample_id."""
+    code = F.col("code_snippet")
+    parts = F.split(code, RENAMED)
+    renamed = F.array_join(F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(F.concat(F.lit("var_"), i.cast("string"), p))), "")
+    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(code, "(?md)#.*$", ""), "(?md)//.*$", ""), r"(?s)/\*.*?\*/", "")
+    lines = F.transform(F.split(code, "\n"), lambda x: F.regexp_replace(F.regexp_replace(x, r"(?U)[\s\x1c-\x1f]+\z", ""), "  +", " "))
+    even = F.array_join(F.filter(lines, lambda x: x != ""), "\n")
+    made = F.array(*[F.struct(F.lit(n).alias("augmentation"), c.alias("code")) for n, c in (("var_rename", renamed), ("no_comments", bare), ("whitespace_norm", even))])
+    rest = [c for c in samples.columns if c not in ("sample_id", "code_snippet", "augmentation")]
+    d = samples.where(code.isNotNull()).select(*rest, F.explode(F.filter(made, lambda x: x["code"] != code)).alias("x"))
+    own = F.sha2(F.concat(F.coalesce("filepath", F.lit("")), F.lit(":"), F.col("x.code")), 256)
+    return d.select(*rest, own.alias("sample_id"), F.col("x.code").alias("code_snippet"), F.col("x.augmentation").alias("augmentation"))

@@ -20,11 +20,24 @@ def hash_split(df: DataFrame, key: str, seed: str = "42", train: float = 0.8, va
     return df.withColumn("split", split_of(seed, F.col(key), train, val))
 
 
+def numbered(df: DataFrame, by: list[str], key: str, seed: str = "42") -> DataFrame:
+    """Adds _k, a row's number (from 1) among those of its values of ``by`` in hashed order, and _n, how many these are.
+    Rows are numbered within 4,096 stretches of the hash, and stretches by their counts, so no task sorts a whole label."""
+    d = df.withColumn("_d", draw(seed, F.col(key))).withColumn("_s", F.substring("_d", 1, 3))
+    counts = d.groupBy(*by, "_s").agg(F.count("*").alias("_c"))
+    all_ = Window.partitionBy(*by)
+    counts = counts.select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], F.col("_s").alias("_t"), (F.sum("_c").over(all_.orderBy("_s")) - F.col("_c")).alias("_from"), F.sum("_c").over(all_).alias("_n"))
+    same = F.col("_s") == F.col("_t")
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_by{i}"))
+    k = F.row_number().over(Window.partitionBy(*by, "_s").orderBy("_d", key))
+    return d.withColumn("_k", k).join(small(counts), same).withColumn("_k", F.col("_k") + F.col("_from")).drop("_d", "_s", "_t", "_from", *[f"_by{i}" for i in range(len(by))])
+
+
 def stratified_split(df: DataFrame, key: str, label: str, seed: str = "42") -> DataFrame:
     """Per label 8 of 10 rows to train, 1 to val, the rest to test; one at least where there are three rows, and from
     two rows one goes to test. Rows are numbered within a label by a hash."""
-    w = Window.partitionBy(label)
-    d = df.withColumn("_k", F.row_number().over(w.orderBy(draw(seed, F.col(key)), key))).withColumn("_n", F.count("*").over(w))
+    d = numbered(df, [label], key, seed)
     train = F.greatest(F.lit(1), F.floor(F.col("_n") * 8 / 10))
     val = F.greatest(F.lit(1), F.floor(F.col("_n") / 10))
     test = F.col("_n") - train - val
@@ -102,21 +115,54 @@ def ood_split(df: DataFrame, key: str, group: str, share: float = 0.1, seed: str
     return rest.unionByName(df.join(held, group, "left_semi").withColumn("split", F.lit("ood")))
 
 
+def ood_split_of(df: DataFrame, key: str, group: str, train: float = 0.7, val: float = 0.15, ood: float = 0.05, seed: str = "42") -> DataFrame:
+    """Whole groups (rows without one are the group unknown) are held out, int(groups * ood) of them and one at least; the
+    shares of the rest are of all rows, so they grow by 1 / (1 - ood), rounded down, and test takes what is left."""
+    d = df.withColumn("_group", F.coalesce(F.col(group).cast("string"), F.lit("unknown")))
+    groups = d.groupBy("_group").count().select("_group").withColumn("_d", draw(seed, F.col("_group")))
+    held = groups.orderBy("_d", "_group").limit(max(1, int(groups.count() * ood))).select("_group")
+    rest = ratio_split(d.join(small(held), "_group", "left_anti"), key, train / (1 - ood), val / (1 - ood), seed)
+    return rest.unionByName(d.join(small(held), "_group", "left_semi").withColumn("split", F.lit("ood_test"))).drop("_group")
+
+
+def with_overlap(selected: DataFrame, key: str, target: int, share: float, seed: str = "42") -> DataFrame:
+    """The selected rows, and round(target * share) of them (half to even) once more for a second annotator, drawn without
+    replacement; both rows of a pair have its duplicate_group."""
+    n = round(target * share)
+    drawn = selected.select(key).orderBy(draw(f"{seed}:overlap", F.col(key)), key).limit(max(n, 0)).select(F.col(key).alias("_key"))
+    group = F.left(F.sha2(F.concat_ws("|", F.col(key).cast("string"), F.lit(seed), F.lit("overlap")), 256), F.lit(12))
+    d = selected.join(small(drawn), F.col(key) == F.col("_key"), "left").withColumn("duplicate_group", F.when(F.col("_key").isNotNull(), group))
+    return d.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_key").isNotNull().cast("int")))).drop("_key")
+
+
 def balance_ratio(df: DataFrame, key: str, positive: Column, ratio: int = 10, seed: str = "42") -> DataFrame:
     """All positives, and of the others ``ratio`` for each positive; all of them where that would leave none."""
-    d = df.withColumn("_p", positive)
+    d = numbered(df.withColumn("_p", positive), ["_p"], key, seed)
     most = d.agg(F.floor(F.count_if("_p") * ratio).alias("_most"))
-    k = Window.partitionBy("_p").orderBy(draw(seed, F.col(key)), key)
-    d = d.withColumn("_k", F.row_number().over(k)).join(F.broadcast(most))
-    return d.where("_p OR _k <= _most OR _most = 0").drop("_p", "_k", "_most")
+    return d.join(F.broadcast(most)).where("_p OR _k <= _most OR _most = 0").drop("_p", "_k", "_n", "_most")
+
+
+def balance_categories(df: DataFrame, key: str, positive: Column, category: str, least: int = 0, most: int = 0, ratio: float = 10, seed: str = "42") -> DataFrame:
+    """Of each category's positives at most ``most`` (0: all), and where they are fewer than ``least``, so many more of them,
+    drawn with replacement; then of the others ``ratio`` for each positive, or all where that would leave none. Adds copy, 0
+    for a row itself."""
+    d = numbered(df.withColumn("_p", positive).withColumn("_g", F.when(F.col("_p"), F.col(category))), ["_p", "_g"], key, seed)
+    kept = d.where("_p").where(F.lit(most <= 0) | (F.col("_k") <= most)).withColumn("_n", F.least("_n", F.lit(most if most > 0 else 1 << 62)))
+    n = kept.groupBy("_g").agg(F.first("_n").alias("_n")).where(F.col("_n") < least)
+    pick = F.conv(F.substring(draw(seed, F.concat_ws(":", F.coalesce("_g", F.lit("")), "_j")), 1, 8), 16, 10).cast("long") % F.col("_n") + 1
+    more = n.select("_g", "_n", F.explode(F.sequence(F.lit(1), F.lit(least) - F.col("_n"))).alias("_j")).select(F.col("_g").alias("_h"), pick.alias("_l"), F.col("_j").alias("copy"))
+    again = kept.join(small(more), F.col("_g").eqNullSafe(F.col("_h")) & (F.col("_k") == F.col("_l"))).drop("_h", "_l")
+    good = kept.withColumn("copy", F.lit(0)).unionByName(again.withColumn("copy", F.col("copy").cast("int")))
+    total = good.agg(F.floor(F.count("*") * F.lit(ratio)).alias("_most"), F.count("*").alias("_all"))
+    rest = d.where("NOT coalesce(_p, false)").join(F.broadcast(total)).where("_k <= _most OR _most = 0").drop("_most", "_all").withColumn("copy", F.lit(0))
+    return good.unionByName(rest).drop("_p", "_g", "_k", "_n")
 
 
 def balance_oversample(df: DataFrame, key: str, label: str, seed: str = "42") -> DataFrame:
     """Every label up to the size of the largest: rows are repeated in turn, in hashed order."""
-    counts = df.groupBy(label).agg(F.count("*").alias("_n"))
-    top = counts.agg(F.max("_n").alias("_top"))
-    k = Window.partitionBy(label).orderBy(draw(seed, F.col(key)), key)
-    d = df.withColumn("_k", F.row_number().over(k)).join(small(counts.join(F.broadcast(top))), label)
+    d = numbered(df, [label], key, seed)
+    top = df.groupBy(label).count().agg(F.max("count").alias("_top"))
+    d = d.join(F.broadcast(top))
     times = (F.floor(F.col("_top") / F.col("_n")) + F.when(F.col("_k") <= F.col("_top") % F.col("_n"), 1).otherwise(0)).cast("int")
     return d.withColumn("copy", F.explode(F.sequence(F.lit(1), times))).drop("_k", "_n", "_top")
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple[str, ...] = ("event_queries", "finding_queries", "dataset_queries", "label_queries", "ingest_queries", "stream_queries", "layout_queries", "graph_queries", "model_queries", "retrieval_queries", "sample_queries")
+MODULES: tuple[str, ...] = ("event_queries", "finding_queries", "dataset_queries", "label_queries", "ingest_queries", "stream_queries", "layout_queries", "graph_queries", "model_queries", "retrieval_queries", "sample_queries", "job_queries")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -44,6 +44,27 @@ def pip_audit(spark: SparkSession, path: str) -> DataFrame:
     return d.select("d.name", "d.version", F.explode("d.vulns").alias("v")).select("name", "version", F.col("v.id").alias("advisory"), F.col("v.fix_versions").alias("fixed"))
 
 
+NPM = "vulnerabilities map<string,struct<name:string,severity:string,range:string,isDirect:boolean>>"
+
+
+def npm_audit(spark: SparkSession, path: str) -> DataFrame:
+    """name, severity, range, direct of the packages that an audit of packages names; nothing from a file without any."""
+    d = spark.read.schema(NPM).option("multiLine", True).json(path).select(F.explode("vulnerabilities").alias("name", "v"))
+    return d.select(F.coalesce("v.name", "name").alias("name"), F.lower("v.severity").alias("severity"), F.col("v.range").alias("range"), F.coalesce("v.isDirect", F.lit(False)).alias("direct"))
+
+
+# fixed values: rule sets that always run, and those for files by suffix
+RULESETS = ["p/security-audit", "p/owasp-top-ten", "p/secrets", "p/sql-injection", "p/xss", "p/command-injection"]
+SUFFIX_RULESETS = {".py": ["p/python", "p/django", "p/flask"], ".js": ["p/javascript", "p/nodejs", "p/react"], ".ts": ["p/typescript", "p/nodejs", "p/react"], ".tsx": ["p/typescript", "p/react", "p/nextjs"], ".jsx": ["p/javascript", "p/react"]}
+
+
+def rulesets_for(files: DataFrame, by: list[str]) -> DataFrame:
+    """files: path. The rule sets for the files of each value of ``by``, as a sorted set; each file says its suffix only."""
+    own = F.array(*[F.when(F.col("path").endswith(s), F.array(*map(F.lit, sets))).otherwise(F.array().cast("array<string>")) for s, sets in SUFFIX_RULESETS.items()])
+    seen = files.select(*by, F.flatten(own).alias("sets")).distinct()
+    return seen.groupBy(*by).agg(F.array_sort(F.array_union(F.array(*map(F.lit, RULESETS)), F.flatten(F.collect_set("sets")))).alias("rulesets"))
+
+
 def model_results(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(MODEL).json(path)
 
