@@ -249,6 +249,26 @@ class PyFlow:
                 yield g, name, a, b
 
 
+@udtf(returnType="kind string, name string, start_line int, start_col int, end_line int, end_col int, complexity int", useArrow=True)
+class PySpans:
+    def eval(self, code: str):
+        try:
+            tree = ast.parse(code or "")
+        except (SyntaxError, ValueError, RecursionError, MemoryError):
+            return
+        branch = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.Try, ast.With, ast.AsyncWith, ast.IfExp, ast.ExceptHandler, ast.BoolOp, ast.comprehension)
+        for n in tree.body:
+            if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
+                of_class = isinstance(n, ast.ClassDef)
+                yield "class" if of_class else "function", n.name, n.lineno, n.col_offset, n.end_lineno, n.end_col_offset, None if of_class else 1 + sum(isinstance(x, branch) for x in ast.walk(n))
+
+
+def spans(files: DataFrame) -> DataFrame:
+    """files: path, text. Functions and classes at the top of each text, and the cyclomatic complexity of functions: one,
+    and one for each branch, loop, handler, with, comprehension and chain of and or or. Columns count bytes."""
+    return files.select("path", "text").lateralJoin(PySpans(F.col("text").outer())).drop("text")
+
+
 def _lateral(files: DataFrame, function, most: int) -> DataFrame:
     """files: path, text."""
     return files.select("path", "text").lateralJoin(function(F.col("text").outer(), F.lit(most))).drop("text")

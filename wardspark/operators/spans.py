@@ -62,12 +62,19 @@ def enclosing(lines: DataFrame, spans: DataFrame) -> DataFrame:
 def nearest(lines: DataFrame, spans: DataFrame, distance: int = 3) -> DataFrame:
     """row_id and the nearest span by line. Only spans that start within the distance, or are the next to start before
     these, are looked at; a span that holds the line wins, then the distance, then the smaller start."""
-    w = Window.partitionBy("repo", "filepath").orderBy("start_line", "end_line", "sample_id")
-    s = spans.where("start_line > 0 AND end_line > 0").withColumn("following", F.lead("start_line").over(w))
-    near = F.col("start_line").between(F.col("line") - distance, F.col("line") + distance)
-    before = (F.col("start_line") < F.col("line") - distance) & (F.col("following").isNull() | (F.col("following") >= F.col("line") - distance))
+    known = spans.where("start_line > 0 AND end_line > 0")
+    # those that start nearby: a start is dealt to the bins that its reach touches
+    s = _bins(known.withColumns({"_from": F.col("start_line") - distance, "_to": F.col("start_line") + distance}), "_from", "_to").drop("_from", "_to")
+    close = lines.withColumn("_bin", F.floor(F.col("line") / BIN)).join(s, ["repo", "filepath", "_bin"]).where(F.abs(F.col("start_line") - F.col("line")) <= distance)
+    # the last one that starts before these: starts and lines of a file in one order, a line before a start at its place
+    span = F.struct("sample_id", "start_line", "end_line")
+    order = Window.partitionBy("repo", "filepath").orderBy("_at", "_kind", "span.end_line", "span.sample_id")
+    starts = known.select("repo", "filepath", F.col("start_line").alias("_at"), F.lit(1).alias("_kind"), span.alias("span"))
+    asked = lines.where("line IS NOT NULL").select("repo", "filepath", (F.col("line") - distance).alias("_at"), F.lit(0).alias("_kind"), "row_id", "line")
+    past = starts.unionByName(asked, allowMissingColumns=True).withColumn("before", F.last("span", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    past = past.where("_kind = 0 AND before IS NOT NULL").select("row_id", "line", "before.*")
     away = F.greatest(F.lit(0), F.col("start_line") - F.col("line"), F.col("line") - F.col("end_line"))
-    j = lines.join(s, ["repo", "filepath"]).where(near | before).withColumn("away", away).where(F.col("away") <= distance)
+    j = close.select("row_id", "line", "sample_id", "start_line", "end_line").unionByName(past).withColumn("away", away).where(F.col("away") <= distance)
     return j.groupBy("row_id").agg(F.min_by("sample_id", F.struct("away", "start_line", "end_line", "sample_id")).alias("sample_id"))
 
 

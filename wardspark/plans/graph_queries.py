@@ -55,9 +55,15 @@ def script_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scripts.script_graph(script_files(spark, sf_dir))[0]
 
 
+def python_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The functions of all programs as samples."""
+    f = programs(spark, sf_dir).withColumns({"repo": F.lit("local/r"), "commit": F.lit("WORKDIR"), "text": F.concat(F.lit("# head\n"), "text", F.lit("\nclass C:\n    x = 1\ny = 2"))})
+    return scripts.code_samples(f, pygraph.spans(f), "python", 2).select("sample_id", "filepath", "kind", "name", "start_line", "end_line", "end_col", "complexity", F.md5("code_snippet").alias("digest"), "context_before", "context_after", "n_lines")
+
+
 _K = f"k AS (SELECT CAST(c_custkey AS VARCHAR) AS path, {_A} AS a, {_B} AS b, {_C} AS c FROM customer)"
 # a branch has 14 nodes, a loop 15, a handler 12; the function, its arguments, the argument and the return are 6
-QUERIES = {f.__name__: f for f in (python_graph_edges, python_flow_edges, script_samples, script_nodes)}
+QUERIES = {f.__name__: f for f in (python_graph_edges, python_flow_edges, script_samples, script_nodes, python_samples)}
 ORACLE = {
     "python_graph_edges": f"""WITH {_K}, n AS (SELECT *, 6 + 14 * a + 15 * b + 12 * c AS nodes FROM k),
         e AS (SELECT path, unnest([0, 1, 2, 3, 4, 5, 6]) AS kind, unnest([nodes - 1, nodes - 1, a + b + c + b, a + b, a, b, c]) AS n,
@@ -73,6 +79,11 @@ ORACLE = {
         l AS (SELECT *, string_split(repeat('{_FUNCTION}', CAST(a AS BIGINT)) || repeat('{_CLASS}', CAST(b AS BIGINT)) || repeat('{_ARROW}', CAST(c AS BIGINT)), chr(10)) AS rows, 3 * a + 5 * b + 3 * c AS n FROM s)
         SELECT sha256('ts|local/r|WORKDIR|' || path || '|' || x || '|' || z) AS sample_id, path AS filepath, kind, name, CAST(x AS INTEGER) AS start_line, y AS start_col, CAST(z AS INTEGER) AS end_line, w AS end_col,
           array_to_string(rows[x:z], chr(10)) AS code_snippet, CASE WHEN x > 1 THEN rows[x - 1] ELSE '' END AS context_before, CASE WHEN z < n THEN rows[z + 1] ELSE '' END AS context_after, CAST(n AS INTEGER) AS n_lines FROM l""",
+    "python_samples": f"""WITH {_K}, t AS (SELECT *, 4 * a + 3 * b + 4 * c + 2 AS n, 'def f(x):' || chr(10) || repeat('{_IF}', CAST(a AS BIGINT)) || repeat('{_FOR}', CAST(b AS BIGINT)) || repeat('{_TRY}', CAST(c AS BIGINT)) || '    return x' AS code FROM k),
+        s AS (SELECT path, 'function' AS kind, 'f' AS name, 2 AS x, n + 1 AS z, 12 AS w, 1 + a + b + 2 * c AS complexity, code, '# head' AS before, chr(10) || 'class C:' AS after, n FROM t
+          UNION ALL SELECT path, 'class', 'C', n + 3, n + 4, 9, NULL, 'class C:' || chr(10) || '    x = 1', '    return x' || chr(10), 'y = 2', n FROM t)
+        SELECT sha256('python|local/r|WORKDIR|' || path || '|' || x || '|' || z) AS sample_id, path AS filepath, kind, name, CAST(x AS INTEGER) AS start_line, CAST(z AS INTEGER) AS end_line, w AS end_col, CAST(complexity AS INTEGER) AS complexity,
+          md5(code) AS digest, before AS context_before, after AS context_after, CAST(n + 5 AS INTEGER) AS n_lines FROM s""",
     "script_nodes": f"""WITH {_K}, s AS (
           SELECT path, 0 AS n, 'FunctionDef' AS type, 'f' AS name, 3 * i + 1 AS line, 0 AS o FROM (SELECT *, unnest(range(0, a)) AS i FROM k)
           UNION ALL SELECT path, 1, 'ClassDef', 'C', 3 * a + 5 * i + 1, 0 FROM (SELECT *, unnest(range(0, b)) AS i FROM k)

@@ -22,8 +22,8 @@ def staged_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select("ordinal", labelling.staged_verdict(path, snippet, F.col("severity"), F.col("confidence_word")).alias("verdict")).groupBy("verdict").agg(F.count("*").alias("n"))
 
 
-def inferred_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All phases; staged_verdicts has the short form that its SQL states."""
+def verdict_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict of each finding, by all phases; staged_verdicts has the short form that its SQL states."""
     f = findings(spark, sf_dir)
     one = lambda k, *values: F.element_at(F.array(*map(F.lit, values)), (k + 1).cast("int"))
     path = F.when(F.col("ordinal") % 11 == 0, F.concat(F.lit("tests/"), F.col("filepath"))).when(F.col("ordinal") % 5 == 0, F.concat(F.lit("auth/"), F.col("filepath"))).otherwise(F.col("filepath"))
@@ -31,7 +31,11 @@ def inferred_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rule = one(F.col("ordinal") % 9, "B101", "B110", "B404", "B311", "B105", "innerHTML", "B608", "R1", "R2")
     message = F.concat("message", one(F.col("ordinal") % 3, "", " possible", " xss"))
     v = labelling.inferred_verdict(rule, message, path, snippet, F.col("severity"), F.col("confidence_word"))
-    return f.select("ordinal", v.alias("verdict")).groupBy("verdict").agg(F.count("*").alias("n"))
+    return f.select("ordinal", v.alias("verdict"))
+
+
+def inferred_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verdict_rows(spark, sf_dir).groupBy("verdict").agg(F.count("*").alias("n"))
 
 
 def vulnerability_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
