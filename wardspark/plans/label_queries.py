@@ -137,9 +137,36 @@ def answer_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", fixes.diff_only(text).alias("reason"))
 
 
+def _any(column: str, patterns: list[str]) -> str:
+    return "(" + " OR ".join("regexp_matches({}, '{}', 'i')".format(column, p.replace("'", "''")) for p in patterns) + ")"
+
+
+def _has(column: str, *words: str) -> str:
+    return "(" + " OR ".join(f"contains({column}, '{w}')" for w in words) + ")"
+
+
+_ASSERTS, _RANDOM, _SECRET, _MARKUP = "(contains(rule, 'B101') OR contains(lower(rule), 'assert'))", "(contains(rule, 'B311') OR contains(lower(rule), 'random'))", "regexp_matches(rule, 'B10[567]')", "(contains(lower(rule), 'innerhtml') OR contains(message, 'xss'))"
+_PHASES = [
+    (_any("path", labelling.FALSE_PATHS), "FP"),
+    *[(f"{_any('rule', [r])} AND {_any(chr(40) + 'path || chr(32) || code' + chr(41), [p])}", "FP") for r, p in labelling.FALSE_RULES],
+    (_any("code", labelling.FALSE_CODE), "FP"), (_any("code", labelling.TRUE_CODE), "TP"),
+    (f"{_ASSERTS} AND {_has('path', 'auth', 'security', 'permission', 'access')}", "UNCERTAIN"), (_ASSERTS, "FP"),
+    (f"contains(rule, 'B110') AND {_has('code', 'security', 'auth', 'password', 'token', 'secret')}", "TP"), ("contains(rule, 'B110') OR contains(rule, 'B404')", "FP"),
+    (f"{_RANDOM} AND {_has('code', 'secret', 'token', 'password', 'key', 'salt', 'nonce', 'iv')}", "TP"), (f"{_RANDOM} AND {_has('code', 'shuffle', 'sample', 'choice', 'color', 'display', 'game')}", "FP"), (_RANDOM, "UNCERTAIN"),
+    (f"{_SECRET} AND ({_has('code', 'xxx', 'placeholder', 'changeme', 'example', 'your_')} OR {_has('path', 'test', 'example', 'sample', 'config')})", "FP"), (_SECRET, "TP"),
+    (f"{_MARKUP} AND {_has('path', 'ckeditor', 'tinymce', 'vendor', 'node_modules', '.min.js')}", "FP"), (f"{_MARKUP} AND {_has('code', 'request', 'user', 'param', 'input')}", "TP"), (_MARKUP, "UNCERTAIN"),
+    ("weight >= 0.7", "TP"), ("weight <= 0.3", "UNCERTAIN"), (_any("lower(rule || ' ' || message)", labelling.UNCERTAIN_WORDS), "UNCERTAIN"),
+]
+_CHOSEN = lambda k, *values: "CASE " + k + " " + " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(values)) + " END"
+_WEIGHED = lambda c, table, other: f"CASE upper({c}) " + " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in table.items()) + f" ELSE {other} END"
+_VERDICT_ROWS = f"""WITH {FINDINGS}, s AS (SELECT ordinal, lower(CASE WHEN ordinal % 11 = 0 THEN 'tests/' || filepath WHEN ordinal % 5 = 0 THEN 'auth/' || filepath ELSE filepath END) AS path,
+    lower({_CHOSEN("ordinal % 7", "x = request.args", "y() # nosec", "z = 1", "token = random()", "shuffle(x)", "changeme", "user")}) AS code, {_CHOSEN("ordinal % 9", "B101", "B110", "B404", "B311", "B105", "innerHTML", "B608", "R1", "R2")} AS rule,
+    lower(message || {_CHOSEN("ordinal % 3", "", " possible", " xss")}) AS message, {_WEIGHED("severity", labelling.SEVERITY_WEIGHT, 0.5)} * {_WEIGHED("confidence_word", labelling.CONFIDENCE_WEIGHT, 0.7)} AS weight FROM findings),
+    v AS (SELECT ordinal, CASE {" ".join(f"WHEN {c} THEN '{v}'" for c, v in _PHASES)} ELSE 'TP' END AS verdict FROM s)"""
+
 QUERIES = {
     f.__name__: f
-    for f in (category_map, staged_verdicts, inferred_verdicts, vulnerability_windows, risk_labels, closed_vocabulary, query_expansion, safe_documents, report_list, patch_summary, risk_summary, mapping_rates_by_file, token_lengths, citation_tiers, graph_collate, graph_neighbour_means, graph_mean_pool, graph_use_edges, graph_sibling_edges, answer_checks)
+    for f in (category_map, staged_verdicts, inferred_verdicts, verdict_rows, vulnerability_windows, risk_labels, closed_vocabulary, query_expansion, safe_documents, report_list, patch_summary, risk_summary, mapping_rates_by_file, token_lengths, citation_tiers, graph_collate, graph_neighbour_means, graph_mean_pool, graph_use_edges, graph_sibling_edges, answer_checks)
 }
 
 
@@ -153,6 +180,8 @@ _EXPAND = "q || CASE " + " ".join(f"WHEN contains(lower(q), '{t}') THEN ' {e}'"
 _SEV = "CASE upper(severity) WHEN 'CRITICAL' THEN 1.0 WHEN 'HIGH' THEN 0.9 WHEN 'MEDIUM' THEN 0.7 WHEN 'LOW' THEN 0.4 ELSE 0.2 END"
 _CON = "CASE confidence_word WHEN 'HIGH' THEN 1.0 WHEN 'MEDIUM' THEN 0.7 ELSE 0.4 END"
 ORACLE = {
+    "verdict_rows": f"{_VERDICT_ROWS} SELECT * FROM v",
+    "inferred_verdicts": f"{_VERDICT_ROWS} SELECT verdict, count(*) AS n FROM v GROUP BY verdict",
     "category_map": f"WITH p AS (SELECT p_partkey, lower(p_type || '-' || ['SQLi', 'os.exec', 'Html', 'token', 'pickle', 'md5', 'file', 'cve'][CAST(p_partkey % 8 + 1 AS INT)]) AS c FROM part) SELECT p_partkey, {_CATEGORY} AS category FROM p",
     "staged_verdicts": f"WITH {FINDINGS} SELECT CASE WHEN ordinal % 11 = 0 OR (ordinal % 13 = 0 AND ordinal % 7 <> 0) THEN 'FP' WHEN ordinal % 7 = 0 THEN 'TP' WHEN {_SEV}::DOUBLE * {_CON}::DOUBLE >= 0.6::DOUBLE THEN 'TP' WHEN {_SEV}::DOUBLE * {_CON}::DOUBLE < 0.3::DOUBLE THEN 'FP' ELSE 'UNCERTAIN' END AS verdict, count(*) AS n FROM findings GROUP BY 1",
     "vulnerability_windows": f"WITH d AS (SELECT doc_id, CAST(generate_subscripts(string_split(text, chr(10)), 1) - 1 AS INT) AS k, unnest(string_split(text, chr(10))) AS row FROM documents) SELECT doc_id, k, {_KIND} AS kind FROM d WHERE kind IS NOT NULL",
