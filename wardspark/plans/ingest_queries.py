@@ -127,8 +127,12 @@ def features_of_improved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.withColumn("avg_line_length", F.round("avg_line_length", 6))
 
 
+_SCRAP = "CASE doc_id % 4 WHEN 0 THEN ' def f(x): return eval (x) if x else 1' WHEN 1 THEN ' class C; for while md5 SELECT + \"a\" ' WHEN 2 THEN ' yaml.load(open (request.args)) % (a) .format (b) f\"c\"' ELSE '' END"
+
+
 def features_engineered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _documents(spark, sf_dir)
+    """Of documents with scraps of code behind them."""
+    d = _documents(spark, sf_dir).withColumn("text", F.concat("text", F.expr(_SCRAP)))
     f = features.engineered_features(F.col("text"), F.concat(F.lit("src/config/f"), F.col("doc_id").cast("string"), F.lit("_test.py")), _pick(["B101", "semgrep.x", "other"], F.col("doc_id")), _pick(["high", "odd"], F.col("doc_id")), F.lit(None).cast("string"))
     d = d.select("doc_id", f.alias("f")).select("doc_id", "f.*").drop("rule_hash")
     return d.withColumn("avg_line_length", F.round("avg_line_length", 6)).withColumn("blank_line_ratio", F.round("blank_line_ratio", 6))
@@ -277,6 +281,41 @@ ORACLE = {
     "features_of_improved": f"""WITH {_D} SELECT doc_id, CAST(len(l) AS INT) AS n_lines, CAST(length(t) AS INT) AS n_chars, 7 AS n_tokens, {_MEAN} AS avg_line_length, {_LONG} AS max_line_length, {_count("t", "def ", "function ")} AS n_functions, {_count("t", "class ")} AS n_classes, {_count("t", "import ", "require(")} AS n_imports, {_count("t", "#", "//")} AS n_comments,
         {_has("t", "try:", "try {")} AS has_try_except, {_has("t", "assert ")} AS has_assert, {_has("t", "logging.", "logger.", "console.log")} AS has_logging, {_RE('["' + "''" + ']([a-zA-Z0-9]{16,})["' + "''" + ']')} AS has_hardcoded_string, {_RE(chr(92) + "b(SELECT|INSERT|UPDATE|DELETE|WHERE)" + chr(92) + "b", ", 'i'")} AS has_sql_keywords, {_has("t", "subprocess", "os.system", "exec(")} AS has_shell_calls,
         {_has("t", "open(", "read(", "write(")} AS has_file_ops, {_has("t", "requests.", "urllib")} OR contains(lower(t), 'http') AS has_network, contains(t, 'hashlib') OR contains(lower(t), 'crypto') OR contains(t, 'encrypt') AS has_crypto, {_has("t", "input(", "request.", "argv")} AS has_user_input, CAST(list_max({_INDENT.format("l")}) // 4 AS INT) AS indentation_depth FROM d""",
+    "features_engineered": f"WITH d AS (SELECT doc_id, coalesce(text, '') || {_SCRAP} AS t FROM documents) SELECT doc_id, "
+    "CAST(len(string_split(t, chr(10))) AS INT) AS code_lines, "
+    "CAST(length(t) AS INT) AS code_chars, "
+    "round(length(t) / len(string_split(t, chr(10))), 6) AS avg_line_length, "
+    "CAST(list_max(list_transform(string_split(t, chr(10)), lambda x: length(x))) AS INT) AS max_line_length, "
+    "round(len(list_filter(string_split(t, chr(10)), lambda x: NOT regexp_matches(x, '\\S'))) / len(string_split(t, chr(10))), 6) AS blank_line_ratio, "
+    "0 AS nested_depth, "
+    "CAST(len(regexp_extract_all(t, '\\bdef\\s+\\w+|function\\s+\\w+')) AS INT) AS function_count, "
+    "CAST(len(regexp_extract_all(t, '\\bclass\\s+\\w+')) AS INT) AS class_count, "
+    "CAST(len(regexp_extract_all(t, '\\bfor\\b|\\bwhile\\b')) AS INT) AS loop_count, "
+    "CAST(len(regexp_extract_all(t, '\\bif\\b|\\belse\\b|\\belif\\b')) AS INT) AS conditional_count, "
+    "CAST(len(regexp_extract_all(t, '\\+\\s*[\"'']|[\"'']\\s*\\+')) AS INT) AS string_concat_count, "
+    "CAST(len(regexp_extract_all(t, 'f[\"'']')) AS INT) AS fstring_count, "
+    "CAST(len(regexp_extract_all(t, '\\.format\\s*\\(')) AS INT) AS format_count, "
+    "CAST(len(regexp_extract_all(t, '%\\s*\\(')) AS INT) AS percent_format_count, "
+    "CAST(regexp_matches(t, '\\beval\\s*\\(') AS INT) AS has_eval, "
+    "CAST(regexp_matches(t, '\\bexec\\s*\\(') AS INT) AS has_exec, "
+    "CAST(regexp_matches(t, '\\bsubprocess\\b') AS INT) AS has_subprocess, "
+    "CAST(regexp_matches(t, 'shell\\s*=\\s*True') AS INT) AS has_shell_true, "
+    "CAST(regexp_matches(t, '(?i)\\bSELECT\\b|\\bINSERT\\b|\\bUPDATE\\b|\\bDELETE\\b') AS INT) AS has_sql, "
+    "CAST(regexp_matches(t, 'request\\.|req\\.') AS INT) AS has_request, "
+    "CAST(regexp_matches(t, 'input\\(|argv|request\\.(get|post|form|args)') AS INT) AS has_user_input, "
+    "CAST(regexp_matches(t, 'open\\s*\\(|read\\(|write\\(') AS INT) AS has_file_ops, "
+    "CAST(regexp_matches(t, '(?i)md5|sha1|hashlib|crypto') AS INT) AS has_crypto, "
+    "CAST(regexp_matches(t, 'pickle|marshal') AS INT) AS has_pickle, "
+    "CAST(regexp_matches(t, 'yaml\\.load|yaml\\.unsafe') AS INT) AS has_yaml_load, "
+    "CAST(regexp_matches(t, 'innerHTML|dangerouslySetInnerHTML') AS INT) AS has_innerhtml, "
+    "CASE WHEN doc_id % 2 = 0 THEN 3 ELSE 2 END AS severity_score, "
+    "2 AS confidence_score, "
+    "1 AS is_test_file, "
+    "0 AS is_vendor, "
+    "1 AS is_config, "
+    "2 AS path_depth, "
+    "CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END AS is_bandit, "
+    "CASE WHEN doc_id % 3 = 1 THEN 1 ELSE 0 END AS is_semgrep FROM d",
     "features_of_gold": f"""WITH {_D} SELECT doc_id, CAST(len(l) AS INT) AS n_lines, CAST(length(t) AS INT) AS n_chars, 2 AS scanner_count, false AS has_bandit, true AS has_semgrep, false AS has_secrets, false AS has_patterns, true AS has_deps, {_has("t", "request", "input", "argv", "args")} AS has_user_input, {_has("t", "eval", "exec", "system", "pickle")} AS has_dangerous_fn, {_has("upper(t)", "SELECT", "INSERT", "UPDATE", "DELETE")} AS has_sql FROM d""",
     "ratio_split": f"WITH k AS (SELECT doc_id, row_number() OVER (ORDER BY {_DRAWN(42, 'doc_id')}, doc_id) - 1 AS k, count(*) OVER () AS n FROM documents) SELECT doc_id, CASE WHEN k < floor(n * 0.8::DOUBLE) THEN 'train' WHEN k < floor(n * 0.8::DOUBLE) + floor(n * 0.1::DOUBLE) THEN 'val' ELSE 'test' END AS split FROM k",
     "floor_split": f"WITH k AS (SELECT doc_id, quality, row_number() OVER (PARTITION BY quality ORDER BY {_DRAWN(42, 'doc_id')}, doc_id) - 1 AS k, count(*) OVER (PARTITION BY quality) AS n FROM labels) SELECT doc_id, quality, CASE WHEN k < floor(n * 0.8::DOUBLE) THEN 'train' WHEN k < floor(n * 0.8::DOUBLE) + floor(n * 0.1::DOUBLE) THEN 'val' ELSE 'test' END AS split FROM k",

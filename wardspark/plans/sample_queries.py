@@ -120,9 +120,13 @@ def noted_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pipelines.labelled_notes(i).select(F.col("item_id").alias("ordinal"), "category", "fix_type", "notes")
 
 
+_PLANTED = "concat(coalesce(text, ''), CASE doc_id % 5 WHEN 0 THEN concat('\n x AKIA', upper(left(md5(cast(doc_id AS {text})), 16))) WHEN 1 THEN concat('\na=ghp_', left(sha256(cast(doc_id AS {text})), 36), ' sk-', md5(cast(doc_id AS {text}))) WHEN 2 THEN concat('\n\nBearer ', md5(cast(doc_id AS {text}))) WHEN 3 THEN '\n-----BEGIN RSA PRIVATE KEY-----' ELSE '' END)"
+
+
 def secrets_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), "text")
-    return pipelines.scan_secrets(d)
+    """Documents as files, most with a secret of some kind behind them."""
+    planted = F.expr(_PLANTED.format(text="string").replace("sha256(cast(doc_id AS string))", "sha2(cast(doc_id AS string), 256)"))
+    return pipelines.scan_secrets(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), planted.alias("text")))
 
 
 def vocabulary_by_first_use(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -189,7 +193,7 @@ ORACLE = {
             CASE WHEN NOT md THEN NULL WHEN contains(lower(t), 'fix pattern') OR contains(lower(t), '- pattern:') THEN 'fix_patterns' WHEN contains(lower(t), 'cwe-') THEN 'vulnerability_reference' WHEN contains(lower(t), 'example') AND contains(t, '```') THEN 'code_examples' WHEN contains(lower(t), 'bandit') OR contains(lower(t), 'semgrep') THEN 'scanner_rules' ELSE 'playbook' END AS doc_type FROM d""",
     "noted_findings": f"""WITH c AS ({_CATEGORIES}), f AS (SELECT * FROM (WITH {FINDINGS} SELECT ordinal, rule_id, {_PICKED} AS message FROM findings))
         SELECT c.*, concat_ws('; ', 'rule ' || rule_id, message, CASE ordinal % 3 WHEN 0 THEN 'TP' WHEN 1 THEN 'FP' ELSE 'UNCERTAIN' END || ' as ' || category, CASE WHEN ordinal % 3 = 0 THEN 'fix by ' || fix_type END) AS notes FROM c JOIN f USING (ordinal)""",
-    "secrets_found": "WITH l AS (SELECT CAST(doc_id AS VARCHAR) AS path, CAST(unnest(range(1, len(string_split(text, chr(10))) + 1)) AS INTEGER) AS line, unnest(string_split(text, chr(10))) AS row FROM documents WHERE text IS NOT NULL), h AS ("
+    "secrets_found": f"WITH d AS (SELECT doc_id, {_PLANTED.format(text='varchar')} AS text FROM documents), l AS (SELECT CAST(doc_id AS VARCHAR) AS path, CAST(unnest(range(1, len(string_split(text, chr(10))) + 1)) AS INTEGER) AS line, unnest(string_split(text, chr(10))) AS row FROM d), h AS ("
     + " UNION ALL ".join(f"SELECT path, line, '{k}' AS rule_id, regexp_extract(row, '{p}') AS m FROM l WHERE regexp_matches(row, '{p}')" for k, p in _KINDS)
     + f") SELECT DISTINCT path, line, rule_id, 'HIGH' AS severity, {_HIDDEN} AS masked FROM h",
     "vocabulary_by_first_use": f"""WITH w AS (SELECT doc_id, unnest({_WORDS}) AS token, unnest(range(0, len({_WORDS}))) AS place FROM documents), g AS (SELECT token, count(*) AS n, min({{'d': doc_id, 'p': place}}) AS first FROM w GROUP BY token),
