@@ -211,12 +211,13 @@ def must_fail(findings: DataFrame, threshold: str) -> DataFrame:
 
 def render(findings: DataFrame, report_cap: int, order: list | None = None) -> DataFrame:
     """Blocks of a report in order of file, severity, line and rule, up to the first that would overflow the cap: the
-    running length, two characters between blocks, is a window sum over file totals and then within each file, so no
-    task sorts more than a file."""
+    running length, two characters between blocks, is a window sum over the totals of the first files and then within each
+    file, so no task sorts more than a file, or more files than the cap has room for."""
     block = F.concat(F.lit("- ["), F.col("severity"), F.lit("] "), F.col("rule_id"), F.lit(" lines "), F.col("start_line").cast("string"), F.lit("-"), F.col("end_line").cast("string"), F.lit(": "), redact_secrets(F.col("message")))
     d = findings.withColumn("block", block).withColumn("length", F.char_length("block") + 2)
     within = Window.partitionBy("filepath").orderBy(sev.rank(F.col("severity")).desc(), "start_line", "rule_id", "ordinal").rowsBetween(Window.unboundedPreceding, 0)
-    files = d.groupBy("filepath").agg(F.sum("length").alias("all"))
+    # a file takes four characters at least, so no more files than these can be reached
+    files = d.groupBy("filepath").agg(F.sum("length").alias("all")).orderBy("filepath").limit(report_cap // 4 + 1)
     before = Window.orderBy("filepath").rowsBetween(Window.unboundedPreceding, -1)
     files = files.select("filepath", F.coalesce(F.sum(F.col("all") + F.char_length("filepath") + 4).over(before), F.lit(0)).alias("ahead"))
     d = d.join(files, "filepath").withColumn("upto", F.col("ahead") + F.char_length("filepath") + 4 + F.sum("length").over(within))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wardspark.functions.shared import staged
+
 
 def feature_hash(name: Column, size: int) -> Column:
     """1 to size, from the last digits of a hash; the size is a power of two."""
@@ -12,9 +14,14 @@ def feature_hash(name: Column, size: int) -> Column:
 
 
 def offsets(nodes: DataFrame) -> DataFrame:
-    """graph_id and how many nodes the graphs before it have. One row per graph is sorted, not the nodes."""
-    w = Window.orderBy("graph_id").rowsBetween(Window.unboundedPreceding, -1)
-    return nodes.groupBy("graph_id").agg(F.count("*").alias("n")).select("graph_id", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("offset"))
+    """graph_id and how many nodes the graphs before it have: sums over ranges of graphs, and then within each range, so no
+    task sorts all graphs. The ranges are written once, as their borders must not change."""
+    d = nodes.groupBy("graph_id").agg(F.count("*").alias("n")).repartitionByRange("graph_id").withColumn("part", F.spark_partition_id())
+    d = staged(d, "graphs")
+    past = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = d.groupBy("part").agg(F.sum("n").alias("n")).select("part", past(Window.orderBy("part")).alias("ahead"))  # a row for each range
+    within = d.withColumn("own", past(Window.partitionBy("part").orderBy("graph_id")))
+    return within.join(F.broadcast(parts), "part").select("graph_id", (F.col("ahead") + F.col("own")).alias("offset"))
 
 
 def collate(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
