@@ -203,6 +203,8 @@ def select_round_robin(items: DataFrame, target: int, cap: int, hard_share: floa
     no limit), in three passes that share the counts: hard ones up to their share, the others, then whatever is left.
     As a count of one source changes what another may take, the choice is sequential. Only what can be chosen gets
     there: of each (source, rule, hard or not) the first ``cap`` or ``target`` rows in the order of the turns."""
+    items = items.withColumns({"source": F.when(F.coalesce("source", F.lit("")) == "", "unknown").otherwise(F.col("source")), "rule_id": F.coalesce("rule_id", F.lit(""))})
+    target = min(target, items.count())
     hard = F.col("hardness") > 0
     keep = min(cap, target) if cap else target
     order = [F.desc(F.col("weight") + F.col("hardness")), draw("select", F.col("item_id")), F.col("item_id")]
