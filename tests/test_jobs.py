@@ -133,3 +133,11 @@ def test_three_variants(spark):
         got.setdefault(r.k, {})[r.augmentation] = r.code_snippet
         assert r.more == 7 and r.sample_id == sha256(f"f:{r.code_snippet}".encode()).hexdigest()
     assert got == {str(k): want(c) for k, c in enumerate(codes) if c is not None and want(c)}
+
+
+def test_texts_of_jobs_are_not_broadcast(spark):
+    """Diffs and summaries are long, whatever Spark guesses of them."""
+    from wardspark.plans import job_queries
+
+    plan = job_queries.job_patch_details(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 3 and "Broadcast" not in plan
