@@ -126,3 +126,24 @@ def test_sizes_are_bytes(spark):
     assert "ResolvedHint" in size.small(few)._jdf.queryExecution().analyzed().toString() and "ResolvedHint" not in size.small(few, 2000)._jdf.queryExecution().analyzed().toString()
     nested = spark.sql("SELECT map('a', array('bb', NULL)) AS m, named_struct('x', 'yy', 'z', CAST(NULL AS array<string>)) AS s, X'0102' AS b")
     assert 100 < size.counted(nested) < 400
+
+
+def test_nearest_of_odd_vectors(spark):
+    """Null, empty, zero, ragged and equal vectors, and those that hold a null; by blocks of matrices, as pair by pair before."""
+    r = random.Random(2)
+    v = [(n, [r.choice([0.0, 1.0, r.random()]) for _ in range(r.choice([3, 8]))]) for n in range(120)]
+    v += [(200, None), (201, []), (202, [0.0] * 8), (203, [1.0, None, 2.0]), *[(300 + n, [1.0, 1.0, 1.0]) for n in range(40)]]
+
+    def cos(a, b):
+        if a is None or b is None or None in a or None in b:
+            return None
+        d = sum(x * x for x in a) ** 0.5 * sum(x * x for x in b) ** 0.5
+        return round(sum(x * y for x, y in zip(a, b, strict=False)) / d, 6) if d else 0.0
+
+    d = spark.createDataFrame(v, "item_id long, embedding array<double>")
+    nearest = retrieval.nearest(d.withColumnRenamed("item_id", "query_id"), d, 5)
+    got = {(x.query_id, x.place): (x.item_id, x.score) for x in nearest.collect()}
+    for q, a in v:
+        best = sorted(((cos(a, b), i) for i, b in v), key=lambda x: (x[0] is None, -(x[0] or 0), x[1]))[:5]
+        assert [got[q, p + 1] for p in range(5)] == [(i, s) for s, i in best]
+    assert "MapInArrow" in nearest._jdf.queryExecution().executedPlan().toString()
