@@ -141,3 +141,12 @@ def test_texts_of_jobs_are_not_broadcast(spark):
 
     plan = job_queries.job_patch_details(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("SortMergeJoin") == 3 and "Broadcast" not in plan
+
+
+def test_lines_of_reports_are_gathered_by_numbers(spark):
+    """What a line says is longer than its numbers, so it is not sent."""
+    from wardspark.plans import job_queries
+
+    plan = job_queries.job_report_counts(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    gathered = [x for x in plan.splitlines() if "collect_list" in x]
+    assert gathered and not any("repeat(" in x or "excerpt" in x.split("collect_list")[1].split("AS")[0] for x in gathered)
