@@ -58,6 +58,29 @@ def test_links_are_true_and_hardly_any_is_missed(spark, monkeypatch, first, bloc
     assert sum(got[i] == want[i] for i in members) >= 0.95 * len(members)
 
 
+def test_a_group_of_copies_confirms_few_pairs(spark, monkeypatch):
+    """200 texts with a word changed each: all pairs are near, and a pair for each text joins most of them."""
+    r = random.Random(3)
+    base = [f"w{k}" for k in range(150)]
+    rows = []
+    for k in range(200):
+        words = list(base)
+        for at in r.sample(range(150), 1):
+            words[at] = f"x{k}"
+        rows.append((k, " ".join(words)))
+    asked = []
+    confirmed = similar._confirmed
+
+    def counted(docs, first, pairs, similarity):
+        asked.append(pairs.count())
+        return confirmed(docs, first, pairs, similarity)
+
+    monkeypatch.setattr(similar, "_confirmed", counted)
+    got = {x.doc_id: x.component_id for x in similar.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows) and set(got.values()) == {0}
+    assert sum(asked) < 2 * len(rows)
+
+
 def test_empty_tables_and_columns_with_the_same_names(spark):
     assert similar.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     d = spark.createDataFrame([(1, "a b c d e f", 0, "x"), (None, "a b c d e f", 0, "x"), (2, "A b c d e f", 1, "y"), (2, None, 1, "y")], "doc_id long, text string, cls long, keys string")

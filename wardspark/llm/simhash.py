@@ -200,11 +200,16 @@ def _meet(radius: int):
 
 
 def dealt(rows: DataFrame, *columns: str) -> DataFrame:
-    """rows: bucket and the columns, the first of them a fingerprint. meeting, the columns and side: buckets of one row
-    go, those beyond ``BLOCK`` rows are dealt into blocks that meet in pairs (side 0 with side 1)."""
-    sizes = rows.groupBy("bucket").count().where("count > 1")
-    sizes = staged(sizes.select("bucket", F.ceil(F.col("count") / BLOCK).cast("int").alias("parts")), "buckets")
-    rows = rows.join(sizes, "bucket")  # rows that meet no other go
+    """rows: bucket and the columns, the first of them a fingerprint. Buckets of one row go, the others are dealt as
+    ``blocks_of`` says."""
+    sizes = staged(rows.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "buckets")
+    return blocks_of(rows.join(sizes, "bucket"), *columns)  # rows that meet no other go
+
+
+def blocks_of(rows: DataFrame, *columns: str) -> DataFrame:
+    """rows: bucket, size (rows of the bucket) and the columns, the first of them a fingerprint. meeting, the columns and
+    side: buckets beyond ``BLOCK`` rows are dealt into blocks that meet in pairs (side 0 with side 1)."""
+    rows = rows.withColumn("parts", F.ceil(F.col("size") / BLOCK).cast("int"))
     part = F.pmod(F.xxhash64(F.col(columns[0]), F.lit(1)), F.col("parts")).cast("int")
     rows = rows.select("bucket", *columns, part.alias("part"), "parts")
     rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
