@@ -239,15 +239,15 @@ class Block:
         t = self.terminals
         for (a, b), n in zip(self.rules.tolist(), self.size.tolist(), strict=True):
             expanded.append([*(expanded[a - t] if a >= t else (a,)), *(expanded[b - t] if b >= t else (b,))] if n <= _SHORT else [])
-        self._from = np.r_[0, np.cumsum([len(x) for x in expanded], dtype=np.int64)].astype(np.int64)
-        self._flat = np.fromiter(chain.from_iterable(expanded), np.uint32, int(self._from[-1]))
+        # the ids that each symbol stands for, terminals first, so that one lookup serves both kinds
+        ends = t + np.cumsum([len(x) for x in expanded], dtype=np.int64)
+        self._from = np.concatenate([np.arange(t + 1), ends])[: t + len(expanded)]
+        self._flat = np.concatenate([np.arange(t, dtype=np.uint32), np.fromiter(chain.from_iterable(expanded), np.uint32)])
+        self._size = np.concatenate([np.ones(t, np.int64), self.size])
 
     def sizes(self, symbols: np.ndarray) -> np.ndarray:
         """How many ids each of these symbols stands for."""
-        out = np.ones(len(symbols), np.int64)
-        rule = symbols >= self.terminals
-        out[rule] = self.size[symbols[rule] - self.terminals]
-        return out
+        return self._size[symbols]
 
     def expand(self, symbols: np.ndarray, size: np.ndarray | None = None) -> np.ndarray:
         """The ids that these symbols stand for; size: how many each stands for, if that is known."""
@@ -260,14 +260,10 @@ class Block:
             two[first[long]], two[first[long] + 1] = self.rules[symbols[long] - t].T
             symbols = two
             size = self.sizes(symbols)
-        rule = symbols >= t
-        one = ~rule
-        table = np.r_[self._flat, symbols[one].astype(np.uint32)]
-        first = np.empty(len(symbols), np.int64)
-        first[rule] = self._from[symbols[rule] - t]
-        first[one] = len(self._flat) + np.arange(len(table) - len(self._flat))
         begin = np.r_[0, np.cumsum(size)]
-        return table[np.repeat(first - begin[:-1], size) + np.arange(begin[-1])]
+        at = np.repeat(self._from[symbols] - begin[:-1], size)
+        at += np.arange(begin[-1])
+        return self._flat[at]
 
     def all(self) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each document begins (and the last ends)."""
@@ -312,7 +308,8 @@ def write(docs: DataFrame, path: str, end_id: int = 0, out: str | None = None) -
                     size, z = size + len(whole[z]), z + 1
                 ids, edges = e.texts(whole[k:z])
                 for j in range(z - k):
-                    own = np.r_[ids[edges[j] : edges[j + 1]], end_id].astype(np.int32)
+                    own = np.full(edges[j + 1] - edges[j] + 1, end_id, np.int32)
+                    own[:-1] = ids[edges[j] : edges[j + 1]]
                     if held and count + len(own) > BLOCK:
                         yield flush()
                         held, count, block = [], 0, block + 1
