@@ -154,3 +154,46 @@ def pretokens(texts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray
     inner = kind[start] != STOP
     bounds = np.searchsorted(start[inner], np.r_[0, ends[:-1] + 1, len(kind)])
     return joined, start[inner], end[inner], bounds, odd
+
+
+@lru_cache(maxsize=1)
+def _folded() -> np.ndarray:
+    """Class of each class where contractions are looked for apart and white space is one class."""
+    f = np.full(256, OTHER, np.uint8)
+    f[[LETTER, ONE, RV, E, L]], f[NUMBER], f[[SPACE, BLANK]] = LETTER, NUMBER, BLANK
+    return f
+
+
+def byte_beginnings(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same on UTF-8 bytes, by rules that look at neighbours only: whether a pre-token begins at each byte of texts that
+    are each ended by a line feed (places in ends, themselves beginnings), and where unknown code points begin."""
+    folded = _folded()
+    kind = folded[classes()[:256]][data]
+    lead = np.flatnonzero(data >= 0xC0)
+    b = data[lead].astype(np.int32)
+    cps, wide = (b & 0x1F) << 6 | data[lead + 1] & 0x3F, [np.flatnonzero(b >= first) for first in (0xE0, 0xF0)]
+    for k, w in zip(wide, (2, 3), strict=True):
+        cps[k] = cps[k] << 6 | data[lead[k] + w] & 0x3F
+    c = classes()[cps & 0x1FFFFF]
+    unknown, c = lead[c == UNKNOWN], folded[c]
+    kind[lead] = kind[lead + 1] = c
+    for k, w in zip(wide, (2, 3), strict=True):
+        kind[lead[k] + w] = c[k]
+    kind[ends] = STOP
+    begin = np.ones(len(data), bool)
+    np.not_equal(kind[1:], kind[:-1], out=begin[1:])
+    # of white space before something else the last character goes apart, a space with what follows; at the end of a text
+    # white space stays whole
+    last = np.flatnonzero(begin[1:] & (kind[:-1] == BLANK) & (kind[1:] != STOP))
+    begin[last[data[last] == 0x20] + 1] = False
+    while len(inner := np.flatnonzero(data[last] & 0xC0 == 0x80)):
+        last[inner] -= 1
+    begin[last] = True
+    # a quote at a beginning and the letters of a contraction are one
+    quote = np.flatnonzero((data == 0x27) & begin)
+    one, two = data[quote + 1], data[np.minimum(quote + 2, len(data) - 1)]
+    size = np.where(np.isin(one, list(b"stmd")), 2, np.where(np.isin(one, list(b"rv")) & (two == ord("e")) | (one == ord("l")) & (two == ord("l")), 3, 0))
+    quote, size = quote[size > 0], size[size > 0]
+    begin[quote + 1] = False
+    begin[quote + size] = begin[ends] = True
+    return begin, unknown

@@ -30,9 +30,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wardspark.llm import bpe, pretoken
-from wardspark.llm.arrays import planes, unplanes
+from wardspark.llm.arrays import planes, stretches, unplanes
 from wardspark.llm.stage import new_path, texts
-from wardspark.llm.tokencount import Counter, library
+from wardspark.llm.tokencount import STRETCH, library
+from wardspark.llm.wordids import WordIds
 
 MAGIC = b"RP01"
 #: Token ids in a block.
@@ -42,35 +43,43 @@ BLOCK = 1 << 20
 LEAST = 8
 #: Up to so many blocks their offsets are broadcast.
 MAX_BROADCAST_BLOCKS = 500_000
-_TABLE = 1 << 20
 #: Ids of a rule that are kept ready for reading.
 _SHORT = 256
+_TABLE = 1 << 20
 
 
 class TextEncoder:
-    """Ids of whole texts, from the transducer that is compiled from the vocabulary (``transducer``). Texts that hold
-    special tokens, or code points that this Python does not know, go to the library."""
+    """Ids of whole texts: words that were met before come from a table, others are put together by the merges
+    (``wordids``). Texts that hold special tokens, or code points that this Python does not know, go to the library."""
 
     def __init__(self, path: str):
-        self.library, self.counter = library(path), Counter(path)
-
-    def texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, one text after the other, and where each text begins (and the last ends)."""
-        whole = [k for k, t in enumerate(texts) if self.counter.special and self.counter.special.search(t)]
-        plain = list(texts)
-        for k in whole:
-            plain[k] = ""
-        joined, start, _, _, odd = pretoken.pretokens(plain)
-        size = np.fromiter(map(len, plain), np.int64, len(plain))
-        data, begins, ends = self.counter.placed(joined, start, np.cumsum(size + 1) - 1)
-        ids, total = self.counter.transducer.ids(data, begins)
-        feeds = total[ends]  # the line feed behind each text is a token of its own
-        out, edges = np.delete(ids, feeds), np.r_[0, feeds - np.arange(len(feeds))]
-        redo = sorted({*whole, *np.flatnonzero(odd).tolist()})
+        self.library = library(path)
+        model = bpe.loaded(path, "byte")
+        self.words, self.special = WordIds(model), [t.encode() for t in model.special]
+
+    def texts(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, one text after the other and the end id behind each, and where each text begins (and the last ends)."""
+        raw = texts.cast(pa.binary()).fill_null(b"").to_pylist()
+        joined = b"\n".join([*raw, bytes(8)])
+        data = np.frombuffer(joined, np.uint8)
+        inner = data[: len(data) - 8]
+        ends = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)) + 1) - 1
+        begin, unknown = pretoken.byte_beginnings(inner, ends)
+        start = np.flatnonzero(begin)
+        place, n = self.words.places(data, start, np.diff(start, append=len(inner)))
+        feeds = np.searchsorted(start, ends)  # the end id stands for the line feed behind each text
+        n = n.copy()
+        n[feeds] = 1
+        after = np.cumsum(n)
+        out = self.words.flat[np.repeat(place - after + n, n) + np.arange(after[-1])]
+        out[after[feeds] - 1] = end_id
+        edges = np.r_[0, after[feeds]]
+        redo = {k for k, t in enumerate(raw) if any(x in t for x in self.special)} if any(x in joined for x in self.special) else set()
+        redo |= set(np.searchsorted(ends, unknown).tolist())
         if redo:
-            parts = [out[edges[k] : edges[k + 1]] for k in range(len(texts))]
+            parts = [out[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
             for k in redo:
-                parts[k] = np.array(self.library.encode(texts[k], add_special_tokens=False).ids, np.int32)
+                parts[k] = np.array([*self.library.encode(raw[k].decode(), add_special_tokens=False).ids, end_id], np.int32)
             out, edges = np.concatenate(parts), np.r_[0, np.cumsum([len(p) for p in parts])]
         return out, edges
 
@@ -80,48 +89,73 @@ def text_encoder(path: str) -> TextEncoder:
     return TextEncoder(path)
 
 
-def _counted(seq: np.ndarray, cut: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Places of pairs that stand ``least`` times or more, each with its number among these pairs; the pairs and how often
-    they stand. Of equal pairs that overlap every second one counts. A table of hashed counts first drops most others."""
-    pair = seq[:-1] << 32 | seq[1:]
-    slot = ((pair.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).view(np.int64)
-    often = np.bincount(slot, minlength=_TABLE) >= least
-    here = often[slot]
-    here[cut] = False
-    at = np.flatnonzero(here)
-    pair, slot = pair[at], slot[at]
-    owner = np.zeros(_TABLE, np.int64)
-    owner[slot] = pair  # one pair of each slot has the slot's number; the few others get numbers of their own
-    codes, found = (np.cumsum(often) - 1)[slot], owner[often]
-    others = np.flatnonzero(owner[slot] != pair)
-    if len(others):
-        more, keys = pd.factorize(pair[others])
-        codes[others] = more + len(found)
-        found = np.concatenate([found, keys])
-    follows = np.r_[False, (codes[1:] == codes[:-1]) & (at[1:] == at[:-1] + 1)]
-    if follows.any():
-        first = np.maximum.accumulate(np.where(follows, 0, np.arange(len(at))))
-        single = (np.arange(len(at)) - first) % 2 == 0
-        at, codes = at[single], codes[single]
-    n = np.bincount(codes, minlength=len(found))
-    keep = (n >= least)[codes]
-    return at[keep], codes[keep], found, n
+def _numbered(pair: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """Which of the distinct pairs ``found`` each pair is, -1 if none. A table has one of them at each slot; those that lost
+    their slot, and the pairs that meet it, go to another table."""
+    out, keys, factor = np.full(len(pair), -1, np.int32), np.arange(len(found), dtype=np.int32), 0x9E3779B97F4A7C15
+    todo, here = slice(None), pair
+    while len(keys):
+        bits = max(6, (3 * len(keys)).bit_length())
+        places = lambda x: ((x.view(np.uint64) * np.uint64(factor)) >> np.uint64(64 - bits)).view(np.int64)  # noqa: B023, E731
+        own, slot = places(found[keys]), places(here)
+        table = np.full(1 << bits, keys[0], np.int32)
+        table[own] = keys
+        code = table[slot]
+        same = found[code] == here
+        out[todo] = np.where(same, code, np.int32(-1))
+        lost = table[own] != keys
+        met = np.zeros(1 << bits, bool)
+        met[own[lost]] = True
+        again = np.flatnonzero(met[slot] & ~same)
+        todo, here, keys = (again if isinstance(todo, slice) else todo[again]), here[again], keys[lost]
+        factor = (factor * 5 + 2) % (1 << 64)
+    return out
+
+
+def _counted(seq: np.ndarray, cut: np.ndarray, least: int, rare: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The number of the pair at each place among those that stand ``least`` times or more, -1 where it is none of them or
+    would reach over a cut; these pairs, and how often they stand. Of equal pairs that overlap every second one counts. If
+    such pairs are rare, a table of hashed counts drops most others first."""
+    pair, at = seq[:-1] << 32 | seq[1:], slice(None)
+    pair[cut] = -1
+    if rare:
+        slot = ((pair.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).view(np.int64)
+        at = np.flatnonzero((np.bincount(slot, minlength=_TABLE) >= least)[slot])
+        pair = pair[at]
+    by_pair = np.sort(pair)
+    first = np.flatnonzero(np.r_[len(pair) > 0, by_pair[1:] != by_pair[:-1]][: len(pair)])
+    n = np.diff(first, append=len(pair))
+    often = (n >= least) & (by_pair[first] >= 0)
+    found, n = by_pair[first[often]], n[often]
+    code = np.full(len(seq) - 1, -1, np.int32)
+    code[at] = _numbered(pair, found)
+    again = np.flatnonzero((code[1:] == code[:-1]) & (code[1:] >= 0)) + 1
+    if len(again):
+        # places one after the other are a run; its first place is one before, so the odd ones of it go
+        run = np.flatnonzero(np.diff(again, prepend=-1) > 1)
+        second = (np.arange(len(again)) - np.repeat(run, np.diff(run, append=len(again)))) % 2 == 0
+        n = n - np.bincount(code[again[second]], minlength=len(found))
+        code[again[second]] = -1
+        code[(n < least)[code] & (code >= 0)] = -1
+    return code, found, n
 
 
 def _in_rounds(seq: np.ndarray, edges: np.ndarray, made: int, least: int, rules: list) -> tuple[np.ndarray, np.ndarray, int]:
     """All pairs that stand ``least`` times are replaced at once where they are the more frequent of the pairs that overlap,
     until a round hardly shortens the sequence."""
+    rare = False
     while len(seq) > 1:
         cut = edges[1:-1]
-        at, codes, found, n = _counted(seq, cut[(cut > 0) & (cut < len(seq))] - 1, least)
-        order = np.empty(len(found), np.int32)
+        code, found, n = _counted(seq, cut[(cut > 0) & (cut < len(seq))] - 1, least, rare)
+        rare = 2 * n.sum() < len(seq)
+        order = np.zeros(len(found) + 1, np.int32)  # the last one is that of no pair
         order[np.argsort(n, kind="stable")] = np.arange(1, len(found) + 1, dtype=np.int32)
         rank = np.zeros(len(seq) + 1, np.int32)
-        rank[at + 1] = order[codes]
-        mine = rank[at + 1]
-        take = (mine > rank[at]) & (mine > rank[np.minimum(at + 2, len(seq))])
-        good = np.bincount(codes[take], minlength=len(found)) >= least
-        take &= good[codes]
+        rank[1:-1] = order[code]
+        at = np.flatnonzero((rank[1:-1] > rank[:-2]) & (rank[1:-1] > rank[2:]))
+        codes = code[at]
+        good = np.bincount(codes, minlength=len(found)) >= least
+        take = good[codes]
         at, codes = at[take], codes[take]
         if not len(at):
             break
@@ -143,13 +177,16 @@ def _one_by_one(seq: np.ndarray, edges: np.ndarray, made: int, least: int, rules
     """The most frequent pair is replaced, again and again, until none stands ``least`` times."""
     cut = edges[1:-1]
     cut = cut[(cut > 0) & (cut < len(seq))] - 1
-    at, codes, found, n = _counted(seq, cut, least)
+    code, found, _ = _counted(seq, cut, least, rare=True)
+    at = np.flatnonzero(code >= 0)
+    codes = code[at]
     if not len(at):
         return seq, edges
     last = len(seq)
     order = np.argsort(codes, kind="stable")
-    groups = np.split(at[order], np.flatnonzero(np.diff(codes[order])) + 1)
-    places = {int(found[codes[order][k]]): g.tolist() for g, k in zip(groups, np.r_[0, np.cumsum([len(g) for g in groups])[:-1]].tolist(), strict=True)}
+    at, codes = at[order].tolist(), codes[order]
+    first = np.flatnonzero(np.diff(codes, prepend=-1))
+    places = {key: at[a:b] for key, a, b in zip(found[codes[first]].tolist(), first.tolist(), [*first[1:].tolist(), len(at)], strict=True)}
     heap = [(-len(g), key) for key, g in places.items()]
     heapify(heap)
     symbol = seq.tolist()
@@ -288,34 +325,30 @@ def write(docs: DataFrame, path: str, end_id: int = 0, out: str | None = None) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = text_encoder(path)
         terminals = e.library.get_vocab_size(with_added_tokens=True)
-        held: list[tuple[int, np.ndarray]] = []
+        held: list[tuple[list[int], np.ndarray, np.ndarray]] = []  # ids of documents, of tokens, and their sizes
         count, block = 0, 0
 
         def flush() -> pa.RecordBatch:
-            edges = np.r_[0, np.cumsum([len(x) for _, x in held])]
-            ids = np.concatenate([x for _, x in held])
-            names = np.array([d for d, _ in held], np.int64)
-            values = [[block], [int(names[0])], [names.tolist()], [[len(x) for _, x in held]], [pack(ids, edges, terminals)]]
+            names, ids, sizes = sum((x for x, _, _ in held), []), *(np.concatenate([h[k] for h in held]) for k in (1, 2))
+            values = [[block], [names[0]], [names], [sizes], [pack(ids, np.r_[0, np.cumsum(sizes)], terminals)]]
             kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], ["block", "first_doc", "doc_ids", "n_ids", "body"])
 
         for batch in batches:
-            names, whole = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            k = 0
-            while k < len(whole):
-                size, z = 0, k
-                while z < len(whole) and size < 1 << 21:
-                    size, z = size + len(whole[z]), z + 1
-                ids, edges = e.texts(whole[k:z])
-                for j in range(z - k):
-                    own = np.full(edges[j + 1] - edges[j] + 1, end_id, np.int32)
-                    own[:-1] = ids[edges[j] : edges[j + 1]]
-                    if held and count + len(own) > BLOCK:
+            for b in stretches(batch, 1, STRETCH):
+                names = b.column(0).to_pylist()
+                ids, edges = e.texts(b.column(1), end_id)
+                k = 0
+                while k < len(names):  # as many as the block has room for, one at least
+                    z = int(np.searchsorted(edges, edges[k] + BLOCK - count, "right")) - 1
+                    if z == k and held:
                         yield flush()
                         held, count, block = [], 0, block + 1
-                    held.append((names[k + j], own))
-                    count += len(own)
-                k = z
+                        continue
+                    z = max(z, k + 1)
+                    held.append((names[k:z], ids[edges[k] : edges[z]], np.diff(edges[k : z + 1])))
+                    count += int(edges[z] - edges[k])
+                    k = z
         if held:
             yield flush()
 
