@@ -286,16 +286,26 @@ class Block:
         """How many ids each of these symbols stands for."""
         return self._size[symbols]
 
+    def _apart(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols that stand for few ids each instead of these, and how many for each of these."""
+        owner, n = np.arange(len(symbols)), len(symbols)
+        while (long := self.sizes(symbols) > _SHORT).any():
+            first = (np.arange(len(symbols)) + np.cumsum(long) - long)[long]
+            left, right = self.rules[symbols[long] - self.terminals].T
+            symbols, owner = np.repeat(symbols, 1 + long), np.repeat(owner, 1 + long)
+            symbols[first], symbols[first + 1] = left, right
+        return symbols, np.bincount(owner, minlength=n)
+
     def expand(self, symbols: np.ndarray, size: np.ndarray | None = None) -> np.ndarray:
         """The ids that these symbols stand for; size: how many each stands for, if that is known."""
-        t = self.terminals
         size = self.sizes(symbols) if size is None else size
-        while (long := size > _SHORT).any():
-            first = np.arange(len(symbols)) + np.cumsum(long) - long
-            two = np.zeros(len(symbols) + long.sum(), np.int64)
-            two[first] = symbols
-            two[first[long]], two[first[long] + 1] = self.rules[symbols[long] - t].T
-            symbols = two
+        long = size > _SHORT
+        if long.any():
+            parts, times = self._apart(symbols[long])
+            count = np.ones(len(symbols), np.int64)
+            count[long] = times
+            symbols = np.repeat(symbols, count)
+            symbols[np.repeat(long, count)] = parts
             size = self.sizes(symbols)
         begin = np.r_[0, np.cumsum(size)]
         at = np.repeat(self._from[symbols] - begin[:-1], size)

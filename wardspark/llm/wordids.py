@@ -50,6 +50,8 @@ class Merges:
             todo = todo[self.key[at[todo]] != keys[todo]]
             at[todo] = (at[todo] + 1) % _PAIRS
         self.rank[at] = ranks
+        two = np.arange(1 << 16)
+        self.of_bytes = self.order(self.byte[two >> 8], self.byte[two & 255], 0)  # what most words begin with
 
     @staticmethod
     def _places(key: np.ndarray) -> np.ndarray:
@@ -72,28 +74,31 @@ class Merges:
         n, last = len(start), int(size.max(initial=0))
         place = np.arange(last + 1, dtype=np.int32)[:, None]
         alive = place < size
-        token = np.full((last + 1, n), _NOTHING, np.int32)
-        token[alive] = self.byte[data[np.broadcast_to(place + start, alive.shape)[alive]]]
-        if n and token.min() < 0:
+        raw = data[np.minimum(place + start, len(data) - 1)]
+        token = np.where(alive, self.byte[raw], np.int32(_NOTHING))
+        if token.min(initial=0) < 0:
             raise ValueError("no token for a byte")
         # a column is a word, its last row stands for what is before and behind it
         ahead = np.where(place < size - 1, place + 1, last).astype(np.int8)
-        back = np.broadcast_to(np.where(place > 0, place - 1, last), alive.shape).astype(np.int8)
+        back = np.repeat(np.r_[last, np.arange(last)].astype(np.int8)[:, None], n, axis=1)
         order = np.full((last + 1, n), _NEVER, np.int32)
-        inner = alive[1:]
-        order[:-1][inner] = self.order(token[:-1][inner], token[1:][inner], np.broadcast_to(place[:-1], inner.shape)[inner])
-        words = np.arange(n)
-        while len(words):
-            least = order[:, words].min(axis=0) if len(words) < n else order.min(axis=0)
-            words, least = words[least < _NEVER], least[least < _NEVER]
+        order[:-1] = np.where(alive[1:], self.of_bytes[raw[:-1].astype(np.uint16) << 8 | raw[1:]], _NEVER)
+        order[:-1] |= place[:-1]  # all bits of _NEVER are set, so it stays
+        columns = np.arange(n)  # the words that order is of
+        while len(columns):
+            least = order.min(axis=0)
+            live = np.flatnonzero(least < _NEVER)
+            least, words = least[live], columns[live]
+            if 2 * len(live) < len(columns) or not len(live):
+                order, columns, live = order[:, live], words, np.arange(len(live))
             i = least & (1 << _BITS) - 1
             j, before = ahead[i, words], back[i, words]
             after = ahead[j, words]
             token[i, words] = made = self.made[least >> _BITS]
-            alive[j, words], order[j, words] = False, _NEVER
+            alive[j, words], order[j, live] = False, _NEVER
             ahead[i, words], back[after, words] = after, i
-            order[i, words] = self.order(made, token[after, words], i)
-            order[before, words] = self.order(token[before, words], made, before)
+            order[i, live] = self.order(made, token[after, words], i)
+            order[before, live] = self.order(token[before, words], made, before)
         return token.T[alive.T], alive.sum(axis=0)
 
 
