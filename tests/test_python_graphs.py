@@ -191,3 +191,25 @@ def run(code, r, seen):
         exec(code, env)
     except EOFError:
         pass
+
+
+def test_equal_texts_and_few_parts(spark, monkeypatch):
+    """Texts are parsed by more tasks than they were read in, equal ones once by a worker, and edges need no shuffle of their own."""
+    texts = [TEXTS[k % 3] for k in range(300)]
+    d = files(spark, texts).coalesce(1)
+    found = pygraph.nodes(d)
+    assert found.rdd.getNumPartitions() == 4
+    plan = pygraph.edges(found)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Window" not in plan
+    want = [(g, e) for t in TEXTS[:3] for g, _, e in plain(t, 2048, 8192)]
+    got = {}
+    for r in pygraph.edges(found).collect():
+        got.setdefault((int(r.path), r.graph), []).append((r.place, (r.src, r.dst, r.kind)))
+    assert len(got) == 300 and all([e for _, e in sorted(es)] == want[p % 3][1] for (p, _), es in got.items())
+    calls, made = [], pygraph.roots
+    monkeypatch.setattr(pygraph, "roots", lambda code: calls.append(code) or made(code))
+    monkeypatch.setattr(pygraph, "_kept", {})
+    tables = [pygraph._table(pygraph.node_rows, pygraph.NODE, t, 2048) for t in texts]
+    assert len(calls) == 3 and tables[0].equals(tables[3])
+    monkeypatch.setattr(pygraph, "KEPT", 0)
+    assert pygraph._table(pygraph.node_rows, pygraph.NODE, TEXTS[4], 2048).num_rows == 0 and len(pygraph._kept) == 1
