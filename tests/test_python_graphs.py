@@ -209,7 +209,16 @@ def test_equal_texts_and_few_parts(spark, monkeypatch):
     calls, made = [], pygraph.roots
     monkeypatch.setattr(pygraph, "roots", lambda code: calls.append(code) or made(code))
     monkeypatch.setattr(pygraph, "_kept", {})
-    tables = [pygraph._table(pygraph.node_rows, pygraph.NODE, t, 2048) for t in texts]
+    tables = [pygraph._table(pygraph.flow_rows, pygraph.FLOW, t, 2048) for t in texts]
     assert len(calls) == 3 and tables[0].equals(tables[3])
     monkeypatch.setattr(pygraph, "KEPT", 0)
-    assert pygraph._table(pygraph.node_rows, pygraph.NODE, TEXTS[4], 2048).num_rows == 0 and len(pygraph._kept) == 1
+    assert pygraph._table(pygraph.flow_rows, pygraph.FLOW, TEXTS[4], 2048).num_rows == 0 and len(pygraph._kept) == 1
+
+
+def test_flow_is_spread_over_tasks(spark):
+    d = pygraph.flow_edges(files(spark, [TEXTS[0]] * 40).coalesce(1))
+    assert d.rdd.getNumPartitions() == 4
+    by = {}
+    for r in d.collect():
+        by.setdefault(r.path, []).append((r.name, r.src, r.dst))
+    assert len(by) == 40 and len({tuple(sorted(e)) for e in by.values()}) == 1
