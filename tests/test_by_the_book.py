@@ -232,3 +232,15 @@ def test_ordinals_of_large_keys(spark, tmp_path):
     assert sorted(r.ordinal for r in common.findings(spark, str(tmp_path)).collect()) == want
     for q in (dataset_queries.diff_line_numbers, ingest_queries.inferred_categories, ingest_queries.patch_policy_reasons, sample_queries.noted_findings):
         assert q(spark, str(tmp_path)).count() in (50, 250)
+
+
+def test_long_hunks_take_time_by_their_lines(spark):
+    """8,000 lines took 48 seconds, and four times that at twice as many; heads, paths and numbers of odd kinds are read as before."""
+    n = 32_000
+    odd = "+++ /dev/null\n@@ -1 +1 @@\n+no\n+++ b/b/y \n@@ -007 +99999999999 @@\r\n x\n--- a\n-b\n+++c\n+\n\\ no\n+é d\n@@\n+++ z\n-q\n@@ +4\n+w"
+    d = spark.createDataFrame([("long", "+++ b/y\n@@ -5 +7 @@\n" + "+z\n-z\n" * n), ("odd", odd), ("none", "@@ -1 +1 @@\n+a")], "diff_id string, diff string")
+    started = time.time()
+    got = patches.diff_lines(d).where("diff_id = 'long'").agg(F.count("*"), F.max("old_line"), F.max("new_line"), F.sum("old_line"), F.min("hunk")).first()
+    assert tuple(got) == (2 * n, n + 4, n + 6, sum(range(5, n + 5)), 1) and time.time() - started < 60
+    got = [(r.path, r.hunk, r.kind, r.old_line, r.new_line, r.text) for r in patches.diff_lines(d).where("diff_id <> 'long'").collect()]
+    assert got == [("b/y", 1, " ", 7, 0, "x"), ("b/y", 1, "-", 9, None, "b"), ("b/y", 1, "+", None, 3, ""), ("b/y", 1, "+", None, 5, "é d"), ("b/y", 2, "-", 1, None, "q"), ("z", 3, "+", None, 4, "w")]

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,37 +29,85 @@ BANNED = [
 ]
 ALLOWED = ["injection.xss", "xss", "innerhtml", "insecure-request", "injection.command", "command-injection", "injection.sql", "path.traversal", "ssrf", "unsafe.exec"]
 _COMMENT, _IMPORT = r"^(#|//|/\*|\*)", r"^(import\s|from\s|const\s.*require\(|export\s.*from\s)"
-#: A piece of a diff from one hunk's head to the next; the first may come before any hunk.
-_HUNK = r"""
-named_struct('head', split(p, '\n')[0], 'rows', slice(split(p, '\n'), 2, size(split(p, '\n'))),
-  'paths', filter(transform(filter(split(p, '\n'), r -> startswith(r, '+++ ')), r -> regexp_replace(trim(substring(r, 5)), '^b/', '')), x -> x <> '/dev/null'))"""
-#: Lines of a hunk with kind and numbers, counted on from its head.
-_ROWS = r"""
-aggregate(h.rows, named_struct('old', coalesce(try_cast(regexp_extract(h.head, '-([0-9]+)', 1) AS int), 0), 'new', coalesce(try_cast(regexp_extract(h.head, '[+]([0-9]+)', 1) AS int), 0),
-    'out', cast(array() AS array<struct<kind:string,old_line:int,new_line:int,text:string>>)),
-  (z, r) -> CASE
-    WHEN startswith(r, '+') AND NOT startswith(r, '+++') THEN named_struct('old', z.old, 'new', z.new + 1, 'out', array_append(z.out, named_struct('kind', '+', 'old_line', cast(null AS int), 'new_line', z.new, 'text', substring(r, 2))))
-    WHEN startswith(r, '-') AND NOT startswith(r, '---') THEN named_struct('old', z.old + 1, 'new', z.new, 'out', array_append(z.out, named_struct('kind', '-', 'old_line', z.old, 'new_line', cast(null AS int), 'text', substring(r, 2))))
-    WHEN startswith(r, ' ') THEN named_struct('old', z.old + 1, 'new', z.new + 1, 'out', array_append(z.out, named_struct('kind', ' ', 'old_line', z.old, 'new_line', z.new, 'text', substring(r, 2))))
-    ELSE named_struct('old', z.old + 1, 'new', z.new + 1, 'out', z.out) END,
-  z -> z.out)"""
+PARSED = "files array<string>, hunks array<struct<hunk:int,path:string,lines:array<struct<kind:string,old_line:int,new_line:int,text:string>>>>"
+
+
+def _first_number(heads: pa.Array, sign: str) -> np.ndarray:
+    """The first number behind a sign; 0 where there is none or it is no int."""
+    digits = pc.fill_null(pc.struct_field(pc.extract_regex(heads, sign + "(?P<n>[0-9]+)"), [0]), "0")
+    if len(digits) and pc.max(pc.binary_length(digits)).as_py() > 9:
+        bare = [x.lstrip("0") or "0" for x in digits.to_pylist()]
+        digits = pa.array([x if len(x) <= 10 and int(x) < 1 << 31 else "0" for x in bare], pa.string())
+    return pc.cast(digits, pa.int64()).to_numpy()
+
+
+def _parse(diffs: pa.Array) -> pa.Array:
+    """Files and hunks of a batch of diffs. All lines lie in one array; what stands before a line is counted by running sums."""
+    split = pc.split_pattern(pc.fill_null(diffs, ""), "\n")
+    at, lines = split.offsets.to_numpy(), split.flatten()
+    starts = lambda x, p: pc.starts_with(x, p).to_numpy(zero_copy_only=False)
+    mark = starts(lines, "@@")
+    head = mark.copy()
+    head[at[:-1]] = True
+    plus, minus = (starts(lines, c) & ~starts(lines, c * 3) & ~head for c in "+-")
+    out = plus | minus | starts(lines, " ") & ~head
+
+    path_at = np.flatnonzero(starts(lines, "+++ "))
+    path = pc.utf8_trim(pc.utf8_slice_codeunits(lines.take(pa.array(path_at)), 4), " ")
+    path = pc.if_else(pc.starts_with(path, "b/"), pc.utf8_slice_codeunits(path, 2), path)
+    known = pc.not_equal(path, "/dev/null")
+    path_at, path = path_at[known.to_numpy(zero_copy_only=False)], path.filter(known)
+    paths_of = np.searchsorted(path_at, at)
+
+    hunk_at = np.flatnonzero(mark)
+    of = np.searchsorted(at, hunk_at, "right") - 1
+    before = np.searchsorted(path_at, hunk_at)
+    named = before > paths_of[of]  # heads before any path begin no hunk
+    hunk_at, of, before = hunk_at[named], of[named], before[named]
+    hunks_of = np.searchsorted(hunk_at, at)
+    heads = lines.take(pa.array(hunk_at))
+
+    head_at = np.flatnonzero(head)
+    piece = np.searchsorted(head_at, np.flatnonzero(out), "right") - 1
+    hunk = np.full(len(head_at), -1)
+    hunk[np.searchsorted(head_at, hunk_at)] = np.arange(len(hunk_at))
+    line_at = np.flatnonzero(out)[hunk[piece] >= 0]
+    hunk = hunk[piece][hunk[piece] >= 0]
+
+    def numbers(sign: str, other: np.ndarray) -> pa.Array:
+        passed = np.cumsum(~other & ~head)  # a head counts nothing, so this is what stands up to it
+        found = _first_number(heads, sign)[hunk] + passed[line_at] - 1 - passed[hunk_at[hunk]]
+        return pa.array(found, pa.int32(), mask=other[line_at])
+
+    kind = pa.array([" ", "-", "+"]).take(pa.array(minus[line_at] + 2 * plus[line_at]))
+    text = pc.utf8_slice_codeunits(lines.take(pa.array(line_at)), 1)
+    rows = pa.StructArray.from_arrays([kind, numbers("-", plus), numbers("[+]", minus), text], ["kind", "old_line", "new_line", "text"])
+    listed = lambda offsets, x: pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), x)
+    number = pa.array(np.arange(len(hunk_at)) - hunks_of[of] + 1, pa.int32())
+    hunks = pa.StructArray.from_arrays([number, path.take(pa.array(before - 1)), listed(np.append(np.searchsorted(line_at, hunk_at), len(line_at)), rows)], ["hunk", "path", "lines"])
+    return pa.StructArray.from_arrays([listed(paths_of, path), listed(hunks_of, hunks)], ["files", "hunks"])
 
 
 def parsed(diffs: DataFrame) -> DataFrame:
-    """Adds files (paths that the diff writes, as they come) and hunks (number, path, lines) to each row with a diff. It is
-    parsed within its row, a hunk in time that grows with the square of its lines."""
-    pieces = diffs.withColumn("_p", F.expr(f"transform(split(coalesce(diff, ''), '\\n(?=@@)'), p -> {_HUNK})"))
-    pieces = pieces.withColumn("files", F.expr("flatten(transform(_p, h -> h.paths))"))
-    hunk = f"named_struct('hunk', i, 'path', element_at(flatten(transform(slice(_p, 1, i), x -> x.paths)), -1), 'lines', {_ROWS})"
-    heads = "filter(sequence(1, size(_p)), i -> startswith(_p[i - 1].head, '@@') AND size(flatten(transform(slice(_p, 1, i - 1), x -> x.paths))) > 0)"
-    hunk = hunk.replace("'hunk', i", "'hunk', k + 1").replace("slice(_p, 1, i)", "slice(_p, 1, i - 1)").replace("h.", "_p[i - 1].")
-    return pieces.withColumn("hunks", F.expr(f"transform({heads}, (i, k) -> {hunk})")).drop("_p")
+    """Adds files (paths that the diff writes, as they come) and hunks (number, path, lines) to each row with a diff, in time
+    that grows with its lines."""
+    parse = F.arrow_udf(lambda x: _parse(x), PARSED)
+    return diffs.withColumn("_p", parse("diff")).select(*diffs.columns, "_p.files", "_p.hunks")
 
 
 def diff_lines(diffs: DataFrame) -> DataFrame:
     """diffs: diff_id, diff. Each line in a hunk with kind (+, - or blank) and its numbers in the old and new file."""
-    d = parsed(diffs.select("diff_id", "diff")).select("diff_id", F.explode("hunks").alias("h"))
-    return d.select("diff_id", "h.path", F.col("h.hunk").cast("long").alias("hunk"), F.explode("h.lines").alias("x")).select("diff_id", "path", "hunk", "x.*")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of_diff = _parse(batch.column("diff")).field("hunks")
+            hunks = of_diff.flatten()
+            of_hunk, at = hunks.field("lines"), pc.list_parent_indices(hunks.field("lines"))
+            of, lines = pc.list_parent_indices(of_diff).take(at), of_hunk.flatten()
+            columns = [batch.column("diff_id").take(of), hunks.field("path").take(at), pc.cast(hunks.field("hunk").take(at), pa.int64()), *lines.flatten()]
+            yield pa.RecordBatch.from_arrays(columns, ["diff_id", "path", "hunk", "kind", "old_line", "new_line", "text"])
+
+    kind = diffs.schema["diff_id"].dataType.simpleString()
+    return diffs.select("diff_id", "diff").mapInArrow(run, f"diff_id {kind}, path string, hunk long, kind string, old_line int, new_line int, text string")
 
 
 def import_end(source: Column, most: int = 40) -> Column:
