@@ -150,3 +150,12 @@ def test_lines_of_reports_are_gathered_by_numbers(spark):
     plan = job_queries.job_report_counts(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     gathered = [x for x in plan.splitlines() if "collect_list" in x]
     assert gathered and not any("repeat(" in x or "excerpt" in x.split("collect_list")[1].split("AS")[0] for x in gathered)
+
+
+def test_reports_are_read_once(spark, files):
+    """Counts and shown findings come from one reading of the reports."""
+    plan = jobs.report_files(jobs.unified_reports(files))._jdf.queryExecution().optimizedPlan().toString()
+    assert "from_json" not in plan and "parse_json" not in plan
+    odd = ["{broken", "[]", "[{}]", "3", "", None, " {}", '{"findings": null}', '{"findings": [{"severity": 1}]}', '{"a": 1, "a": 2}']
+    d = spark.createDataFrame([(str(k), "unified_report.json", t) for k, t in enumerate(odd)], "job_id string, name string, text string")
+    assert sorted((r.job_id, len(r.findings)) for r in jobs.unified_reports(d).collect()) == [("6", 0), ("7", 0), ("8", 1)]
